@@ -1,16 +1,17 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-A text's bytes are cut into chunks of 16 bytes that overlap by 8, from the first byte to the
-last. Learned filters over the embedded bytes of a chunk give activations; each filter's maximum
-over all chunks of the text goes to a small hidden layer and one probability. Chunks are
-processed in segments of bounded size with a running maximum, so the memory does not grow with
-a text's length.
+A text is cut into chunks of 512 bytes that overlap by half, from the first byte to the last.
+Learned filters slide over the embedded bytes of a chunk (16 bytes wide, 8 apart; a byte that
+repeats what stands a few bytes earlier has an embedding of its own) and are max-pooled in it; a hidden layer reads each chunk, its units are max-pooled over all chunks of
+the text and combined into one probability. So both a telling passage and a chunk that lacks
+what prose has count, wherever they are. Chunks are processed in segments of bounded size: per
+512 bytes only the pooled values stay.
 
 The network is fitted on the driver, on at most ``ROWS`` labelled texts (whole ones, chosen by
 hash of doc_id among rows whose crc32 mod 3 is not 1). Labels, language, source and ids are
 never inputs.
 
-Defined results: a null or empty text is one chunk of padding and gets that score; repeated rows
+Defined results: a null or empty text is one chunk of padding alone and gets that score; repeated rows
 each get a row; without labelled rows of both kinds every score is the share of good rows (0.5
 without any).
 """
@@ -24,11 +25,12 @@ from pyspark.sql import functions as F
 
 from .common import blocks, text_column
 
-ROWS, EPOCHS, BATCH, RATE = 1500, 12, 24, 0.01
+ROWS, EPOCHS, BATCH, RATE = 2000, 12, 24, 0.01
 STEP, DIM, FILTERS, HIDDEN = 8, 8, 32, 12
-PAD = 256
-#: Rows of STEP bytes that one segment holds.
-SEGMENT = 8192
+#: Ids: a byte, padding, or a byte that repeats what stands a few bytes before it.
+PAD, PAD_NEXT, IDS, LAGS = 256, np.uint16(257), 513, 24
+#: Rows of STEP bytes in half a chunk, and half chunks in one segment.
+HALF, SEGMENT = 32, 256
 
 
 def padded(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,71 +41,104 @@ def padded(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum(rows, out=first[1:])
     ids = np.full(int(first[-1]) * STEP, PAD, np.uint16)
     if len(data):
-        ids[np.arange(len(data)) + np.repeat(first[:-1] * STEP - off[:-1], size)] = data
+        ids[np.arange(len(data)) + np.repeat(first[:-1] * STEP - off[:-1], size)] = data + PAD_NEXT * echoes(data, off)
     return ids.reshape(-1, STEP), first
 
 
+def echoes(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """1 for each byte that ends four bytes which stand the same way up to LAGS bytes earlier in the text."""
+    place = np.minimum(np.arange(len(data)) - np.repeat(off[:-1], np.diff(off)), 255).astype(np.uint8)
+    out = np.zeros(len(data), bool)
+    for d in range(1, LAGS + 1):
+        if len(data) < d + 4:
+            break
+        same = data[d:] == data[:-d]
+        four = same[3:] & same[2:-1] & same[1:-2] & same[:-3]
+        out[d + 3 :] |= four & (place[d + 3 :] >= d + 3)
+    return out.astype(np.uint16)
+
+
 class Net:
     """The parameters and both passes."""
 
     def __init__(self, seed: int = 3):
         rng = np.random.default_rng(seed)
         f = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
-        self.p = {"E": (rng.standard_normal((257, DIM)) * 0.5).astype(np.float32), "W": f(2 * STEP * DIM, FILTERS), "b": np.zeros(FILTERS, np.float32), "V": f(FILTERS, HIDDEN), "c": np.zeros(HIDDEN, np.float32), "u": f(HIDDEN), "d": np.zeros(1, np.float32)}
+        self.p = {"E": (rng.standard_normal((IDS, DIM)) * 0.5).astype(np.float32), "W": f(2 * STEP * DIM, FILTERS), "b": np.zeros(FILTERS, np.float32), "V": f(FILTERS, HIDDEN), "c": np.zeros(HIDDEN, np.float32), "u": f(HIDDEN), "d": np.zeros(1, np.float32)}
         self.p["E"][PAD] = 0
         self.constant: float | None = None
 
-    def pooled(self, ids: np.ndarray, first: np.ndarray, where: bool = False):
-        """Each filter's maximum over each text's chunks, and with ``where`` the rows at which they lie."""
-        e, w = self.p["E"], self.p["W"]
-        half = STEP * DIM
-        out = np.full((len(first) - 1, FILTERS), -np.inf, np.float32)
+    def halves(self, ids: np.ndarray, first: np.ndarray, where: bool = False):
+        """Each filter's maximum in each half chunk, the first half of each text, and with ``where`` the rows at which the maxima lie."""
+        e, w, width = self.p["E"], self.p["W"], STEP * DIM
+        rows = np.diff(first)
+        count = -(-rows // HALF)
+        begin = np.zeros(len(first), np.int64)
+        np.cumsum(count, out=begin[1:])
+        start = np.repeat(first[:-1], count) + HALF * (np.arange(begin[-1]) - np.repeat(begin[:-1], count))
+        start = np.append(start, first[-1])
+        last = first[1:] - 1  # a text's last row is padding and starts no window
+        out = np.empty((begin[-1], self.p["W"].shape[1]), np.float32)
         at = np.zeros(out.shape, np.int64) if where else None
-        last = first[1:] - 1  # a text's last row is padding and starts no chunk
-        for a in range(0, len(ids), SEGMENT):
-            b = min(a + SEGMENT, len(ids))
-            x = e[ids[a : b + 1]].reshape(-1, half)
-            act = x[: b - a] @ w[:half]
-            act[: len(x) - 1] += x[1:] @ w[half:]
-            inside = last[(last >= a) & (last < b)] - a
-            act[inside] = -np.inf
-            t0, t1 = int(np.searchsorted(first, a, "right")) - 1, int(np.searchsorted(first, b, "left"))
-            cuts = np.maximum(first[t0:t1], a) - a
-            top = np.maximum.reduceat(act, cuts, axis=0)
+        for k in range(0, len(out), SEGMENT):
+            k2 = min(k + SEGMENT, len(out))
+            a, b = int(start[k]), int(start[k2])
+            x = e[ids[a : b + 1]].reshape(-1, width)
+            act = x[: b - a] @ w[:width]
+            act[: len(x) - 1] += x[1:] @ w[width:]
+            act[last[np.searchsorted(last, a) : np.searchsorted(last, b)] - a] = -np.inf
+            cuts = start[k:k2] - a
+            out[k:k2] = np.maximum.reduceat(act, cuts, axis=0)
             if where:
-                for k in range(t1 - t0):
-                    lo, hi = cuts[k], cuts[k + 1] if k + 1 < len(cuts) else b - a
-                    arg = act[lo:hi].argmax(0)
-                    better = top[k] > out[t0 + k]
-                    at[t0 + k] = np.where(better, arg + lo + a, at[t0 + k])
-            out[t0:t1] = np.maximum(out[t0:t1], top)
-        return (out, at) if where else out
-
-    def head(self, pool: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                for i, (lo, hi) in enumerate(zip(cuts, [*cuts[1:], b - a], strict=True)):
+                    at[k + i] = act[lo:hi].argmax(0) + lo + a
+        return out, begin, at
+
+    def chunks(self, half: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Maxima of each chunk (two neighbouring halves; a text of one half is one chunk), the halves they start with, and the first chunk of each text."""
+        n = np.maximum(np.diff(begin) - 1, 1)
+        first = np.zeros(len(begin), np.int64)
+        np.cumsum(n, out=first[1:])
+        left = np.arange(first[-1]) - np.repeat(first[:-1], n) + np.repeat(begin[:-1], n)
+        right = np.minimum(left + 1, np.repeat(begin[1:] - 1, n))
+        return np.maximum(half[left], half[right]), np.stack([left, right]), first
+
+    def head(self, pool: np.ndarray, first: np.ndarray):
         h = np.maximum(pool + self.p["b"], 0)
         z = np.tanh(h @ self.p["V"] + self.p["c"])
-        return h, z, 1 / (1 + np.exp(-np.clip(z @ self.p["u"] + self.p["d"][0], -30, 30)))
+        top = np.maximum.reduceat(z, first[:-1], axis=0)
+        return h, z, top, 1 / (1 + np.exp(-np.clip(top @ self.p["u"] + self.p["d"][0], -30, 30)))
 
     def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(off) - 1, self.constant)
-        return self.head(self.pooled(*padded(data, off)))[2].astype(np.float64)
+        half, begin, _ = self.halves(*padded(data, off))
+        pool, _, first = self.chunks(half, begin)
+        return self.head(pool, first)[3].astype(np.float64)
 
     def gradients(self, ids, first, y, weight) -> dict[str, np.ndarray]:
-        pool, at = self.pooled(ids, first, True)
-        h, z, p = self.head(pool)
+        half, begin, at = self.halves(ids, first, True)
+        pool, sides, chunk = self.chunks(half, begin)
+        h, z, top, p = self.head(pool, chunk)
         g = ((p - y) * weight / weight.sum()).astype(np.float32)
-        dz = np.outer(g, self.p["u"]) * (1 - z * z)
+        dz = np.zeros_like(z)
+        for t, (lo, hi) in enumerate(zip(chunk[:-1], chunk[1:], strict=True)):
+            arg = z[lo:hi].argmax(0) + lo
+            units = np.arange(z.shape[1])
+            dz[arg, units] = g[t] * self.p["u"] * (1 - z[arg, units] ** 2)
+        live = np.flatnonzero(dz.any(1))  # chunks that decide some unit
+        dz, h, left, right = dz[live], h[live], sides[0][live], sides[1][live]
+        row = np.where(half[left] >= half[right], at[left], at[right])
         dh = dz @ self.p["V"].T * (h > 0)
-        seen = ids[np.stack([at, at + 1], -1)].reshape(*at.shape, -1)  # texts x filters x 16
-        x = self.p["E"][seen].reshape(*at.shape, -1)
+        seen = ids[np.stack([row, np.minimum(row + 1, len(ids) - 1)], -1)].reshape(*row.shape, -1)  # chunks x filters x 16
+        x = self.p["E"][seen].reshape(*row.shape, -1)
         de = np.zeros_like(self.p["E"])
         dx = (dh[:, :, None] * self.p["W"].T[None]).reshape(-1, DIM)
         flat = seen.reshape(-1)
         for k in range(DIM):
-            de[:, k] = np.bincount(flat, dx[:, k], minlength=257)
+            de[:, k] = np.bincount(flat, dx[:, k], minlength=IDS)
         de[PAD] = 0
-        return {"E": de, "W": np.einsum("df,dfk->kf", dh, x, optimize=True), "b": dh.sum(0), "V": h.T @ dz, "c": dz.sum(0), "u": z.T @ g, "d": np.array([g.sum()], np.float32)}
+        return {"E": de, "W": np.einsum("df,dfk->kf", dh, x, optimize=True), "b": dh.sum(0), "V": h.T @ dz, "c": dz.sum(0), "u": top.T @ g, "d": np.array([g.sum()], np.float32)}
 
 
 def fit(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = 3) -> Net:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .byte_bpe import op10_byte_bpe
+from .quality_net import op1_quality_net
 from .quality_rules import op4_quality_rules
 from .secret_scan import op8_secret_scan
 from .source_mix import op6_source_mix
 
 QUERIES = {
+    "op1_quality_net": op1_quality_net,
     "op4_quality_rules": op4_quality_rules,
     "op6_source_mix": op6_source_mix,
     "op8_secret_scan": op8_secret_scan,
