@@ -46,6 +46,9 @@ RULES = (
     Rule("web_token", r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 34, base=False),
 )
 
+#: Tasks among which the paths of one blob are dealt.
+SALTS = 32
+
 LEDGER_SCHEMA = "blob string, rule string, version int, spans array<struct<start: int, stop: int>>"
 
 
@@ -101,7 +104,10 @@ def scan_history(versions: DataFrame, ledger: DataFrame | None = None, rules: tu
     ranked = [_ranked(F.coalesce(F.col(r.kind), none), i, r) for i, r in enumerate(rules)]
     found = fresh.select("blob", F.array_sort(F.concat(*ranked)).alias("found")).where(F.size("found") > 0)
     empty = F.array().cast("array<struct<start: int, rank: int, kind: string, stop: int, base: boolean>>")
-    return keyed.join(found, "blob", "left").select("path", "blob", F.coalesce("found", empty).alias("found")), entries
+    # Copies of one blob may be a third of all paths, so a blob with findings goes to SALTS tasks.
+    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    paths = keyed.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int"))
+    return paths.join(salted, ["blob", "salt"], "left").select("path", "blob", F.coalesce("found", empty).alias("found")), entries
 
 
 def digest(found: Column, base_only: bool) -> Column:
