@@ -30,6 +30,7 @@ MAX_REPEAT, SHARE, WEIGHTS = 2, 1.5, (5, 2, 1)
 #: Rows of (source, chunk) that one window task sorts, about; and chunks at least.
 CHUNK_ROWS, CHUNKS = 4000, 256
 MAX_SOURCES = 100_000
+SLOTS_A_TASK = 50_000
 
 
 def permuted(x: Column, n: Column, *salt: Column) -> Column:
@@ -123,7 +124,9 @@ class Mix:
         quotas = F.broadcast(self.spark.createDataFrame([(i, q, b) for i, (q, b) in enumerate(zip(quota, self.blocks, strict=True))], "src int, quota long, blocks long"))
         before = F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         ranked = counts.withColumn("before", before).join(quotas, "src").withColumn("kept", F.greatest(F.lit(0), F.least(F.col("n"), F.col("quota") - F.col("before"))))
-        inside = ranked.where("kept > 0").select("shard", "src", F.explode(F.sequence("before", F.col("before") + F.col("kept") - 1)).alias("rank"))
+        # Each row becomes up to SLOTS rows, so the few rows are dealt out first.
+        tasks = max(8, -(-n // SLOTS_A_TASK))
+        inside = ranked.where("kept > 0").repartition(tasks, "shard", "src").select("shard", "src", F.explode(F.sequence("before", F.col("before") + F.col("kept") - 1)).alias("rank"))
         # Draws beyond a quota: about the square root of all draws, in the last shards of a few sources.
         over = ranked.where("kept < n").select("shard", F.col("n") - F.col("kept"), "src").toDF("shard", "extra", "from_src")
         start = F.coalesce(F.sum("extra").over(Window.orderBy("from_src", "shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
