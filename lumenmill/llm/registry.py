@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .byte_bpe import op10_byte_bpe
+from .line_dedup import op7_line_dedup
+from .near_dedup import op5_near_dedup
 from .quality_net import op1_quality_net
 from .quality_rules import op4_quality_rules
 from .secret_scan import op8_secret_scan
@@ -11,7 +13,9 @@ from .source_mix import op6_source_mix
 QUERIES = {
     "op1_quality_net": op1_quality_net,
     "op4_quality_rules": op4_quality_rules,
+    "op5_near_dedup": op5_near_dedup,
     "op6_source_mix": op6_source_mix,
+    "op7_line_dedup": op7_line_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op10_byte_bpe": op10_byte_bpe,
 }
