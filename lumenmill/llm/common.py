@@ -82,11 +82,11 @@ def blocks(texts: pa.Array, max_bytes: int = MAX_BYTES) -> Iterator[tuple[int, i
         i = j
 
 
-def words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_of(data: np.ndarray, off: np.ndarray, breaks: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and first[i]: the index of row i's first word (n + 1 entries)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    word = ~IS_SPACE[data]
+    word = ~breaks[data]
     begin = word.copy()
     begin[1:] &= ~word[:-1]
     end = word.copy()

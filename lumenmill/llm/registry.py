@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .bm25_search import op2_bm25_search
 from .byte_bpe import op10_byte_bpe
+from .license_scan import op9_license_scan
 from .line_dedup import op7_line_dedup
 from .near_dedup import op5_near_dedup
 from .quality_net import op1_quality_net
@@ -12,11 +14,13 @@ from .source_mix import op6_source_mix
 
 QUERIES = {
     "op1_quality_net": op1_quality_net,
+    "op2_bm25_search": op2_bm25_search,
     "op4_quality_rules": op4_quality_rules,
     "op5_near_dedup": op5_near_dedup,
     "op6_source_mix": op6_source_mix,
     "op7_line_dedup": op7_line_dedup,
     "op8_secret_scan": op8_secret_scan,
+    "op9_license_scan": op9_license_scan,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
