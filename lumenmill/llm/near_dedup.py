@@ -8,8 +8,8 @@
    Then whatever is left unconnected inside a bucket is compared pair by pair, except within its
    largest component: so a large group of copies costs its size, and no link is lost to a cap.
 3. A pair is a link only if the full sets agree: 100 * intersection >= 80 * union. (Set sizes and a
-   256-bit sketch rule out hopeless pairs first, ``SKETCH_LIMIT`` bits away: a pair at the limit of
-   0.8 is ruled out with a probability below 1e-7.)
+   sketch of four bits for each slot rule out hopeless pairs first, those which differ in
+   ``SKETCH_LIMIT`` slots: six deviations from where a pair at 0.8 lies.)
 4. Links merge components by alternating large and small stars on a contracted graph.
 
 A band holds ``ROWS`` of 256 slots, so a pair at 0.8 misses all ``BANDS`` with probability
@@ -32,12 +32,15 @@ from pyspark.sql import functions as F
 from .common import LOWER, U, blocks, checkpoint, mix, shingles_of, span_hashes, text_column, words_of
 
 SLOTS, BANDS, ROWS = 256, 42, 6
-#: Equal bits in a 1-bit sketch are at least 90 % at 0.8: 25.6 of 256 differ on average, 56 or more with probability 1e-8.
-SKETCH_LIMIT = 56
-#: The bands of each round of stars; later rounds see pairs that are still apart only.
-STARS = (range(0, 4), range(4, 14), range(14, BANDS))
+#: A sketch has 4 bits of each slot. At 0.8, 48 of 256 slots differ on average, with a deviation below 5.
+SKETCH, SKETCH_LIMIT = 16, 78
+#: The bands of each round of stars; later rounds see pairs that are still apart only, with other members in the middle.
+STARS = (range(0, 4), range(4, 14), range(14, BANDS), range(0, BANDS))
 BLOCK_BYTES = 1 << 20
-SIG_SCHEMA = "doc_id long, n int, h1 long, h2 long, s0 long, s1 long, s2 long, s3 long, bands array<long>"
+#: Documents that an element may stand in to be joined directly in the last round.
+RARE = 100
+SKETCHES = [f"s{i}" for i in range(SKETCH)]
+SIG_SCHEMA = f"doc_id long, n int, h1 long, h2 long, {', '.join(f'{c} long' for c in SKETCHES)}, bands array<long>"
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
@@ -97,7 +100,8 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                 n.append(size.astype(np.int32))
                 h1.append(keys[:, 0])
                 h2.append(keys[:, 1])
-                sketch.append(np.packbits((mix(sig) & U(1)).astype(bool), axis=1).view(np.int64))
+                four = (mix(sig) & U(15)).astype(np.uint8)
+                sketch.append(np.ascontiguousarray(four[:, ::2] | four[:, 1::2] << 4).view(np.int64))
                 bands.append(banded(sig).view(np.int64))
             if not n:
                 continue
@@ -107,8 +111,8 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum(width)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows[n > 0].reshape(-1)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n), pa.array(np.concatenate(h1)), pa.array(np.concatenate(h2)), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(4)), lists],
-                names=["doc_id", "n", "h1", "h2", "s0", "s1", "s2", "s3", "bands"],
+                [b.column(0), pa.array(n), pa.array(np.concatenate(h1)), pa.array(np.concatenate(h2)), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(SKETCH)), lists],
+                names=["doc_id", "n", "h1", "h2", *SKETCHES, "bands"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SIG_SCHEMA)
@@ -174,7 +178,12 @@ def components(edges: DataFrame) -> DataFrame:
 def _near(a: str, b: str, percent: int) -> Column:
     """Whether sizes and sketches leave the pair a chance."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    far = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(4)), F.lit(0))
+    far = F.lit(0)
+    for s in SKETCHES:
+        x = F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        far = far + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))  # one bit for each slot that differs
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (far < SKETCH_LIMIT)
 
 
@@ -187,14 +196,14 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     shared = keys.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.col("bucket").alias("b"))
     pairs_of = checkpoint(keys.join(shared, F.col("bucket") == F.col("b")).select("bucket", "band", "id").distinct())
     ids = pairs_of.select("id").distinct()
-    facts = checkpoint(nodes.select("id", "n", "s0", "s1", "s2", "s3").join(ids, "id").dropDuplicates(["id", "n", "s0"]))
+    facts = checkpoint(nodes.select("id", "n", *SKETCHES).join(ids, "id").dropDuplicates(["id", "n", "s0"]))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     sets = checkpoint(full_sets(texts.join(ids, "id"), k).distinct())
     label = ids.select("id", F.col("id").alias("comp"))
     tested = None
     for turn in range(len(STARS) + 1):
         members = pairs_of.join(label, "id")
-        open_ = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("id", F.xxhash64("id", "bucket")).alias("center")).where("lo < hi").select(F.col("bucket").alias("b"), "center")
+        open_ = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("id", F.xxhash64("id", "bucket", F.lit(turn))).alias("center")).where("lo < hi").select(F.col("bucket").alias("b"), "center")
         if turn < len(STARS):
             members = members.where(F.col("band").between(STARS[turn].start, STARS[turn].stop - 1))
             mid = label.select(F.col("id").alias("c"), F.col("comp").alias("c_comp"))
@@ -202,7 +211,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
             x, y = facts.alias("x"), facts.alias("y")
             tries = tries.join(x, F.col("u") == F.col("x.id")).join(y, F.col("v") == F.col("y.id")).where(_near("x", "y", percent)).select("u", "v").distinct()
         else:
-            tries = _rest(members, open_, facts, percent)
+            tries = _rest(members, open_, facts, sets, percent)
         if tested is not None:
             tries = tries.join(tested, ["u", "v"], "left_anti")
         tries = checkpoint(tries)
@@ -220,16 +229,56 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return rows.join(named, hit, "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
 
 
-def _rest(members: DataFrame, open_: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
-    """All pairs of bucket mates in different components that may still link: whoever is outside a bucket's largest component, with all others."""
+def _elements(sets: DataFrame) -> DataFrame:
+    def run(batches):
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                e = np.frombuffer(x.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), i)), pa.array(e)], names=["id", "e"])
+
+    return sets.select("id", "elements").mapInArrow(run, "id long, e long")
+
+
+def _rest(members: DataFrame, open_: DataFrame, facts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs of bucket mates in different components that may still link: whoever is outside a bucket's largest component, with all others.
+
+    A pair that links shares at least one of the first n - 0.8 n + 1 elements of either, whatever the
+    order of all elements. Here those that stand in one component only come first (they are in no
+    intersection), then the others by the number of documents they stand in. Pairs that share a
+    rare one of the first (in at most RARE documents) are joined by it. All other pairs share no rare
+    element and have as many common ones as a link needs: only such documents are paired by bucket.
+    Heavily edited copies, whose edits are their own, are thereby out at once instead of in pairs
+    with all of their group, and no pair that may link is lost.
+    """
     here = members.join(open_, F.col("bucket") == F.col("b")).select("bucket", "id", "comp")
     count = here.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
     main = count.groupBy("bucket").agg(F.max_by("comp", F.struct("size", "comp")).alias("main")).select(F.col("bucket").alias("b"), "main")
-    here = here.join(facts, "id")
+    who = here.select("id", "comp").distinct()
+    each = _elements(sets.join(who, "id")).distinct().join(who, "id")
+    stands = each.groupBy("e").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("e").alias("k"), "df")
+    each = checkpoint(each.join(stands, F.col("e") == F.col("k")).select("id", "comp", "e", "df"))
+    per = each.groupBy("id").agg(F.count("*").alias("shared"), F.count_if(F.col("df") > RARE).alias("usable"))
+    known = checkpoint(facts.join(per, "id"))
+    need = F.floor((F.lit(percent) * F.col("n") + 99) / 100)
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "e"))  # a document's own elements
+    rare = each.where(F.col("df") <= RARE).join(known.select("id", "n", "shared"), "id").withColumn("rank", rank).where(F.col("rank") <= F.col("shared") - need + 1)
+    rare = checkpoint(rare.select("id", "comp", "e"))
+    a, b = rare.alias("a"), rare.alias("b")
+    sharing = a.join(b, (F.col("a.e") == F.col("b.e")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.comp") != F.col("b.comp"))).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
+    x, y = known.alias("x"), known.alias("y")
+    near = _near("x", "y", percent)
+    sharing = sharing.join(x, F.col("u") == F.col("x.id")).join(y, F.col("v") == F.col("y.id")).where(near).select("u", "v")
+    here = here.join(known.where(100 * F.col("usable") >= percent * F.col("n")), "id")
     stray = here.join(main, F.col("bucket") == F.col("b")).where("comp <> main").alias("x")
-    y = here.alias("y")
     apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp"))
-    return stray.join(y, apart & _near("x", "y", percent)).select(F.least("x.id", "y.id").alias("u"), F.greatest("x.id", "y.id").alias("v")).distinct()
+    mates = stray.join(here.alias("y"), apart & _room(percent) & near).select(F.least("x.id", "y.id").alias("u"), F.greatest("x.id", "y.id").alias("v"))
+    return mates.unionByName(sharing).distinct()
+
+
+def _room(percent: int) -> Column:
+    """Whether the common elements of x and y leave room for a link."""
+    most = F.least("x.usable", "y.usable")
+    return 100 * most >= percent * (F.col("x.n") + F.col("y.n") - most)
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
