@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bm25_search import op2_bm25_search
 from .byte_bpe import op10_byte_bpe
+from .html_text import op3_html_text
 from .license_scan import op9_license_scan
 from .line_dedup import op7_line_dedup
 from .near_dedup import op5_near_dedup
@@ -15,6 +16,7 @@ from .source_mix import op6_source_mix
 QUERIES = {
     "op1_quality_net": op1_quality_net,
     "op2_bm25_search": op2_bm25_search,
+    "op3_html_text": op3_html_text,
     "op4_quality_rules": op4_quality_rules,
     "op5_near_dedup": op5_near_dedup,
     "op6_source_mix": op6_source_mix,
