@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PATH, WORDS, HIDDEN = 96, 32, 20
-PAGES, EPOCHS, BATCH, RATE, SEED = 500, 6, 20, 0.012, 5
+PATH, WORDS, HIDDEN = 96, 32, 24
+PAGES, EPOCHS, BATCH, RATE, SEED = 1000, 8, 20, 0.015, 5
 #: Blocks of pages that are read together, padding included.
 BATCH_BLOCKS = 4096
 
@@ -271,8 +271,16 @@ SYLLABLES = "the an er on re in en at ou is or ti he nd ha es st ing ed th tion
 def _words(rng: random.Random, n: int) -> str:
     words = ["".join(rng.choice(SYLLABLES) for _ in range(rng.randint(1, 4))) for _ in range(n)]
     text = " ".join(w + (rng.choice(",.;") if rng.random() < 0.08 else "") for w in words)
-    if rng.random() < 0.06:  # low-quality prose is main text too
-        text = " ".join(w + rng.choice(["***", "$$$", "###", "&amp;&amp;&amp;", "!!"]) for w in text.split())
+    if rng.random() < 0.1:  # low-quality prose is main text too
+        kind = rng.randrange(4)
+        if kind == 0:
+            text = " ".join(w + rng.choice(["***", "$$$", "###", "&amp;&amp;&amp;", "%%%"]) for w in text.split())
+        elif kind == 1:
+            text = " | ".join(text.split()) + " |" * (rng.random() < 0.5)
+        elif kind == 2:
+            text = "!! ".join(text.upper().split())
+        else:
+            text = " ".join(w for w in text.split()[: rng.randint(1, 4)] for _ in range(rng.randint(3, 12)))
     return text[:1].upper() + text[1:] + ("." if rng.random() < 0.85 else "")
 
 
@@ -328,7 +336,7 @@ MAIN, REST = "", ""
 
 def training_page(rng: random.Random) -> tuple[list[Block], np.ndarray]:
     """Blocks of a made-up page and their labels."""
-    mark = lambda page, m: re.sub(r">([^<]*[^<\s][^<]*)<", lambda t: f">{m}{t[1]}<", page)
+    mark = lambda page, m: re.sub(r">(?=[^<]*[^<\s])", ">" + m, page)
     pick = lambda kinds, lo, hi: [mark(_boilerplate(rng, rng.choice(kinds)), REST) for _ in range(rng.randint(lo, hi))]
     before = pick(["nav", "header", "notice", "ad", "form", "share", "aside"], 0, 4)
     if rng.random() < 0.6:
