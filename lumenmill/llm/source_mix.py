@@ -169,17 +169,18 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     # A document's pieces for one turn: bounded by its own length over BLOCK.
     keys = ["doc_id", "mark", "src", "at", "size", "turn"]
     runs = runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
-    same = Window.partitionBy("doc_id", "mark", "turn").orderBy("at")
-    runs = runs.withColumn("copy", F.row_number().over(same)).select(F.col("doc_id").alias("k_id"), F.col("mark").alias("k_mark"), "turn", "copy", "runs")
+    # Rows that repeat doc_id and text are told apart by a number; all else is joined by doc_id and text.
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    runs = runs.withColumn("k", key).withColumn("copy", F.row_number().over(Window.partitionBy("k", "mark", "turn").orderBy("at"))).select("k", F.col("mark").alias("m"), "turn", "copy", "runs")
     names = docs.columns
-    rows = docs.select(F.struct(*names).alias("row"), F.col("doc_id").alias("r_id"), F.xxhash64("text").alias("r_mark"))
-    rows = rows.withColumn("r_copy", F.row_number().over(Window.partitionBy("r_id", "r_mark").orderBy(F.lit(1))))
-    hit = rows.join(runs, (F.col("r_id").eqNullSafe(F.col("k_id"))) & (F.col("r_mark") == F.col("k_mark")) & (F.col("r_copy") == F.col("copy")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), key.alias("key"), F.xxhash64("text").alias("mark"))
+    rows = rows.withColumn("number", F.row_number().over(Window.partitionBy("key", "mark").orderBy(F.lit(1))))
+    hit = rows.join(runs, (F.col("key") == F.col("k")) & (F.col("mark") == F.col("m"))).where("number = copy")
     words = F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
     text = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(F.col("words"), (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")))), "")
     hit = hit.withColumn("words", words).withColumn("new_text", F.regexp_replace(text, r"^[\x20\x09-\x0D]+", ""))
     made = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast("long")}
-    return hit.select(*[made[c].alias(c) if c in made else F.col(f"row.{c}").alias(c) for c in names])
+    return hit.select(*[made[c].alias(c) if c in made else F.col("row").getField(c).alias(c) for c in names])
 
 
 def op6_source_mix(spark, sf_dir: str) -> DataFrame:
