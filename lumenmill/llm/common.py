@@ -6,6 +6,7 @@ temporaries stay bounded by ``MAX_BYTES`` or by the longest single text.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -139,6 +140,15 @@ def documents(spark, sf_dir: str):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def release(spark) -> None:
+    """Let Spark remove the shuffle files and checkpoints that nothing refers to any more.
+
+    It does so when the driver's JVM collects its garbage, which a loop of small jobs may not cause for long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def checkpoint(df):
     """Cut the lineage with a reliable checkpoint in the folder the session names.
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, U, blocks, checkpoint, mix, shingles_of, span_hashes, text_column, words_of
+from .common import LOWER, U, blocks, checkpoint, mix, release, shingles_of, span_hashes, text_column, words_of
 
 SLOTS, BANDS, ROWS = 256, 42, 6
 #: A sketch has 4 bits of each slot. At 0.8, 48 of 256 slots differ on average, with a deviation below 5.
@@ -200,6 +200,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     sets = checkpoint(full_sets(texts.join(ids, "id"), k).distinct())
     label = ids.select("id", F.col("id").alias("comp"))
+    release(docs.sparkSession)
     tested = None
     for turn in range(len(STARS) + 1):
         members = pairs_of.join(label, "id")
@@ -222,7 +223,10 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         good = checkpoint(linked(tries.join(a, "u").join(b, "v"), percent))
         lu, lv = label.select(F.col("id").alias("u"), F.col("comp").alias("cu")), label.select(F.col("id").alias("v"), F.col("comp").alias("cv"))
         merged = components(good.join(lu, "u").join(lv, "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+        tries = None
         label = checkpoint(label.join(merged, F.col("comp") == F.col("u"), "left").select("id", F.coalesce("root", "comp").alias("comp")))
+        good = merged = None
+        release(docs.sparkSession)
     named = equal.join(label, "id", "left").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.coalesce("comp", "id").alias("comp"))
     rows = sig.select("doc_id", "n", "h1", "h2")
     hit = (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("n") > 0) & F.col("doc_id").isNotNull()
