@@ -17,7 +17,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lumenmill.llm import byte_bpe, line_dedup, near_dedup, quality_rules, source_mix
 
@@ -40,8 +39,7 @@ def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ids = byte_bpe.tokenize(docs, *byte_bpe.public_ranks())
-    return ids.select("doc_id", F.floor(F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return byte_bpe.digests(docs, *byte_bpe.public_ranks(), keep_ids=True)
 
 
 STAGES = [("quality_rules", _quality), ("line_dedup", _lines), ("near_dedup", _near), ("source_mix", _mix), ("byte_bpe", _tokens)]

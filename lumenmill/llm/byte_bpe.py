@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Finished pieces and pairs that a worker keeps at most; a full table is emptied, and results stay the same.
-PIECES, PAIRS, LONGEST_KEPT = 400_000, 1_000_000, 64
+PIECES, PAIRS, LONGEST_KEPT = 200_000, 250_000, 48
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -175,7 +175,7 @@ def tokenize(docs: DataFrame, raw_ranks: bytes, pattern: str, text: str = "text"
                 ids.append(one)
                 back.append(bpe.decode(one) if decode else b"")
                 size += len(one) + len(back[-1])
-                if size > 32 << 20 or i == len(texts) - 1:
+                if size > 4 << 20 or i == len(texts) - 1:
                     cols = [keys.slice(at, len(ids)), pa.array(ids, pa.binary())] + ([pa.array(back, pa.binary())] if decode else [])
                     yield pa.RecordBatch.from_arrays(cols, names=["key", "ids", "decoded"][: len(cols)])
                     at, size, ids, back = i + 1, 0, [], []
@@ -185,23 +185,32 @@ def tokenize(docs: DataFrame, raw_ranks: bytes, pattern: str, text: str = "text"
     return out.withColumnRenamed("key", key)
 
 
-def digests(docs: DataFrame, raw_ranks: bytes, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, n_tokens, ids_sha256 and decoded_sha256, made inside the same pass so that no ids leave the worker."""
+def digests(docs: DataFrame, raw_ranks: bytes, pattern: str, text: str = "text", key: str = "doc_id", keep_ids: bool = False) -> DataFrame:
+    """key, n_tokens, ids_sha256 and decoded_sha256 (and ids, if kept), made inside one pass so that no decoded text leaves the worker."""
     shared = docs.sparkSession.sparkContext.broadcast(raw_ranks)
+    names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * keep_ids
 
     def run(batches):
         bpe = encoder(shared.value, pattern)
         for b in batches:
-            n, a, d = [], [], []
-            for t in b.column(1):
+            keys, at, size = b.column(0), 0, 0
+            n, a, d, kept = [], [], [], []
+            for i, t in enumerate(b.column(1)):
                 ids = bpe.encode(t.as_py() or "")
                 n.append(len(ids) // 4)
                 a.append(hashlib.sha256(ids).hexdigest())
                 d.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+                if keep_ids:
+                    kept.append(ids)
+                    size += len(ids)
+                if size > 4 << 20 or i == b.num_rows - 1:
+                    columns = [keys.slice(at, len(n)), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * keep_ids, names=names)
+                    at, size = i + 1, 0
+                    n, a, d, kept = [], [], [], []
 
     kind = docs.select(key).schema[0].dataType.simpleString()
-    out = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
     return out.withColumnRenamed("key", key)
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one numpy block takes; a longer text makes a block of its own.
-MAX_BYTES = 2 << 20
+MAX_BYTES = 1 << 20
 
 #: Words are maximal runs of anything but these: \x20 and \x09-\x0D.
 SPACES = b" \t\n\x0b\x0c\r"
