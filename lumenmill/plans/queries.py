@@ -347,3 +347,110 @@ _prev = ", ".join(f"coalesce(lag({c}) OVER w, 0) AS previous_{c}" for c in ("fx"
 register("frame_timeline", lambda s, d: R.timeline(_frames(s, d)), f"WITH {FRAMES} FINAL SELECT img, frame, coalesce(sum(duration) OVER (PARTITION BY img ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS starts_ms, coalesce(lag(dispose) OVER w, 1) AS clears, {_prev} FROM frames WINDOW w AS (PARTITION BY img ORDER BY frame)", "img frame starts_ms clears previous_fx previous_fy previous_fw previous_fh")
 register("anim_summary", lambda s, d: _frames(s, d).groupBy("img").agg(F.count("*").alias("num_frames"), F.sum("duration").alias("loop_ms"), F.max(F.col("payload").isin("VP8 ", "ALPH").cast("int")).alias("is_lossy"), F.max(F.col("fx") + F.col("fw")).alias("width"), F.max(F.col("fy") + F.col("fh")).alias("height")),
          f"WITH {FRAMES} FINAL SELECT img, count(*) AS num_frames, sum(duration) AS loop_ms, max(CASE WHEN payload IN ('VP8 ', 'ALPH') THEN 1 ELSE 0 END) AS is_lossy, max(fx + fw) AS width, max(fy + fh) AS height FROM frames GROUP BY img", "img num_frames loop_ms is_lossy width height")
+
+# --- containers and codecs ------------------------------------------------------------------------
+from ..codec import lossless  # noqa: E402
+from ..codec.container import build_animation, chunk  # noqa: E402
+from ..functions import container as C  # noqa: E402
+from ..sources import images as I  # noqa: E402, E741
+
+_names = ("VP8 ", "VP8L", "ALPH", "ICCP", "EXIF", "XMP ", "JUNK")
+
+
+def _chunks(spark, sf_dir):
+    i, u = F.col("event_id"), F.col("user_id")
+    fourcc = F.element_at(F.array(*[F.lit(n) for n in _names]), (u % 7 + 1).cast("int"))
+    return _ids(spark, sf_dir).select(F.floor(i / 9).alias("img"), (i % 9).alias("ordinal"), fourcc.alias("fourcc"), (12 + i % 9 * 100).alias("start"), (u % 90).alias("size"))
+
+
+register("chunk_first_wins", lambda s, d: I.first_chunks(_chunks(s, d), "img"),
+         f"WITH t AS (SELECT event_id // 9 AS img, event_id % 9 AS ordinal, [{', '.join(repr(n) for n in _names)}][user_id % 7 + 1] AS fourcc, 12 + event_id % 9 * 100 AS start, user_id % 90 AS size FROM events) FINAL SELECT img, fourcc, arg_min(start, ordinal) AS start, arg_min(size, ordinal) AS size FROM t GROUP BY img, fourcc", "img start size", "fourcc")
+
+
+def _made_headers(spark, sf_dir):
+    """Files that are nothing but a header: of all three kinds, sound and not."""
+    i, u = F.col("event_id"), F.col("user_id")
+    head = F.pmod(u * 7919 + i * 104729, F.lit(1 << 29)) + F.when(i % 11 == 0, 1 << 30).otherwise(0)
+    plain = F.concat(C.sent(F.when(i % 13 == 0, 46).otherwise(47).cast("long"), 1), C.sent(head, 4), F.unhex(F.lit("0000000000")))
+    lossy = F.concat(C.sent((i % 7 == 0).cast("long"), 3), F.when(i % 17 == 0, F.unhex(F.lit("9D012B"))).otherwise(F.unhex(F.lit("9D012A"))), C.sent(u * 31 % 65536, 2), C.sent(i * 17 % 65536, 2))
+    extended = F.concat(C.sent(i % 64, 4), C.sent(u * 65537 % 16777216, 3), C.sent(i * 8191 % 16777216, 3))
+    kind = F.when(i % 3 == 0, C.riff(C.chunk("VP8L", plain))).when(i % 3 == 1, C.riff(C.chunk("VP8 ", lossy))).otherwise(C.riff(C.chunk("VP8X", extended)))
+    return _ids(spark, sf_dir).select("event_id", F.when(i % 101 == 0, F.unhex(F.lit("52494646"))).otherwise(kind).alias("content"))
+
+
+def _headers(spark, sf_dir):
+    made = _made_headers(spark, sf_dir)
+    h = C.header(F.col("content"))
+    ok = h["error_code"].isNull()
+    return made.select("event_id", *[F.when(ok, h[c]).otherwise(0).alias(c) for c in ("width", "height", "has_alpha")], F.when(ok, C.buffer_size(h["width"], h["height"], h["has_alpha"])).otherwise(0).alias("bytes"), F.coalesce(h["error_code"], F.lit("")).alias("error_code"))
+
+
+register(
+    "validate_header", _headers,
+    """WITH t AS (SELECT event_id AS i, user_id AS u, (user_id * 7919 + event_id * 104729) % 536870912 AS head FROM events),
+ k AS (SELECT *, i % 3 AS kind, CASE i % 3 WHEN 0 THEN head % 16384 + 1 WHEN 1 THEN u * 31 % 16384 ELSE u * 65537 % 16777216 + 1 END AS w,
+  CASE i % 3 WHEN 0 THEN (head >> 14) % 16384 + 1 WHEN 1 THEN i * 17 % 16384 ELSE i * 8191 % 16777216 + 1 END AS h, CASE i % 3 WHEN 0 THEN (head >> 28) % 2 WHEN 2 THEN (i % 64 >> 4) % 2 ELSE 0 END AS al FROM t),
+ e AS (SELECT *, CASE WHEN i % 101 = 0 THEN 'IoError' WHEN kind = 1 AND i % 7 = 0 THEN 'UnsupportedFeature' WHEN kind = 1 AND i % 17 = 0 THEN 'Vp8MagicInvalid' WHEN kind = 1 AND (w = 0 OR h = 0) THEN 'InconsistentImageSizes'
+  WHEN kind = 0 AND i % 13 = 0 THEN 'LosslessSignatureInvalid' WHEN kind = 0 AND i % 11 = 0 THEN 'VersionNumberInvalid' WHEN kind = 2 AND w * h > 4294967295 THEN 'ImageTooLarge' ELSE '' END AS error_code FROM k)
+ FINAL SELECT i AS event_id, CASE WHEN error_code = '' THEN w ELSE 0 END AS width, CASE WHEN error_code = '' THEN h ELSE 0 END AS height, CASE WHEN error_code = '' THEN al ELSE 0 END AS has_alpha, CASE WHEN error_code = '' THEN w * h * CASE WHEN al = 1 THEN 4 ELSE 3 END ELSE 0 END AS bytes, error_code FROM e""",
+    "event_id width height has_alpha bytes", "error_code",
+)
+_hex = lambda e, n: " || ".join(f"printf('%02X', (({e}) >> {8 * k}) % 256)" for k in range(n))
+register("riff_write", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", F.hex(C.riff(C.chunk("EXIF", F.encode("event_type", "UTF-8")))).alias("file")),
+         f"WITH t AS (SELECT event_id, hex(event_type) AS p, length(event_type)::BIGINT AS n FROM events) FINAL SELECT event_id, '52494646' || {_hex('12 + n + n % 2', 4)} || '57454250' || '45584946' || {_hex('n', 4)} || p || CASE WHEN n % 2 = 1 THEN '00' ELSE '' END AS file FROM t", "event_id", "file")
+register("reduced_sizes", lambda s, d: _ids(s, d).select("event_id", C.reduced_size(F.col("user_id") % 16384 + 1, F.col("event_id") % 10).alias("n")), "FINAL SELECT event_id, (user_id % 16384 + (1 << CAST(event_id % 10 AS INTEGER))) >> CAST(event_id % 10 AS INTEGER) AS n FROM events", "event_id n")
+
+
+def _rasters(spark, sf_dir, side=32):
+    """img and its RGBA samples as BINARY; whole images only, each of a bounded size."""
+    px = grid(spark, sf_dir, side).select("img", F.struct("i", "r", "g", "b", "a").alias("p"))
+    lists = px.groupBy("img").agg(F.array_sort(F.collect_list("p")).alias("p")).where(F.size("p") == side * side)
+    byte = lambda c: F.lpad(F.hex(c), 2, "0")
+    return lists.select("img", F.unhex(F.array_join(F.transform("p", lambda p: F.concat(byte(p["r"]), byte(p["g"]), byte(p["b"]), byte(p["a"]))), "")).alias("pixels"), F.lit(side).alias("width"), F.lit(side).alias("height"), F.lit("Rgba8").alias("color"))
+
+
+def _sums(decoded: DataFrame, *keys: str) -> DataFrame:
+    """Sums of the channels, and of each pixel's place times its channels, of rows with pixels (RGBA)."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for raw in b.column(len(keys)):
+                px = np.frombuffer(raw.as_py() or b"", np.uint8).reshape(-1, 4).astype(np.int64)
+                rows.append([*px.sum(0).tolist(), int((px.sum(1) * np.arange(len(px))).sum())])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keys)], *(pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5))], names=[*keys, "r", "g", "b", "a", "mark"])
+
+    return decoded.select(*[F.col(k).cast("long").alias(k) for k in keys], "pixels").mapInArrow(run, ", ".join(f"{k} long" for k in (*keys, "r", "g", "b", "a", "mark")))
+
+
+_whole = "whole AS (SELECT * FROM grid WHERE img IN (SELECT img FROM grid GROUP BY img HAVING count(*) = 1024))"
+for _pred in (True, False):
+    register(f"lossless_roundtrip{'' if _pred else '_plain'}", lambda s, d, pred=_pred: _sums(I.decode_images(I.encode_images(_rasters(s, d), "img", use_predictor=pred), key="img"), "img"),
+             W(f", {_whole} FINAL SELECT img, sum(r) AS r, sum(g) AS g, sum(b) AS b, sum(a) AS a, sum((r + g + b + a) * i) AS mark FROM whole GROUP BY img"), "img r g b a mark")
+
+
+def _animations(spark, sf_dir, blend: bool):
+    """One animation of all whole images as frames, on one canvas: few and small, so one task puts them together."""
+    import pyarrow as pa
+
+    def run(batches):
+        import numpy as np
+
+        rows = sorted((k, v) for b in batches for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        if rows:
+            made = [{"x": 0, "y": 0, "width": 32, "height": 32, "duration": 10 + k, "blend": blend, "dispose": False, "chunks": chunk(b"VP8L", lossless.encode_stream(np.frombuffer(v, np.uint8).reshape(32, 32, 4), "Rgba8"))} for k, v in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([build_animation(made, 32, 32, True)], pa.binary())], names=["anim", "content"])
+
+    return _rasters(spark, sf_dir).select("img", "pixels").where("img < 12").coalesce(1).mapInArrow(run, "anim long, content binary")
+
+
+register("frames_decode", lambda s, d: _sums(I.decode_frames(_animations(s, d, False), key="anim"), "frame_no"),
+         W(f", {_whole} FINAL SELECT img AS frame_no, sum(r) AS r, sum(g) AS g, sum(b) AS b, sum(a) AS a, sum((r + g + b + a) * i) AS mark FROM whole WHERE img < 12 GROUP BY img"), "frame_no r g b a mark")
+register("frames_blend", lambda s, d: _sums(I.decode_frames(_animations(s, d, True), key="anim"), "frame_no"),
+         f"WITH RECURSIVE {GRID}, {_whole}, c AS (SELECT y, x, CAST(-1 AS BIGINT) AS f, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS g, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS a FROM whole WHERE img = 0 UNION ALL SELECT c.y, c.x, t.img, {_fold('r')}, {_fold('g')}, {_fold('b')}, CASE WHEN t.a = 0 THEN c.a ELSE t.a + ({_under}) END FROM c JOIN whole t ON t.y = c.y AND t.x = c.x AND t.img = c.f + 1 AND t.img < 12) FINAL SELECT f AS frame_no, sum(r) AS r, sum(g) AS g, sum(b) AS b, sum(a) AS a, sum((r + g + b + a) * (y * 32 + x)) AS mark FROM c WHERE f >= 0 GROUP BY f", "frame_no r g b a mark")
+register("image_metadata", lambda s, d: I.metadata(I.encode_images(_rasters(s, d), "img"), "img").select("img", "width", "height", F.col("has_alpha").cast("int").alias("has_alpha"), "buffer_size", "kind"),
+         W(f", {_whole} FINAL SELECT DISTINCT img, 32 AS width, 32 AS height, 1 AS has_alpha, 4096 AS buffer_size, 'lossless' AS kind FROM whole"), "img width height has_alpha buffer_size", "kind")
+register("chunk_scan", lambda s, d: I.chunk_table(_animations(s, d, False), "anim").groupBy("fourcc").agg(F.count("*").alias("n"), F.count("parent").alias("nested")),
+         W(f", {_whole}, f AS (SELECT count(DISTINCT img) AS n FROM whole WHERE img < 12) FINAL SELECT * FROM (SELECT 'VP8X' AS fourcc, 1 AS n, 0 AS nested UNION ALL SELECT 'ANIM', 1, 0 UNION ALL SELECT 'ANMF', n, 0 FROM f UNION ALL SELECT 'VP8L', n, n FROM f) z"), "n nested", "fourcc")
