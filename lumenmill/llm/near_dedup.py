@@ -35,10 +35,12 @@ SLOTS, BANDS, ROWS = 256, 42, 6
 #: A sketch has 4 bits of each slot. At 0.8, 48 of 256 slots differ on average, with a deviation below 5.
 SKETCH, SKETCH_LIMIT = 16, 78
 #: The bands of each round of stars; later rounds see pairs that are still apart only, with other members in the middle.
-STARS = (range(0, 4), range(4, 14), range(14, BANDS), range(0, BANDS))
+STARS = (range(0, 6), range(6, BANDS), range(0, BANDS))
 BLOCK_BYTES = 1 << 20
 #: Documents that an element may stand in to be joined directly in the last round.
 RARE = 100
+#: Edges that one task merges at once, about 3 MB.
+AT_ONCE = 200_000
 SKETCHES = [f"s{i}" for i in range(SKETCH)]
 SIG_SCHEMA = f"doc_id long, n int, h1 long, h2 long, {', '.join(f'{c} long' for c in SKETCHES)}, bands array<long>"
 
@@ -153,14 +155,41 @@ def _state(df: DataFrame) -> tuple[int, int]:
     return r["n"], r["h"] or 0
 
 
-def components(edges: DataFrame) -> DataFrame:
+def union_find(edges: DataFrame) -> DataFrame:
+    """(u, v): within each partition of ``edges`` (u, v), every node that is not the smallest it is connected to, and that smallest."""
+
+    def run(batches):
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (p := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[p] if p in parent else p
+            return x
+
+        for b in batches:
+            for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                u, v = find(u), find(v)
+                if u != v:
+                    parent[max(u, v)] = min(u, v)
+        pairs = [(x, r) for x in parent if (r := find(x)) != x]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([r for _, r in pairs], pa.int64())], names=["u", "v"])
+
+    return edges.select("u", "v").mapInArrow(run, "u long, v long")
+
+
+def components(edges: DataFrame, at_once: int | None = None) -> DataFrame:
     """(u, root): for every node of ``edges`` (u, v) that is not itself the smallest of its component, the smallest.
 
-    Large star: a node hands its larger neighbours to its smallest; small star: its smaller ones.
-    Only minima are aggregated, so a node with very many neighbours is no burden to a task.
+    Union-find compresses the edges of each partition to a forest. Forests of at most ``at_once``
+    edges are merged by one task; larger ones by alternating stars: a large star hands a node's
+    larger neighbours to its smallest, a small star its smaller ones. Only minima are aggregated
+    there, so a node with very many neighbours is no burden to a task.
     """
-    e = checkpoint(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    limit = AT_ONCE if at_once is None else at_once
+    e = checkpoint(union_find(edges.where("u <> v")))
     before = _state(e)
+    if before[0] <= limit:
+        return checkpoint(union_find(e.coalesce(1))).select("u", F.col("v").alias("root"))
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
@@ -201,7 +230,6 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     sets = checkpoint(full_sets(texts.join(ids, "id"), k).distinct())
     label = ids.select("id", F.col("id").alias("comp"))
     release(docs.sparkSession)
-    tested = None
     for turn in range(len(STARS) + 1):
         members = pairs_of.join(label, "id")
         open_ = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("id", F.xxhash64("id", "bucket", F.lit(turn))).alias("center")).where("lo < hi").select(F.col("bucket").alias("b"), "center")
@@ -213,19 +241,12 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
             tries = tries.join(x, F.col("u") == F.col("x.id")).join(y, F.col("v") == F.col("y.id")).where(_near("x", "y", percent)).select("u", "v").distinct()
         else:
             tries = _rest(members, open_, facts, sets, percent)
-        if tested is not None:
-            tries = tries.join(tested, ["u", "v"], "left_anti")
-        tries = checkpoint(tries)
-        if not tries.limit(1).count():
-            continue
-        tested = tries if tested is None else checkpoint(tested.unionByName(tries))
         a, b = sets.select(F.col("id").alias("u"), F.col("elements").alias("a")), sets.select(F.col("id").alias("v"), F.col("elements").alias("b"))
         good = checkpoint(linked(tries.join(a, "u").join(b, "v"), percent))
         lu, lv = label.select(F.col("id").alias("u"), F.col("comp").alias("cu")), label.select(F.col("id").alias("v"), F.col("comp").alias("cv"))
         merged = components(good.join(lu, "u").join(lv, "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
-        tries = None
         label = checkpoint(label.join(merged, F.col("comp") == F.col("u"), "left").select("id", F.coalesce("root", "comp").alias("comp")))
-        good = merged = None
+        tries = good = merged = None
         release(docs.sparkSession)
     named = equal.join(label, "id", "left").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.coalesce("comp", "id").alias("comp"))
     rows = sig.select("doc_id", "n", "h1", "h2")
