@@ -453,4 +453,4 @@ register("frames_blend", lambda s, d: _sums(I.decode_frames(_animations(s, d, Tr
 register("image_metadata", lambda s, d: I.metadata(I.encode_images(_rasters(s, d), "img"), "img").select("img", "width", "height", F.col("has_alpha").cast("int").alias("has_alpha"), "buffer_size", "kind"),
          W(f", {_whole} FINAL SELECT DISTINCT img, 32 AS width, 32 AS height, 1 AS has_alpha, 4096 AS buffer_size, 'lossless' AS kind FROM whole"), "img width height has_alpha buffer_size", "kind")
 register("chunk_scan", lambda s, d: I.chunk_table(_animations(s, d, False), "anim").groupBy("fourcc").agg(F.count("*").alias("n"), F.count("parent").alias("nested")),
-         W(f", {_whole}, f AS (SELECT count(DISTINCT img) AS n FROM whole WHERE img < 12) FINAL SELECT * FROM (SELECT 'VP8X' AS fourcc, 1 AS n, 0 AS nested UNION ALL SELECT 'ANIM', 1, 0 UNION ALL SELECT 'ANMF', n, 0 FROM f UNION ALL SELECT 'VP8L', n, n FROM f) z"), "n nested", "fourcc")
+         W(f", {_whole}, f AS (SELECT count(DISTINCT img) AS n FROM whole WHERE img < 12) FINAL SELECT * FROM (SELECT 'VP8X' AS fourcc, 1 AS n, 0 AS nested FROM f WHERE n > 0 UNION ALL SELECT 'ANIM', 1, 0 FROM f WHERE n > 0 UNION ALL SELECT 'ANMF', n, 0 FROM f WHERE n > 0 UNION ALL SELECT 'VP8L', n, n FROM f WHERE n > 0) z"), "n nested", "fourcc")
