@@ -180,7 +180,7 @@ def _rgb(y: str, u: str, v: str) -> str:
 
 
 register("yuv_to_rgb_simple", lambda s, d: R.to_rgb_simple(*R.to_yuv420(grid(s, d))), W(f", {CHROMA}, l AS (SELECT img, y, x, {_luma} AS l FROM grid) FINAL SELECT l.img, y, x, {_rgb('l', 'u', 'v')} FROM l JOIN chroma ON l.img = chroma.img AND cy = y // 2 AND cx = x // 2"), "img y x r g b")
-_n = lambda k: f"(9 * c.{k} + 3 * coalesce(s.{k}, c.{k}) + 3 * coalesce(o.{k}, c.{k}) + coalesce(k.{k}, o.{k}, s.{k}, c.{k}) + 8) >> 4"
+_n = lambda k: f"(9 * c.{k} + 3 * coalesce(s.{k}, c.{k}) + 3 * coalesce(o.{k}, c.{k}) + CASE WHEN o.{k} IS NULL THEN coalesce(s.{k}, c.{k}) ELSE coalesce(k.{k}, o.{k}) END + 8) >> 4"
 _at = lambda t, dy, dx: f"LEFT JOIN chroma {t} ON {t}.img = l.img AND {t}.cy = l.y // 2 + {dy} AND {t}.cx = l.x // 2 + {dx}"
 _dx, _dy = "(CASE WHEN l.x % 2 = 0 THEN -1 ELSE 1 END)", "(CASE WHEN l.y % 2 = 0 THEN -1 ELSE 1 END)"
 register("yuv_to_rgb_bilinear", lambda s, d: R.to_rgb_bilinear(*R.to_yuv420(grid(s, d))),
