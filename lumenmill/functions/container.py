@@ -70,3 +70,20 @@ def buffer_size(width: Column, height: Column, has_alpha: Column) -> Column:
 def reduced_size(size: Column, bits: Column) -> Column:
     """Ceiling of size / 2 ** bits."""
     return F.ceil(size / F.pow(F.lit(2), bits)).cast("long")
+
+
+def frame_header(content: Column) -> dict[str, Column]:
+    """Fields at the start of an animation frame's contents."""
+    info = little(content, 15, 1)
+    return {"x": 2 * little(content, 0, 3), "y": 2 * little(content, 3, 3), "width": little(content, 6, 3) + 1, "height": little(content, 9, 3) + 1, "duration": little(content, 12, 3), "blend": 1 - bit(info, 1), "dispose": bit(info, 0)}
+
+
+def loop_header(content: Column) -> dict[str, Column]:
+    """Background hint (its four bytes) and loop count (null: for ever) of an animation's header."""
+    return {"background": F.substring(content, 1, 4), "loops": F.nullif(little(content, 4, 2), F.lit(0))}
+
+
+def feature_flags(content: Column) -> dict[str, Column]:
+    """The five flags of an extended header's first byte."""
+    flags = little(content, 0, 1)
+    return {name: bit(flags, n) for name, n in (("icc", 5), ("alpha", 4), ("exif", 3), ("xmp", 2), ("animation", 1))}

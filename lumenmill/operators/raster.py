@@ -252,3 +252,52 @@ def cleared(px: DataFrame, rects: DataFrame) -> DataFrame:
     wide = px.join(rects, "img", "left")
     inside = F.coalesce(F.col("x").between(F.col("fx"), F.col("fx") + F.col("fw") - 1) & F.col("y").between(F.col("fy"), F.col("fy") + F.col("fh") - 1), F.lit(False))
     return wide.select("img", "y", "x", *[F.when(inside, 0).otherwise(F.col(c)).alias(c) for c in CHANNELS])
+
+
+# --- intra prediction, given the samples around a square ------------------------------------------
+
+
+def _around(px: DataFrame, channel: str, n: int) -> tuple[DataFrame, DataFrame]:
+    """Of n x n squares: the line above (img, by, x, above) and the column on the left (img, y, bx, left)."""
+    last = n - 1
+    above = px.where(F.col("y") % n == last).select("img", (F.floor(F.col("y") / n) + 1).alias("by"), "x", F.col(channel).alias("above"))
+    left = px.where(F.col("x") % n == last).select("img", "y", (F.floor(F.col("x") / n) + 1).alias("bx"), F.col(channel).alias("left"))
+    return above, left
+
+
+def intra_dc(px: DataFrame, channel: str, n: int = 16) -> DataFrame:
+    """img, by, bx, value: the rounded mean of what lies above and on the left of each square; 128 without either."""
+    above, left = _around(px, channel, n)
+    parts = above.select("img", "by", F.floor(F.col("x") / n).alias("bx"), F.col("above").alias("v")).unionByName(left.select("img", F.floor(F.col("y") / n).alias("by"), "bx", F.col("left").alias("v")))
+    sums = parts.groupBy("img", "by", "bx").agg(F.sum("v").alias("total"), F.count("*").alias("k"))
+    squares = px.select("img", F.floor(F.col("y") / n).alias("by"), F.floor(F.col("x") / n).alias("bx")).distinct()
+    mean = F.floor((F.col("total") + F.floor(F.col("k") / 2)) / F.col("k"))
+    return squares.join(sums, ["img", "by", "bx"], "left").select("img", "by", "bx", F.coalesce(mean, F.lit(128)).alias("value"))
+
+
+def intra_true_motion(px: DataFrame, channel: str, n: int = 16) -> DataFrame:
+    """img, y, x, value: left + above - corner of each square, clamped; beyond the image 129 on the left, 127 above and in the top corners."""
+    above, left = _around(px, channel, n)
+    corner = above.where(F.col("x") % n == n - 1).select("img", "by", (F.floor(F.col("x") / n) + 1).alias("bx"), F.col("above").alias("corner"))
+    cell = px.select("img", "y", "x", F.floor(F.col("y") / n).alias("by"), F.floor(F.col("x") / n).alias("bx"))
+    wide = cell.join(above, ["img", "by", "x"], "left").join(left, ["img", "y", "bx"], "left").join(corner, ["img", "by", "bx"], "left")
+    edge = F.when(F.col("by") == 0, 127).when(F.col("bx") == 0, 129).otherwise(F.col("corner"))
+    return wide.select("img", "y", "x", P.clamp(F.coalesce("left", F.lit(129)) + F.coalesce("above", F.lit(127)) - edge).alias("value"))
+
+
+def quantizer_steps(indices: DataFrame, index: str) -> DataFrame:
+    """Adds the DC and AC steps of each plane for a quantizer index (clamped to 0..127), by a broadcast join with the 128 steps."""
+    from ..codec.lossy import AC_STEPS, DC_STEPS
+
+    table = F.broadcast(indices.sparkSession.createDataFrame([(i, d, a) for i, (d, a) in enumerate(zip(DC_STEPS, AC_STEPS, strict=True))], "q long, dc long, ac long"))
+    wide = indices.withColumn("q", P.clamp(F.col(index), 0, 127)).join(table, "q")
+    y2_ac, uv_dc = F.greatest(F.floor(F.col("ac") * 155 / 100), F.lit(8)), F.least(F.col("dc"), F.lit(132))
+    return wide.withColumns({"y_dc": F.col("dc"), "y_ac": F.col("ac"), "y2_dc": 2 * F.col("dc"), "y2_ac": y2_ac, "uv_dc": uv_dc, "uv_ac": F.col("ac")}).drop("q", "dc", "ac")
+
+
+def dequantized(tokens: DataFrame, dc: Column, ac: Column) -> DataFrame:
+    """Coefficients at their places from levels in zigzag order: (blk, k, level) to (blk, place, value)."""
+    from ..codec.lossy import ZIGZAG
+
+    place = F.element_at(F.array(*[F.lit(z) for z in ZIGZAG]), (F.col("k") + 1).cast("int")).cast("long")
+    return tokens.withColumn("place", place).withColumn("value", F.col("level") * F.when(F.col("place") > 0, ac).otherwise(dc)).drop("k", "level")

@@ -454,3 +454,40 @@ register("image_metadata", lambda s, d: I.metadata(I.encode_images(_rasters(s, d
          W(f", {_whole} FINAL SELECT DISTINCT img, 32 AS width, 32 AS height, 1 AS has_alpha, 4096 AS buffer_size, 'lossless' AS kind FROM whole"), "img width height has_alpha buffer_size", "kind")
 register("chunk_scan", lambda s, d: I.chunk_table(_animations(s, d, False), "anim").groupBy("fourcc").agg(F.count("*").alias("n"), F.count("parent").alias("nested")),
          W(f", {_whole}, f AS (SELECT count(DISTINCT img) AS n FROM whole WHERE img < 12) FINAL SELECT * FROM (SELECT 'VP8X' AS fourcc, 1 AS n, 0 AS nested FROM f WHERE n > 0 UNION ALL SELECT 'ANIM', 1, 0 FROM f WHERE n > 0 UNION ALL SELECT 'ANMF', n, 0 FROM f WHERE n > 0 UNION ALL SELECT 'VP8L', n, n FROM f WHERE n > 0) z"), "n nested", "fourcc")
+
+# --- prediction, quantizers, frame headers --------------------------------------------------------
+from ..codec import lossy  # noqa: E402
+
+register("intra_dc", lambda s, d: R.intra_dc(grid(s, d), "g").select("img", F.col("by").alias("sy"), F.col("bx").alias("sx"), "value"),
+         W(""", p AS (SELECT img, y // 16 + 1 AS ky, x // 16 AS kx, g FROM grid WHERE y % 16 = 15 UNION ALL SELECT img, y // 16, x // 16 + 1, g FROM grid WHERE x % 16 = 15), t AS (SELECT img, ky, kx, sum(g) AS total, count(*) AS k FROM p GROUP BY ALL),
+ q AS (SELECT DISTINCT img, y // 16 AS ky, x // 16 AS kx FROM grid) FINAL SELECT q.img, q.ky AS sy, q.kx AS sx, coalesce((total + k // 2) // k, 128) AS value FROM q LEFT JOIN t ON q.img = t.img AND q.ky = t.ky AND q.kx = t.kx"""), "img sy sx value")
+register("intra_true_motion", lambda s, d: R.intra_true_motion(grid(s, d), "g"),
+         W(f""", t AS (SELECT c.img, c.y, c.x, coalesce(l.g, 129) AS lf, coalesce(a.g, 127) AS ab, CASE WHEN c.y < 16 THEN 127 WHEN c.x < 16 THEN 129 ELSE k.g END AS co FROM grid c
+ LEFT JOIN grid l ON l.img = c.img AND l.y = c.y AND l.x = c.x // 16 * 16 - 1 LEFT JOIN grid a ON a.img = c.img AND a.x = c.x AND a.y = c.y // 16 * 16 - 1 LEFT JOIN grid k ON k.img = c.img AND k.y = c.y // 16 * 16 - 1 AND k.x = c.x // 16 * 16 - 1)
+ FINAL SELECT img, y, x, {cl('lf + ab - co')} AS value FROM t"""), "img y x value")
+_steps = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(zip(lossy.DC_STEPS, lossy.AC_STEPS, strict=True)))
+register("quantizer_steps", lambda s, d: R.quantizer_steps(_ids(s, d).select("event_id", (F.col("user_id") % 140 - 6).alias("wanted")), "wanted"),
+         f"WITH st(q, dc, ac) AS (VALUES {_steps}) FINAL SELECT event_id, dc AS y_dc, ac AS y_ac, 2 * dc AS y2_dc, greatest(8, ac * 155 // 100) AS y2_ac, least(132, dc) AS uv_dc, ac AS uv_ac FROM events JOIN st ON q = {cl('user_id % 140 - 6', 0, 127)}", "event_id y_dc y_ac y2_dc y2_ac uv_dc uv_ac")
+_zig = ", ".join(map(str, lossy.ZIGZAG))
+register("dequantize_zigzag", lambda s, d: R.dequantized(grid(s, d).select("img", F.floor(F.col("i") / 16).alias("blk"), (F.col("i") % 16).alias("k"), (F.col("r") % 41 - 20).alias("level")), F.lit(8), F.lit(11)),
+         W(f", t AS (SELECT img, i // 16 AS blk, [{_zig}][i % 16 + 1] AS place, r % 41 - 20 AS level FROM grid) FINAL SELECT img, blk, place, level * CASE WHEN place > 0 THEN 11 ELSE 8 END AS value FROM t"), "img blk place value")
+
+
+def _frame_headers(spark, sf_dir):
+    i, u = F.col("event_id"), F.col("user_id")
+    raw = F.concat(C.sent(u * 3 % 16777216, 3), C.sent(i * 5 % 16777216, 3), C.sent(u % 16384, 3), C.sent(i % 16384, 3), C.sent(u * i % 16777216, 3), C.sent(i % 4, 1))
+    h = C.frame_header(F.col("raw"))
+    return _ids(spark, sf_dir).select("event_id", raw.alias("raw")).select("event_id", *[c.alias(k) for k, c in h.items()])
+
+
+register("frame_header", _frame_headers, "FINAL SELECT event_id, 2 * (user_id * 3 % 16777216) AS x, 2 * (event_id * 5 % 16777216) AS y, user_id % 16384 + 1 AS width, event_id % 16384 + 1 AS height, user_id * event_id % 16777216 AS duration, 1 - (event_id % 4) // 2 AS blend, event_id % 2 AS dispose FROM events", "event_id x y width height duration blend dispose")
+
+
+def _feature_flags(spark, sf_dir):
+    head = C.feature_flags(F.col("raw")) | {"loops": F.coalesce(C.loop_header(F.col("loop"))["loops"], F.lit(-1))}
+    made = _ids(spark, sf_dir).select("event_id", C.sent(F.col("event_id") % 256, 1).alias("raw"), F.concat(C.sent(F.col("user_id"), 4), C.sent(F.col("event_id") % 7, 2)).alias("loop"))
+    return made.select("event_id", *[c.alias(k) for k, c in head.items()])
+
+
+_bit = lambda n: f"((event_id % 256) >> {n}) % 2"
+register("feature_flags", _feature_flags, f"FINAL SELECT event_id, {_bit(5)} AS icc, {_bit(4)} AS alpha, {_bit(3)} AS exif, {_bit(2)} AS xmp, {_bit(1)} AS animation, CASE WHEN event_id % 7 = 0 THEN -1 ELSE event_id % 7 END AS loops FROM events", "event_id icc alpha exif xmp animation loops")

@@ -50,3 +50,13 @@ def test_stream_of_files(spark, tmp_path):
     q = decoded.writeStream.format("memory").queryName("decoded").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {r["name"]: bytes(r["pixels"]) for r in spark.table("decoded").collect()} == want
+
+
+def test_arrivals(spark, tmp_path):
+    from lumenmill.streaming import images as S
+
+    px, _ = made(spark)
+    I.write_images(I.encode_images(px).withColumnRenamed("path", "name"), str(tmp_path / "in"))
+    q = S.arrivals(I.stream_images(spark, str(tmp_path / "in"))).writeStream.format("memory").outputMode("complete").queryName("arrivals").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert sum(r["files"] for r in spark.table("arrivals").collect()) == 3
