@@ -19,26 +19,32 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenmill.llm import byte_bpe, line_dedup, near_dedup, quality_rules, source_mix
+from lumenmill.llm.common import small_batches
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_rules.filter_documents(docs, quality_rules.train(docs, labels))
 
 
 def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return line_dedup.filter_documents(docs)
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_dedup.deduplicated(docs, k=5)
 
 
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return source_mix.mixed_documents(docs)
 
 
 def _tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return byte_bpe.digests(docs, *byte_bpe.public_ranks(), keep_ids=True)
 
 

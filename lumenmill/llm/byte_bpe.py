@@ -23,8 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Finished pieces and pairs that a worker keeps at most; a full table is emptied, and results stay the same.
-PIECES, PAIRS, LONGEST_KEPT = 200_000, 250_000, 48
+PIECES, PAIRS, LONGEST_KEPT = 150_000, 150_000, 48
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -223,4 +225,5 @@ def public_ranks(name: str = "byte_bpe_50k.tiktoken") -> tuple[bytes, str]:
 
 
 def op10_byte_bpe(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), *public_ranks())

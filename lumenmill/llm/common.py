@@ -140,6 +140,16 @@ def documents(spark, sf_dir: str):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bytes in an Arrow batch. Spark's own default, 64 MB, is much for several Python workers beside a small heap.
+ARROW_BYTES, ARROW_KEY, ARROW_DEFAULT = "4194304", "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864", "67108864b", "64MB")
+
+
+def small_batches(spark) -> None:
+    """Lower the session's limit of bytes in an Arrow batch, unless the session has one of its own."""
+    if spark.conf.get(ARROW_KEY, ARROW_BYTES) in ARROW_DEFAULT:
+        spark.conf.set(ARROW_KEY, ARROW_BYTES)
+
+
 def release(spark) -> None:
     """Let Spark remove the shuffle files and checkpoints that nothing refers to any more.
 

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 PATH, WORDS, HIDDEN = 96, 32, 24
 PAGES, EPOCHS, BATCH, RATE, SEED = 1000, 8, 20, 0.015, 5
 #: Blocks of pages that are read together, padding included.
@@ -406,5 +408,6 @@ def extract_pages(pages: DataFrame, net: Labeller, step: int = 200) -> DataFrame
 
 
 def op3_html_text(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), train())
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import LOWER, U, blocks, mix, shingles_of, span_hashes, text_column
+from .common import LOWER, U, blocks, mix, shingles_of, small_batches, span_hashes, text_column
 
 K, BANDS, PERCENT = 5, 64, 80
 BLOCK_BYTES = 1 << 20
@@ -164,6 +164,7 @@ def scan_documents(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
 
 
 def op9_license_scan(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = scan_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     spans = F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"].cast("string"), m["stop"].cast("string"))), ",")
     return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",").alias("licenses"), spans.alias("spans"))

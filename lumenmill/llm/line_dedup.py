@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BASE_INV, BYTE, IS_SPACE, U, blocks, checkpoint, mix, powers, span_hashes, text_column
+from .common import BASE, BASE_INV, BYTE, IS_SPACE, U, blocks, checkpoint, mix, powers, small_batches, span_hashes, text_column
 
 MIN_WORDS = 50
 BYTE_2 = mix(BYTE + U(12345))
@@ -189,5 +189,6 @@ def filter_documents(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     done = deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return done.select("row.doc_id", "n_lines", "n_removed", F.col("new_text").alias("text"))

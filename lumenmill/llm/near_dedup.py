@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, U, blocks, checkpoint, mix, release, shingles_of, span_hashes, text_column, words_of
+from .common import LOWER, U, blocks, checkpoint, mix, release, shingles_of, small_batches, span_hashes, text_column, words_of
 
 SLOTS, BANDS, ROWS = 256, 42, 6
 #: A sketch has 4 bits of each slot. At 0.8, 48 of 256 slots differ on average, with a deviation below 5.
@@ -318,5 +318,6 @@ def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=2)
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

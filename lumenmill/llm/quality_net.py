@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, text_column
+from .common import blocks, small_batches, text_column
 
 ROWS, EPOCHS, BATCH, RATE = 2000, 12, 24, 0.01
 STEP, DIM, FILTERS, HIDDEN = 8, 8, 32, 12
@@ -202,6 +202,7 @@ def score_documents(docs: DataFrame, net: Net) -> DataFrame:
 
 
 def op1_quality_net(spark, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score_documents(docs, train(docs, labels))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1

@@ -171,14 +171,16 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     runs = runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
     # Rows that repeat doc_id and text are told apart by a number; all else is joined by doc_id and text.
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    runs = runs.withColumn("k", key).withColumn("copy", F.row_number().over(Window.partitionBy("k", "mark", "turn").orderBy("at"))).select("k", F.col("mark").alias("m"), "turn", "copy", "runs")
+    runs = runs.withColumn("k", key).withColumn("copy", F.row_number().over(Window.partitionBy("k", "mark", "turn").orderBy("at"))).select("k", F.col("mark").alias("m"), "turn", "copy", "runs", F.col("size").alias("words"))
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), key.alias("key"), F.xxhash64("text").alias("mark"))
     rows = rows.withColumn("number", F.row_number().over(Window.partitionBy("key", "mark").orderBy(F.lit(1))))
     hit = rows.join(runs, (F.col("key") == F.col("k")) & (F.col("mark") == F.col("m"))).where("number = copy")
-    words = F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    text = F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(F.col("words"), (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")))), "")
-    hit = hit.withColumn("words", words).withColumn("new_text", F.regexp_replace(text, r"^[\x20\x09-\x0D]+", ""))
+    # A text that is taken whole stays as it is. Else its words are cut once: they are bound to a variable, lest each run cut them anew.
+    cut = F.array(F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)))
+    part = F.get(F.transform(cut, lambda w: F.array_join(F.flatten(F.transform("runs", lambda r: F.slice(w, (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")))), "")), F.lit(0))
+    taken = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["hi"] - r["lo"])
+    hit = hit.withColumn("new_text", F.when(taken == F.col("words"), F.col("row.text").cast("string")).otherwise(F.regexp_replace(part, r"^[\x20\x09-\x0D]+", "")))
     made = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast("long")}
     return hit.select(*[made[c].alias(c) if c in made else F.col("row").getField(c).alias(c) for c in names])
 
