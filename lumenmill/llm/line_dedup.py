@@ -169,7 +169,7 @@ def deduplicated(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("mark"))
     both = rows.join(ranges, (F.col("id") == F.col("i")) & (F.col("mark") == F.col("m")), "left")
 
-    @F.udf("struct<new_text: string, n_removed: long>", useArrow=False)
+    @F.udf("struct<new_text: string, n_removed: long>", useArrow=True)
     def without(text, ranges):  # runs for the rows that lose lines, only
         new, n = cut(text, [(r["lo"], r["hi"]) for r in ranges])
         return new, n
