@@ -9,7 +9,7 @@
    largest component: so a large group of copies costs its size, and no link is lost to a cap.
 3. A pair is a link only if the full sets agree: 100 * intersection >= 80 * union. (Set sizes and a
    sketch of four bits for each slot rule out hopeless pairs first, those which differ in
-   ``SKETCH_LIMIT`` slots: six deviations from where a pair at 0.8 lies.)
+   ``SKETCH_LIMIT`` slots: 4.5 deviations from where a pair at 0.8 lies, so as rare as a miss of all bands.)
 4. Links merge components by alternating large and small stars on a contracted graph.
 
 A band holds ``ROWS`` of 256 slots, so a pair at 0.8 misses all ``BANDS`` with probability
@@ -33,12 +33,12 @@ from .common import LOWER, U, blocks, checkpoint, mix, release, shingles_of, sma
 
 SLOTS, BANDS, ROWS = 256, 42, 6
 #: A sketch has 4 bits of each slot. At 0.8, 48 of 256 slots differ on average, with a deviation below 5.
-SKETCH, SKETCH_LIMIT = 16, 78
+SKETCH, SKETCH_LIMIT = 16, 70
 #: The bands of each round of stars; later rounds see pairs that are still apart only, with other members in the middle.
 STARS = (range(0, 6), range(6, BANDS), range(0, BANDS))
 BLOCK_BYTES = 1 << 20
 #: Documents that an element may stand in to be joined directly in the last round.
-RARE = 100
+RARE = 400
 #: Edges that one task merges at once, about 3 MB.
 AT_ONCE = 200_000
 SKETCHES = [f"s{i}" for i in range(SKETCH)]
@@ -225,7 +225,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     shared = keys.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.col("bucket").alias("b"))
     pairs_of = checkpoint(keys.join(shared, F.col("bucket") == F.col("b")).select("bucket", "band", "id").distinct())
     ids = pairs_of.select("id").distinct()
-    facts = checkpoint(nodes.select("id", "n", *SKETCHES).join(ids, "id").dropDuplicates(["id", "n", "s0"]))
+    facts = checkpoint(nodes.select("id", "n", *SKETCHES, "bands").join(ids, "id").dropDuplicates(["id", "n", "s0"]))
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     sets = checkpoint(full_sets(texts.join(ids, "id"), k).distinct())
     label = ids.select("id", F.col("id").alias("comp"))
@@ -237,7 +237,8 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
             members = members.where(F.col("band").between(STARS[turn].start, STARS[turn].stop - 1))
             mid = label.select(F.col("id").alias("c"), F.col("comp").alias("c_comp"))
             tries = members.join(open_, F.col("bucket") == F.col("b")).select("id", "comp", "center").distinct().join(mid, F.col("center") == F.col("c")).where("comp <> c_comp").select(F.least("id", "center").alias("u"), F.greatest("id", "center").alias("v")).distinct()
-            x, y = facts.alias("x"), facts.alias("y")
+            light = facts.drop("bands")
+            x, y = light.alias("x"), light.alias("y")
             tries = tries.join(x, F.col("u") == F.col("x.id")).join(y, F.col("v") == F.col("y.id")).where(_near("x", "y", percent)).select("u", "v").distinct()
         else:
             tries = _rest(members, open_, facts, sets, percent)
@@ -275,7 +276,7 @@ def _rest(members: DataFrame, open_: DataFrame, facts: DataFrame, sets: DataFram
     Heavily edited copies, whose edits are their own, are thereby out at once instead of in pairs
     with all of their group, and no pair that may link is lost.
     """
-    here = members.join(open_, F.col("bucket") == F.col("b")).select("bucket", "id", "comp")
+    here = members.join(open_, F.col("bucket") == F.col("b")).select("bucket", "band", "id", "comp")
     count = here.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
     main = count.groupBy("bucket").agg(F.max_by("comp", F.struct("size", "comp")).alias("main")).select(F.col("bucket").alias("b"), "main")
     who = here.select("id", "comp").distinct()
@@ -284,20 +285,23 @@ def _rest(members: DataFrame, open_: DataFrame, facts: DataFrame, sets: DataFram
     each = checkpoint(each.join(stands, F.col("e") == F.col("k")).select("id", "comp", "e", "df"))
     per = each.groupBy("id").agg(F.count("*").alias("shared"), F.count_if(F.col("df") > RARE).alias("usable"))
     known = checkpoint(facts.join(per, "id"))
+    light = known.drop("bands", "shared")
     need = F.floor((F.lit(percent) * F.col("n") + 99) / 100)
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "e"))  # a document's own elements
     rare = each.where(F.col("df") <= RARE).join(known.select("id", "n", "shared"), "id").withColumn("rank", rank).where(F.col("rank") <= F.col("shared") - need + 1)
     rare = checkpoint(rare.select("id", "comp", "e"))
     a, b = rare.alias("a"), rare.alias("b")
     sharing = a.join(b, (F.col("a.e") == F.col("b.e")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.comp") != F.col("b.comp"))).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
-    x, y = known.alias("x"), known.alias("y")
-    near = _near("x", "y", percent)
-    sharing = sharing.join(x, F.col("u") == F.col("x.id")).join(y, F.col("v") == F.col("y.id")).where(near).select("u", "v")
-    here = here.join(known.where(100 * F.col("usable") >= percent * F.col("n")), "id")
+    # Bucket mates, each pair in the first of its common buckets only.
+    here = here.join(known.where(100 * F.col("usable") >= percent * F.col("n")).select("id", "n", "usable", "bands"), "id")
     stray = here.join(main, F.col("bucket") == F.col("b")).where("comp <> main").alias("x")
     apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp"))
-    mates = stray.join(here.alias("y"), apart & _room(percent) & near).select(F.least("x.id", "y.id").alias("u"), F.greatest("x.id", "y.id").alias("v"))
-    return mates.unionByName(sharing).distinct()
+    sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    met = F.arrays_overlap(F.slice("x.bands", F.lit(1), F.col("x.band")), F.slice("y.bands", F.lit(1), F.col("x.band")))
+    mates = stray.join(here.alias("y"), apart & sizes & _room(percent) & ~met).select(F.least("x.id", "y.id").alias("u"), F.greatest("x.id", "y.id").alias("v"))
+    x, y = light.alias("x"), light.alias("y")
+    both = mates.unionByName(sharing).distinct()
+    return both.join(x, F.col("u") == F.col("x.id")).join(y, F.col("v") == F.col("y.id")).where(_near("x", "y", percent)).select("u", "v").distinct()
 
 
 def _room(percent: int) -> Column:
