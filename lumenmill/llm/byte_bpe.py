@@ -153,7 +153,7 @@ _made: dict[tuple, ByteBPE] = {}
 
 
 def encoder(raw_ranks: bytes, pattern: str) -> ByteBPE:
-    """This worker's encoder for a rank file; built once in each Python process."""
+    """This worker's encoder for a rank file; built once for each task."""
     key = (hashlib.sha256(raw_ranks).digest(), pattern)
     if key not in _made:
         _made.clear()
@@ -161,6 +161,11 @@ def encoder(raw_ranks: bytes, pattern: str) -> ByteBPE:
     return _made[key]
 
 
+def forget() -> None:
+    """Drop this worker's encoder and its tables at the end of a task, as Spark keeps workers for whatever comes next."""
+    _made.clear()
+
+
 def tokenize(docs: DataFrame, raw_ranks: bytes, pattern: str, text: str = "text", key: str = "doc_id", decode: bool = True) -> DataFrame:
     """key, ids (binary, little-endian unsigned 32-bit) and, with ``decode``, decoded (binary) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(raw_ranks)  # a rank file: its size does not depend on the data
@@ -181,6 +186,7 @@ def tokenize(docs: DataFrame, raw_ranks: bytes, pattern: str, text: str = "text"
                     cols = [keys.slice(at, len(ids)), pa.array(ids, pa.binary())] + ([pa.array(back, pa.binary())] if decode else [])
                     yield pa.RecordBatch.from_arrays(cols, names=["key", "ids", "decoded"][: len(cols)])
                     at, size, ids, back = i + 1, 0, [], []
+        forget()
 
     kind = docs.select(key).schema[0].dataType.simpleString()
     out = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, ids binary" + ", decoded binary" * decode)
@@ -210,6 +216,7 @@ def digests(docs: DataFrame, raw_ranks: bytes, pattern: str, text: str = "text",
                     yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * keep_ids, names=names)
                     at, size = i + 1, 0
                     n, a, d, kept = [], [], [], []
+        forget()
 
     kind = docs.select(key).schema[0].dataType.simpleString()
     out = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
