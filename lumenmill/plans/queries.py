@@ -431,24 +431,36 @@ for _pred in (True, False):
              W(f", {_whole} FINAL SELECT img, sum(r) AS r, sum(g) AS g, sum(b) AS b, sum(a) AS a, sum((r + g + b + a) * i) AS mark FROM whole GROUP BY img"), "img r g b a mark")
 
 
+FRAMES_EACH = 12
+
+
 def _animations(spark, sf_dir, blend: bool):
-    """One animation of all whole images as frames, on one canvas: few and small, so one task puts them together."""
+    """One animation of each ``FRAMES_EACH`` consecutive images, on a canvas of its own; the whole ones are frames. A frame lasts 10 ms and its place."""
     import pyarrow as pa
 
     def run(batches):
         import numpy as np
 
-        rows = sorted((k, v) for b in batches for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-        if rows:
-            made = [{"x": 0, "y": 0, "width": 32, "height": 32, "duration": 10 + k, "blend": blend, "dispose": False, "chunks": chunk(b"VP8L", lossless.encode_stream(np.frombuffer(v, np.uint8).reshape(32, 32, 4), "Rgba8"))} for k, v in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([build_animation(made, 32, 32, True)], pa.binary())], names=["anim", "content"])
+        for b in batches:
+            files = []
+            for frames in b.column(1).to_pylist():
+                made = [{"x": 0, "y": 0, "width": 32, "height": 32, "duration": 10 + f["img"] % FRAMES_EACH, "blend": blend, "dispose": False, "chunks": chunk(b"VP8L", lossless.encode_stream(np.frombuffer(f["pixels"], np.uint8).reshape(32, 32, 4), "Rgba8"))} for f in frames]
+                files.append(build_animation(made, 32, 32, True))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(files, pa.binary())], names=["anim", "content"])
+
+    lists = _rasters(spark, sf_dir).groupBy(F.floor(F.col("img") / FRAMES_EACH).cast("long").alias("anim")).agg(F.array_sort(F.collect_list(F.struct("img", "pixels"))).alias("frames"))
+    return lists.mapInArrow(run, "anim long, content binary")
+
 
-    return _rasters(spark, sf_dir).select("img", "pixels").where("img < 12").coalesce(1).mapInArrow(run, "anim long, content binary")
+def _frame_sums(spark, sf_dir, blend: bool):
+    """``_sums`` of every frame of every animation; ``frame_no`` counts through all of them, so it is the image's number."""
+    decoded = I.decode_frames(_animations(spark, sf_dir, blend), key="anim")
+    return _sums(decoded.withColumn("frame_no", F.col("anim") * FRAMES_EACH + F.col("duration_ms") - 10), "frame_no")
 
 
-register("frames_decode", lambda s, d: _sums(I.decode_frames(_animations(s, d, False), key="anim"), "frame_no"),
+register("frames_decode", lambda s, d: _frame_sums(s, d, False),
          W(f", {_whole} FINAL SELECT img AS frame_no, sum(r) AS r, sum(g) AS g, sum(b) AS b, sum(a) AS a, sum((r + g + b + a) * i) AS mark FROM whole WHERE img < 12 GROUP BY img"), "frame_no r g b a mark")
-register("frames_blend", lambda s, d: _sums(I.decode_frames(_animations(s, d, True), key="anim"), "frame_no"),
+register("frames_blend", lambda s, d: _frame_sums(s, d, True),
          f"WITH RECURSIVE {GRID}, {_whole}, c AS (SELECT y, x, CAST(-1 AS BIGINT) AS f, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS g, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS a FROM whole WHERE img = 0 UNION ALL SELECT c.y, c.x, t.img, {_fold('r')}, {_fold('g')}, {_fold('b')}, CASE WHEN t.a = 0 THEN c.a ELSE t.a + ({_under}) END FROM c JOIN whole t ON t.y = c.y AND t.x = c.x AND t.img = c.f + 1 AND t.img < 12) FINAL SELECT f AS frame_no, sum(r) AS r, sum(g) AS g, sum(b) AS b, sum(a) AS a, sum((r + g + b + a) * (y * 32 + x)) AS mark FROM c WHERE f >= 0 GROUP BY f", "frame_no r g b a mark")
 register("image_metadata", lambda s, d: I.metadata(I.encode_images(_rasters(s, d), "img"), "img").select("img", "width", "height", F.col("has_alpha").cast("int").alias("has_alpha"), "buffer_size", "kind"),
          W(f", {_whole} FINAL SELECT DISTINCT img, 32 AS width, 32 AS height, 1 AS has_alpha, 4096 AS buffer_size, 'lossless' AS kind FROM whole"), "img width height has_alpha buffer_size", "kind")
