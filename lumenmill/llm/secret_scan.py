@@ -11,7 +11,7 @@ gaps and ``regexp_extract_all`` the matches of the same pattern, so running sums
 are the positions.
 
 Defined results: null text counts as empty (no findings); repeated rows and copies each get the
-findings of their blob; a null path stays a row; an empty ledger or None means that nothing has
+findings of their blob; a null path stays a row and its text is scanned like any other; an empty ledger or None means that nothing has
 been scanned yet.
 """
 
@@ -82,8 +82,11 @@ def scan_history(versions: DataFrame, ledger: DataFrame | None = None, rules: tu
     rows = versions.select("path", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     keyed = rows.select("path", F.sha2("text", 256).alias("blob"))
     # One path of each blob stands for its text. The text itself is shuffled once, by path, rather than carried through an aggregate.
-    stand_in = keyed.where("path is not null").groupBy("blob").agg(F.min("path").alias("path"))
-    texts = rows.where("path is not null").withColumn("blob", F.sha2("text", 256)).join(stand_in, ["path", "blob"]).select("blob", "text")
+    # A blob that only rows without a path hold is taken from those; they are rare, and repeated ones are one again below.
+    stand_in = keyed.groupBy("blob").agg(F.min("path").alias("path"))
+    named = rows.where("path is not null").withColumn("blob", F.sha2("text", 256)).join(stand_in.where("path is not null"), ["path", "blob"]).select("blob", "text")
+    nameless = rows.where("path is null").select(F.sha2("text", 256).alias("blob"), "text").dropDuplicates(["blob"])
+    texts = named.unionByName(nameless.join(stand_in.where("path is null").select("blob"), "blob", "left_semi"))
     names = [r.kind for r in rules]
     if ledger is None:
         todo = texts.withColumn("seen", F.lit(None).cast("array<string>"))

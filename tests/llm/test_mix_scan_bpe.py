@@ -75,6 +75,18 @@ def test_secret_spans(spark):
     assert entries.select("blob", "rule").distinct().count() == entries.count()
 
 
+def test_secrets_of_rows_without_a_path(spark):
+    rows = [(None, SECRETS[0]), (None, SECRETS[0]), (None, SECRETS[3]), (None, None), (1, SECRETS[5]), (None, SECRETS[5]), (2, "clean")]
+    versions = spark.createDataFrame(rows, "path long, text string")
+    found, entries = secret_scan.scan_history(versions)
+    got = sorted((r.path or 0, r.s) for r in found.select("path", secret_scan.digest(F.col("found"), True).alias("s")).collect())
+    assert got == sorted((i or 0, spans(t or "")) for i, t in rows) and spans(SECRETS[0]) and spans(SECRETS[3])
+    keys = [(r.blob, r.rule) for r in entries.select("blob", "rule").collect()]
+    assert len(set(keys)) == len(keys) == len({t or "" for _, t in rows}) * len(secret_scan.RULES)
+    again, new = secret_scan.scan_history(versions, entries)
+    assert new.count() == 0 and sorted((r.path or 0, r.s) for r in again.select("path", secret_scan.digest(F.col("found"), True).alias("s")).collect()) == got
+
+
 def test_ledger_scans_only_what_is_new(spark):
     old = spark.createDataFrame([(1, "token=abcdef1")], "path long, text string")
     first, entries = secret_scan.scan_history(old, rules=secret_scan.RULES[:2])
