@@ -6,8 +6,10 @@ of two); a class has windows of twice its greatest length, a quarter of that apa
 stretch of one and a half times the length lies whole in a window.
 
 A window and a template meet if they agree in one of ``BANDS`` single-row MinHash bands. A window
-that holds 80 % of a template's shingles resembles it by at least 0.8 * t / (w + 0.2 * t), which
-is above 0.18 in every class, so all bands miss with probability below (1 - 0.18) ** 64 = 3e-6.
+of w shingles that holds 80 % of a template's t shingles resembles it by at least
+0.8 * t / (w + 0.2 * t), so all bands miss with probability below (1 - that) ** BANDS. A template for
+which this exceeds ``MISS`` (one with few shingles for its window) is not looked for by bands:
+every shingle of the text is compared with its set, and windows that hold enough of them meet it.
 Then the template's shingles inside the window are counted exactly: a match has 80 % of them.
 Matches of one template that overlap are one span, from the first to the last shingle found.
 
@@ -29,6 +31,7 @@ from . import common
 from .common import LOWER, U, blocks, mix, shingles_of, small_batches, span_hashes, text_column
 
 K, BANDS, PERCENT = 5, 64, 80
+MISS = 3e-6
 BLOCK_BYTES = 1 << 20
 
 # Public license notices, by SPDX identifier.
@@ -79,7 +82,7 @@ class Library:
 
     def __init__(self, templates=TEMPLATES):
         self.names = [n for n, _ in templates]
-        self.sets, self.size, self.signature, self.classes = [], [], [], {}
+        self.sets, self.size, self.signature, self.classes, self.exact = [], [], [], {}, set()
         for i, (_, text) in enumerate(templates):
             raw = np.frombuffer(text.encode(), np.uint8)
             starts, _, _, grams, _ = prepare(raw, np.array([0, len(raw)]))
@@ -87,7 +90,12 @@ class Library:
             self.size.append(len(starts))
             self.signature.append(minima(grams, np.array([0]))[0] if len(grams) else None)
             if len(grams):
-                self.classes.setdefault(max(3, int(np.ceil(np.log2(max(len(starts), 1))))), []).append(i)
+                size = max(3, int(np.ceil(np.log2(max(len(starts), 1)))))
+                self.classes.setdefault(size, []).append(i)
+                t, w = len(self.sets[i]), 2 << size
+                if (1 - PERCENT * t / (100 * w + (100 - PERCENT) * t)) ** BANDS > MISS:
+                    self.exact.add(i)
+        self.few = np.unique(np.concatenate([self.sets[i] for i in sorted(self.exact)] or [np.zeros(0, U)]))
 
     def scan(self, data: np.ndarray, off: np.ndarray, banded: bool = True) -> list[tuple[int, int, int, int, float]]:
         """(row, template, first byte, end byte, containment) of all matches, ordered. Without ``banded`` every window is verified (for tests)."""
@@ -104,6 +112,8 @@ class Library:
         row = np.repeat(np.arange(n_rows), runs)
         cuts = np.repeat(at[:-1], runs) + unit * (np.arange(begin[-1]) - np.repeat(begin[:-1], runs))
         low = minima(grams, cuts)
+        # Where the shingles stand that belong to a template without bands.
+        places = np.flatnonzero(self.few[np.minimum(np.searchsorted(self.few, grams), len(self.few) - 1)] == grams) if len(self.few) else np.zeros(0, np.int64)
         for size, members in sorted(self.classes.items()):
             step, width = (1 << (size - 1)) // unit, (2 << size) // unit  # in runs
             have = low
@@ -115,7 +125,14 @@ class Library:
             place = np.arange(len(row)) - begin[row]
             windows = np.flatnonzero(place % step == 0)
             for t in members:
-                hit = windows[(have[windows] == self.signature[t]).any(1)] if banded else windows
+                if not banded:
+                    hit = windows
+                elif t in self.exact:
+                    own = places[np.isin(grams[places], self.sets[t])]
+                    stop = np.minimum(cuts[windows] + width * unit, at[row[windows] + 1])
+                    hit = windows[100 * (np.searchsorted(own, stop) - np.searchsorted(own, cuts[windows])) >= PERCENT * len(self.sets[t])] if len(own) else windows[:0]
+                else:
+                    hit = windows[(have[windows] == self.signature[t]).any(1)]
                 for w in hit:
                     r = row[w]
                     a, z = cuts[w], min(cuts[w] + width * unit, at[r + 1])

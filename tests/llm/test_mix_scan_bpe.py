@@ -124,6 +124,19 @@ def test_licenses_against_all_windows(spark):
     assert found[1][0] == ("Apache-2.0", license_scan.TEMPLATES[0][1]) and not found[2] and not found[3]
 
 
+def test_short_notices_are_never_missed():
+    """Notices of few shingles at the start of a text stand in one window only."""
+    rng, library = random.Random(8), license_scan.Library()
+    for t in (i for i, (_, x) in enumerate(license_scan.TEMPLATES) if len(library.sets[i]) <= 8):
+        raw = [" ".join([license_scan.TEMPLATES[t][1], *(f"w{rng.randrange(10**9)}" for _ in range(60))]).encode() for _ in range(1500)]
+        data, off = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+        found = library.scan(data, off)
+        assert {r for r, i, *_ in found if i == t} == set(range(1500)), license_scan.TEMPLATES[t]
+    for i, s in enumerate(library.sets):  # the stated bound, for all others
+        w = 2 << next(k for k, v in library.classes.items() if i in v)
+        assert i in library.exact or (1 - 0.8 * len(s) / (w + 0.2 * len(s))) ** license_scan.BANDS <= 3e-6
+
+
 def test_bpe_equals_the_library(spark, odd, empty):
     tiktoken = pytest.importorskip("tiktoken")
     raw, pattern = byte_bpe.public_ranks()
