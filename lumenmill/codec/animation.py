@@ -24,7 +24,7 @@ class Options:
 
     upsampling: str = "bilinear"
     background: tuple[int, int, int, int] | None = None
-    tables: lossy.Tables | None = None
+    tables: lossy.Tables | None = lossy.STANDARD
 
 
 @dataclass

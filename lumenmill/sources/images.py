@@ -132,7 +132,7 @@ def decode_frames(images: DataFrame, options: Options = Options(), key: str = "p
 SAMPLES = {"L8": 1, "La8": 2, "Rgb8": 3, "Rgba8": 4}
 
 
-def encode_image(data: bytes, width: int, height: int, color: str, use_predictor: bool = True, use_lossy: bool = False, quality: int = 95, tables: lossy.Tables | None = None, icc: bytes = b"", exif: bytes = b"", xmp: bytes = b"") -> bytes:
+def encode_image(data: bytes, width: int, height: int, color: str, use_predictor: bool = True, use_lossy: bool = False, quality: int = 95, tables: lossy.Tables | None = lossy.STANDARD, icc: bytes = b"", exif: bytes = b"", xmp: bytes = b"") -> bytes:
     """A file for raw samples of a color type."""
     if color not in SAMPLES or len(data) != width * height * SAMPLES[color]:
         raise CodecError("InvalidParameter", "samples do not fit the size and color type")

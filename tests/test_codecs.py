@@ -175,6 +175,24 @@ def test_lossy_needs_tables():
         lossy.encode(np.zeros((4, 4, 3), np.uint8), "Rgb8", 90, None)
 
 
+RED = "524946463c000000574542505650382030000000d001009d012a{n:02x}00{n:02x}0002003425a00274ba01f80003b000fef0c40bff20b96175c8d7ff203fe407fc80fff8f2000000"
+
+
+@pytest.mark.parametrize("n", [2, 3])
+def test_lossy_files_of_another_encoder(n):
+    """Red squares that another program wrote, with the format's own tables: all pixels the same red."""
+    px = animation.decode(bytes.fromhex(RED.format(n=n)))
+    assert px.shape[:2] == (n, n) and len(np.unique(px.reshape(n * n, -1), axis=0)) == 1
+    assert px[0, 0, 0] > 240 and px[0, 0, 1:3].max() < 16
+
+
+def test_lossy_without_tables_named():
+    y, x = np.mgrid[:40, :40]
+    data = np.stack([4 * x, 4 * y, 2 * (x + y)], -1).astype(np.uint8)
+    out = animation.decode(encode_image(data.tobytes(), 40, 40, "Rgb8", use_lossy=True, quality=95))
+    assert np.abs(out[:39, :39, :3].astype(int) - data[:39, :39]).mean() < 6
+
+
 def test_block_transforms():
     p = RNG.integers(-255, 256, (50, 4, 4))
     assert np.abs(lossy.idct(lossy.dct(p)) - p).max() <= 2
