@@ -1,20 +1,27 @@
-"""Line dedup by winnowing: later repeats of runs of lines are deleted.
-
-Lines are compared after trimming white space; lines without a word take no part. A window is the
-shortest run of lines with ``MIN_WORDS`` words or more that starts at a line, or that ends at one.
-Each window's smallest line hash is a selected fingerprint, so two texts that share a run of that
-many words share a fingerprint, for the run holds a whole window in both.
-
-Fingerprints met once are done with. Around each of the others the match is extended both ways:
-the windows that hold it, forwards and backwards, are compared by two 64-bit hashes with the first
-place where the same lines stand. A run that repeats is the union of the windows inside it (a line
-that no forward window from the run's start covers ends a backward window inside the run), so
-deleting the windows which stand earlier elsewhere deletes exactly the later runs, blank lines
-inside them included. Earlier means a smaller doc_id, then a smaller line number; a run that
-overlaps its own first place loses only what lies beyond it.
+"""Line dedup by winnowing: later repeats of runs of ``MIN_WORDS`` words or more are deleted.
+
+A run may begin and end inside lines and be broken into lines anywhere (``unit="word"``, what the
+query and the pipeline use). A window is ``MIN_WORDS`` words in a row; its smallest hash of half as
+many words in a row is a selected fingerprint, so two texts that share a run of that many words
+share a fingerprint. Consecutive windows with one fingerprint are a group, and the words that a
+group spans are hashed as a whole.
+
+Fingerprints met once are done with. Around the others the match is extended both ways. A group
+which stands earlier elsewhere is deleted whole. At the ends of a run, where groups differ though
+they share windows, the windows themselves are compared: those of the first group of each kind,
+only, as every window of the others stands in these. So are those of a group that has its fingerprint
+in several places, for it may repeat inside itself. So a word goes if, and only if, a window that
+holds it stands earlier elsewhere. Earlier means a smaller doc_id, then a smaller place; a run that
+overlaps its own first place loses only what lies beyond it. Lines that lose all their words go
+(``n_removed``), and blank lines inside a run with them; other lines keep the rest of their words.
+
+With ``unit="line"`` only whole lines count, compared after trimming white space: a window is the
+shortest run of lines with that many words that starts at a line, or that ends at one, its
+fingerprint the smallest line hash, and the windows are compared with the first place of the same
+lines.
 
 Only minima and counts are aggregated for a hash, so a passage in a third of all texts is no burden
-to one task, and no group is collected; a row's ranges are bounded by its own lines.
+to one task, and no group is collected; a row's ranges are bounded by its own words.
 
 Defined results: a null text stays null, an empty one empty; shorter repeats stay; rows with equal
 doc_id and text are one document and come out alike; a null doc_id comes after all others; an
@@ -28,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BASE_INV, BYTE, IS_SPACE, U, blocks, checkpoint, mix, powers, small_batches, span_hashes, text_column
+from .common import BASE, BASE_INV, BYTE, IS_SPACE, U, blocks, checkpoint, mix, powers, release, small_batches, span_hashes, text_column, words_of
 
 MIN_WORDS = 50
 BYTE_2 = mix(BYTE + U(12345))
@@ -161,17 +168,159 @@ def cut(text: str, ranges: list) -> tuple[str, int]:
     return "\n".join([x for x, k in zip(lines, keep, strict=True) if k]), int((~keep).sum())
 
 
-def deduplicated(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """``row`` (the columns of ``docs``), new_text, n_lines, n_removed."""
-    ranges = repeats(docs, least).groupBy("id", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))  # at most twice a row's own lines
+class Words:
+    """The words of a block of rows, and hashes of any runs of them."""
+
+    def __init__(self, data: np.ndarray, off: np.ndarray, least: int):
+        starts, ends, self.first = words_of(data, off)
+        n, self.least, k = len(starts), least, (least + 1) // 2
+        self.n, self.inverse = n, powers(BASE_INV, n + 1)[: n + 1]
+        one = span_hashes(data, starts, ends)
+        with np.errstate(over="ignore"):
+            self.one, self.two = (np.concatenate([np.zeros(1, U), np.cumsum(h * powers(BASE, n)[:n], dtype=U)]) for h in (one, mix(one)))
+        last = np.arange(n)
+        low = gram = self.hashes(self.one, last, np.minimum(last + k, n))
+        span, width = 1, least - k + 1  # minima over span grams, doubled up to the window's
+        while span < width:
+            step = min(span, width - span)
+            low = np.minimum(low, low[np.minimum(last + step, n - 1)]) if n else low
+            span += step
+        self.gram, self.wide = gram, width
+        self.low = low  # of the window that starts at a word; only those inside a row count
+
+    def hashes(self, total: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((total[b] - total[a]) * self.inverse[a] + mix((b - a).astype(U)))
+
+    def groups(self):
+        """Row, fingerprint, hash, first and last word (in its row) of each group, and in how many places it has the fingerprint."""
+        per = np.maximum(np.diff(self.first) - self.least + 1, 0)
+        row = np.repeat(np.arange(len(per)), per)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per) + self.first[row]
+        low = self.low[at]
+        new = np.ones(len(row), bool)
+        new[1:] = (low[1:] != low[:-1]) | (row[1:] != row[:-1])
+        begin = np.flatnonzero(new)
+        end = np.append(begin[1:], len(row))[: len(begin)] - 1
+        a, b = at[begin], at[end] + self.least
+        own = self.first[row[begin]]
+        size = end - begin + self.wide
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(a, size)
+        same = self.gram[at] == np.repeat(low[begin], size)
+        places = np.add.reduceat(same.astype(np.int64), np.cumsum(size) - size) if len(size) else size
+        return row[begin], low[begin].view(np.int64), self.hashes(self.two, a, b).view(np.int64), a - own, b - 1 - own, places
+
+    def windows(self, row: int, spans: list):
+        """Fingerprint, hash and first word of each window inside spans (first and last word) of a row."""
+        at = np.concatenate([np.arange(x["lo"], x["hi"] - self.least + 2) for x in spans]) + self.first[row]
+        return self.low[at].view(np.int64), self.hashes(self.two, at, at + self.least).view(np.int64), at - self.first[row]
+
+
+def word_groups(docs: DataFrame, least: int) -> DataFrame:
+    """id, mark and the groups' fp, g, lo, hi, places (lists) of every row of docs (id, mark, text)."""
+
+    def run(batches):
+        for b in batches:
+            at = 0
+            for _, _, data, off in blocks(text_column(b)):
+                n = len(off) - 1
+                row, fp, g, lo, hi, places = Words(data, off, least).groups()
+                lists = _lists(row, n, (fp, np.int64), (g, np.int64), (lo, np.int32), (hi, np.int32), (places, np.int32))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), b.column(1).slice(at, n), *lists], names=["id", "mark", "fp", "g", "lo", "hi", "places"])
+                at += n
+
+    return docs.select("id", "mark", "text").mapInArrow(run, "id long, mark long, fp array<long>, g array<long>, lo array<int>, hi array<int>, places array<int>")
+
+
+def word_windows(docs: DataFrame, least: int) -> DataFrame:
+    """A row (id, mark, fp, w, lo) for each window inside the ``spans`` of docs (id, mark, text, spans)."""
+
+    def run(batches):
+        for b in batches:
+            at = 0
+            for _, _, data, off in blocks(text_column(b)):
+                words = Words(data, off, least)
+                n = len(off) - 1
+                fp, w, lo = zip(*(words.windows(r, b.column(3)[at + r].as_py()) for r in range(n)), strict=True)
+                take = pa.array(np.repeat(np.arange(at, at + n), [len(x) for x in lo]))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *(pa.array(np.concatenate(x).astype(t)) for x, t in ((fp, np.int64), (w, np.int64), (lo, np.int32)))], names=["id", "mark", "fp", "w", "lo"])
+                at += n
+
+    return docs.select("id", "mark", "text", "spans").mapInArrow(run, "id long, mark long, fp long, w long, lo int")
+
+
+def word_repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """(id, mark, lo, hi): the ranges of words of each document that stand earlier elsewhere."""
+    texts = keyed(docs)
+    made = word_groups(texts, least).where(F.size("fp") > 0)  # made twice rather than kept, for the sake of the disk
+    often = made.select(F.explode(F.arrays_zip("fp", "places")).alias("x")).select(F.col("x.fp").alias("f"), "x.places").groupBy("f").agg(F.sum("places").alias("n")).where("n > 1").select("f")
+    each = made.select("id", "mark", F.explode(F.arrays_zip("fp", "g", "lo", "hi", "places")).alias("x")).select("id", "mark", "x.*")
+    near = checkpoint(each.join(often, F.col("fp") == F.col("f")).drop("f"))
+    del made, often, each
+    release(docs.sparkSession)
+    place = ["id", "mark", "lo"]
+    first = checkpoint(near.groupBy("fp", "g").agg(F.min(F.struct(*place, "hi")).alias("first"), F.max("places").alias("places"), F.count("*").alias("n")))
+    beyond = F.when((F.col("id") == F.col("first.id")) & (F.col("mark") == F.col("first.mark")), F.greatest("lo", F.col("first.lo") + least)).otherwise(F.col("lo"))
+
+    def later(rows: DataFrame, firsts: DataFrame, key: str) -> DataFrame:
+        firsts = firsts.where("n > 1").select(F.col("fp").alias("f1"), F.col(key).alias("f2"), "first")
+        both = rows.join(firsts, (F.col("fp") == F.col("f1")) & (F.col(key) == F.col("f2")))
+        return both.where(~(F.struct(*place) == F.struct("first.id", "first.mark", "first.lo"))).select("id", "mark", beyond.alias("lo"), "hi").where("lo <= hi")
+
+    # Fingerprints with groups of several kinds, or with one that may repeat inside itself: windows of the first of each kind.
+    mixed = first.groupBy("fp").agg(F.count("*").alias("kinds"), F.max("places").alias("p")).where("kinds > 1 or p > 1").select(F.col("fp").alias("f"))
+    spans = first.join(mixed, F.col("fp") == F.col("f")).groupBy(F.col("first.id").alias("i"), F.col("first.mark").alias("m")).agg(F.collect_list(F.struct("first.lo", "first.hi")).alias("spans"))
+    windows = checkpoint(word_windows(texts.join(spans, (F.col("id") == F.col("i")) & (F.col("mark") == F.col("m"))), least))
+    del mixed, spans
+    release(docs.sparkSession)
+    start = checkpoint(windows.groupBy("fp", "w").agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    release(docs.sparkSession)
+    found = checkpoint(later(near, first, "g").unionByName(later(windows.withColumn("hi", (F.col("lo") + (least - 1)).cast("int")), start, "w")))
+    del start, windows, near, first
+    release(docs.sparkSession)  # the shuffles before go before the texts are shuffled once more
+    return found
+
+
+def cut_words(text: str, ranges: list) -> tuple[str, int]:
+    """The text without the words in ``ranges`` ((first, last), any order), and how many lines went for it."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, _ = words_of(data, np.array([0, len(data)]))
+    n = len(starts)
+    lo, hi = np.array(ranges, np.int64).reshape(-1, 2).T
+    level = lambda size, a, b: np.cumsum(np.bincount(a, minlength=size + 1) - np.bincount(b, minlength=size + 1))[:size] > 0
+    gone, inside = level(n, lo, hi + 1), level(n, lo, hi)  # inside: the word and the next one are in one range
+    breaks = np.flatnonzero(data == 10)
+    begin, stop = np.append(0, breaks + 1), np.append(breaks, len(data))
+    line = np.searchsorted(breaks, starts)
+    total, kept = np.bincount(line, minlength=len(begin)), np.bincount(line[~gone], minlength=len(begin))
+    before = np.searchsorted(starts, begin) - 1
+    drop = (kept == 0) & ((total > 0) | (before >= 0) & inside[before])
+    # In other lines a word goes with the space up to the next; what trails the last one kept goes too.
+    out = np.flatnonzero(gone & (kept[line] > 0))
+    final = np.append(line[1:] != line[:-1], True)
+    upto = np.where(final, stop[line], np.append(starts[1:], len(data)))
+    stay = np.flatnonzero(~gone)
+    tail = stay[np.append(line[stay][1:] != line[stay][:-1], True)[: len(stay)] & ~final[stay]]
+    a, b = [starts[out], ends[tail], begin[drop]], [upto[out], stop[line[tail]], np.minimum(stop[drop] + 1, len(data))]
+    left = np.flatnonzero(~drop)
+    if len(left) and left[-1] < len(begin) - 1:  # the break before lines that went at the end
+        a.append(stop[left[-1:]])
+        b.append(stop[left[-1:]] + 1)
+    return data[~level(len(data), np.concatenate(a), np.concatenate(b))].tobytes().decode(), int(drop.sum())
+
+
+def deduplicated(docs: DataFrame, least: int = MIN_WORDS, unit: str = "line") -> DataFrame:
+    """``row`` (the columns of ``docs``), new_text, n_lines, n_removed. ``unit``: line or word, what a run is made of."""
+    find, cut_out = (word_repeats, cut_words) if unit == "word" else (repeats, cut)
+    ranges = find(docs, least).groupBy("id", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))  # bounded by a row's own units
     ranges = ranges.select(F.col("id").alias("i"), F.col("mark").alias("m"), "ranges")
     text = F.col("text").cast("string")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("mark"))
     both = rows.join(ranges, (F.col("id") == F.col("i")) & (F.col("mark") == F.col("m")), "left")
 
     @F.udf("struct<new_text: string, n_removed: long>", useArrow=True)
-    def without(text, ranges):  # runs for the rows that lose lines, only
-        new, n = cut(text, [(r["lo"], r["hi"]) for r in ranges])
+    def without(text, ranges):  # runs for the rows that lose something, only
+        new, n = cut_out(text, [(r["lo"], r["hi"]) for r in ranges])
         return new, n
 
     hit = both.where("ranges is not null").withColumn("x", without(F.col("row.text").cast("string"), "ranges"))
@@ -183,12 +332,12 @@ def deduplicated(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 
 def filter_documents(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """``docs`` without later repeated runs; a document that loses all its words goes. n_chars follows the text."""
-    done = deduplicated(docs, least).where("n_removed = 0 or new_text rlike '[^ \\\\t-\\\\r]'")
+    done = deduplicated(docs, least, "word").where("n_removed = 0 or new_text rlike '[^ \\\\t-\\\\r]'")
     made = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast("long")}
     return done.select(*[made[c].alias(c) if c in made else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    done = deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    done = deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"), unit="word")
     return done.select("row.doc_id", "n_lines", "n_removed", F.col("new_text").alias("text"))

@@ -110,6 +110,53 @@ def test_lines_match_brute_force(spark):
     assert {r.doc_id: r.new_text for r in got} == lines_brute(rows)
 
 
+def words_brute(rows, least=50):
+    """The lines of words that stay, by comparing all windows of words."""
+    first, gone, texts = {}, collections.defaultdict(set), []
+    for i, t in rows:
+        texts.append((i, [(k, w) for k, x in enumerate(t.split("\n")) for w in x.encode().split()]))
+    for i, ws in texts:
+        for a in range(len(ws) - least + 1):
+            key = tuple(w for _, w in ws[a : a + least])
+            j, b = first.setdefault(key, (i, a))
+            if (i, a) != (j, b):
+                gone[i].update(range(max(a, b + least) if i == j else a, a + least))
+    out = {}
+    for i, ws in texts:
+        lines = collections.defaultdict(list)
+        for a, (k, w) in enumerate(ws):
+            if a not in gone[i]:
+                lines[k].append(w)
+        out[i] = [lines[k] for k in sorted(lines)]
+    return out
+
+
+def test_runs_inside_lines_match_brute_force(spark):
+    rng, rows = random.Random(6), []
+    passages = [[f"p{k}_{j}" for j in range(rng.randrange(45, 130))] for k in range(8)] + [["c"] * 60, ["a", "b", "c"] * 40]
+    for i in range(220):
+        words = []
+        for _ in range(rng.randrange(5)):
+            p = rng.choice(passages)
+            a = rng.choice([0, 0, rng.randrange(20)])
+            words += p[a : len(p) - rng.choice([0, 0, rng.randrange(20)])] if rng.random() < 0.6 else [f"x{rng.randrange(99)}" for _ in range(rng.randrange(70))]
+        if i % 5 == 0:  # repeats inside this text, only
+            words += [f"u{i}_{j % (1, 3, 40)[i % 3]}" for j in range(150)] + [f"v{i}_{j % (1 + i % 70)}" for j in range(160)]
+        rows.append((i, "".join(w + rng.choice([" "] * 8 + ["\n", " \n\n", "  "]) for w in words)))
+    got = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), unit="word").select("row.doc_id", "new_text").collect()
+    lines = {r.doc_id: [x.encode().split() for x in r.new_text.split("\n") if x.split()] for r in got}
+    want = words_brute(rows)
+    assert lines == want and sum(len(x) for v in want.values() for x in v) < sum(len(t.split()) for _, t in rows)
+
+
+def test_passage_inside_longer_lines(spark, tmp_path):
+    p = [f"p{k}" for k in range(54)]
+    rows = [(1, "one two " + " ".join(p) + " three"), (2, "  four " + " ".join(p[:20]) + " \n\n" + " ".join(p[20:40]) + "\n" + " ".join(p[40:]) + "  five é\nsix")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (rows[0][1], 1, 0), 2: ("  four\nfive é\nsix", 5, 2)}
+
+
 def test_lines_odd_rows(spark, odd, empty):
     out = line_dedup.filter_documents(odd)
     got = out.collect()
