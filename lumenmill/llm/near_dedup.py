@@ -9,7 +9,8 @@
    largest component: so a large group of copies costs its size, and no link is lost to a cap.
 3. A pair is a link only if the full sets agree: 100 * intersection >= 80 * union. (Set sizes and a
    sketch of four bits for each slot rule out hopeless pairs first, those which differ in
-   ``SKETCH_LIMIT`` slots: 4.5 deviations from where a pair at 0.8 lies, so as rare as a miss of all bands.)
+   ``SKETCH_LIMIT`` slots: as rare for a pair at 0.8 as a miss of all bands, also if slots are independent,
+   as they nearly are for sets much larger than the signature.)
 4. Links merge components by alternating large and small stars on a contracted graph.
 
 A band holds ``ROWS`` of 256 slots, so a pair at 0.8 misses all ``BANDS`` with probability
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, U, blocks, checkpoint, mix, release, shingles_of, small_batches, span_hashes, text_column, words_of
 
 SLOTS, BANDS, ROWS = 256, 42, 6
-#: A sketch has 4 bits of each slot. At 0.8, 48 of 256 slots differ on average, with a deviation below 5.
-SKETCH, SKETCH_LIMIT = 16, 70
+#: A sketch has 4 bits of each slot. At 0.8, 48 of 256 slots differ on average; in long texts the number is binomial, with a deviation of 6.2.
+SKETCH, SKETCH_LIMIT = 16, 79
 #: The bands of each round of stars; later rounds see pairs that are still apart only, with other members in the middle.
 STARS = (range(0, 6), range(6, BANDS), range(0, BANDS))
 BLOCK_BYTES = 1 << 20

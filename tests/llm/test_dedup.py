@@ -1,4 +1,5 @@
 import collections
+import math
 import random
 
 import numpy as np
@@ -76,6 +77,13 @@ def test_signatures_estimate_resemblance():
     assert abs(est.mean() - want) < 0.01 and est.std() < np.sqrt(want * (1 - want) / near_dedup.SLOTS)
 
 
+def test_sketch_drops_no_more_than_the_bands():
+    """In long texts the slots that differ are binomial: a pair at 0.8 reaches the limit no more often than it misses all bands."""
+    p = 0.2 * 15 / 16
+    tail = sum(math.comb(near_dedup.SLOTS, x) * p**x * (1 - p) ** (near_dedup.SLOTS - x) for x in range(near_dedup.SKETCH_LIMIT, near_dedup.SLOTS + 1))
+    assert tail <= (1 - 0.8**near_dedup.ROWS) ** near_dedup.BANDS
+
+
 def lines_brute(rows, least=50):
     seen, gone, windows = {}, collections.defaultdict(set), []
     for i, t in rows:
