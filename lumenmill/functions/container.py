@@ -9,11 +9,9 @@ from pyspark.sql import functions as F
 def little(content: Column, at: int | Column, n: int) -> Column:
     """Unsigned little-endian integer of n bytes (BIGINT); null past the end."""
     start = F.lit(at) if isinstance(at, int) else at
-    byte = lambda k: F.conv(F.hex(F.substring(content, start + k + 1, F.lit(1))), 16, 10).cast("long") * (1 << 8 * k)
-    total = byte(0)
-    for k in range(1, n):
-        total = total + byte(k)
-    return F.when(F.length(content) >= start + n, total)
+    digits = F.hex(F.substring(content, start + 1, F.lit(n)))
+    swapped = F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(n))])
+    return F.when(F.length(content) >= start + n, F.conv(swapped, 16, 10).cast("long"))
 
 
 def name_at(content: Column, at: int) -> Column:
@@ -22,14 +20,14 @@ def name_at(content: Column, at: int) -> Column:
 
 def sent(value: Column, n: int) -> Column:
     """n little-endian bytes of a number."""
-    byte = lambda k: F.unhex(F.lpad(F.hex(F.floor(value / (1 << 8 * k)).cast("long") % 256), 2, "0"))
-    return F.concat(*[byte(k) for k in range(n)])
+    digits = F.lpad(F.hex(value.cast("long")), 2 * n, "0")
+    return F.unhex(F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(n))]))
 
 
-def chunk(name: str, payload: Column) -> Column:
+def chunk(name: str | Column, payload: Column) -> Column:
     """A chunk: name, size, contents, padded to an even number of bytes."""
     size = F.length(payload).cast("long")
-    return F.concat(F.encode(F.lit(name), "UTF-8"), sent(size, 4), payload, F.when(size % 2 == 1, F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit(""))))
+    return F.concat(F.encode(F.lit(name) if isinstance(name, str) else name, "UTF-8"), sent(size, 4), payload, F.when(size % 2 == 1, F.unhex(F.lit("00"))).otherwise(F.unhex(F.lit(""))))
 
 
 def riff(chunks: Column) -> Column:
@@ -37,26 +35,32 @@ def riff(chunks: Column) -> Column:
 
 
 def bit(x: Column, n: int) -> Column:
-    return F.floor(x / (1 << n)).cast("long") % 2
-
-
-def header(content: Column) -> dict[str, Column]:
-    """kind, width, height, has_alpha and error_code (null if the header is sound) of a file."""
-    first = name_at(content, 12)
-    lossy, plain, extended = (first == n for n in ("VP8 ", "VP8L", "VP8X"))
-    head = little(content, 21, 4)
-    w16, h16 = little(content, 26, 2) % 16384, little(content, 28, 2) % 16384
-    width = F.when(lossy, w16).when(plain, head % 16384 + 1).when(extended, little(content, 24, 3) + 1)
-    height = F.when(lossy, h16).when(plain, F.floor(head / 16384).cast("long") % 16384 + 1).when(extended, little(content, 27, 3) + 1)
-    alpha = F.when(plain, bit(head, 28)).when(extended, bit(little(content, 20, 1), 4)).otherwise(0)
+    return F.shiftright(x, n) % 2
+
+
+def fields(content: Column) -> Column:
+    """What ``header`` looks at, as one struct. Projected before the header is judged, each field is read from the bytes once."""
+    at = {"size": F.length(content), "outer": name_at(content, 0), "form": name_at(content, 8), "first": name_at(content, 12), "mark": F.hex(F.substring(content, 24, 3))}
+    numbers = {"byte20": (20, 1), "head21": (21, 4), "at24": (24, 3), "at26": (26, 2), "at27": (27, 3), "at28": (28, 2)}
+    return F.struct(*[c.alias(k) for k, c in at.items()], *[little(content, *place).alias(k) for k, place in numbers.items()])
+
+
+def header(f: Column) -> dict[str, Column]:
+    """kind, width, height, has_alpha and error_code (null if the header is sound) of a file, given its ``fields``."""
+    lossy, plain, extended = (f["first"] == n for n in ("VP8 ", "VP8L", "VP8X"))
+    head, size = f["head21"], f["size"]
+    w16, h16 = f["at26"] % 16384, f["at28"] % 16384
+    width = F.when(lossy, w16).when(plain, head % 16384 + 1).when(extended, f["at24"] + 1)
+    height = F.when(lossy, h16).when(plain, F.shiftright(head, 14) % 16384 + 1).when(extended, f["at27"] + 1)
+    alpha = F.when(plain, F.shiftright(head, 28) % 2).when(extended, F.shiftright(f["byte20"], 4) % 2).otherwise(0)
     error = (
-        F.when(F.length(content) < 8, "IoError").when(name_at(content, 0) != "RIFF", "ChunkHeaderInvalid")
-        .when(F.length(content) < 12, "IoError").when(name_at(content, 8) != "WEBP", "WebpSignatureInvalid")
-        .when(F.length(content) < 20, "IoError").when(~(lossy | plain | extended), "ChunkHeaderInvalid")
-        .when(F.length(content) < F.when(plain, 25).otherwise(30), "IoError")
-        .when(lossy & (little(content, 20, 1) % 2 == 1), "UnsupportedFeature").when(lossy & (F.hex(F.substring(content, 24, 3)) != "9D012A"), "Vp8MagicInvalid")
+        F.when(size < 8, "IoError").when(f["outer"] != "RIFF", "ChunkHeaderInvalid")
+        .when(size < 12, "IoError").when(f["form"] != "WEBP", "WebpSignatureInvalid")
+        .when(size < 20, "IoError").when(~(lossy | plain | extended), "ChunkHeaderInvalid")
+        .when(size < F.when(plain, 25).otherwise(30), "IoError")
+        .when(lossy & (f["byte20"] % 2 == 1), "UnsupportedFeature").when(lossy & (f["mark"] != "9D012A"), "Vp8MagicInvalid")
         .when(lossy & ((w16 == 0) | (h16 == 0)), "InconsistentImageSizes")
-        .when(plain & (little(content, 20, 1) != 47), "LosslessSignatureInvalid").when(plain & (F.floor(head / 536870912) != 0), "VersionNumberInvalid")
+        .when(plain & (f["byte20"] != 47), "LosslessSignatureInvalid").when(plain & (F.shiftright(head, 29) != 0), "VersionNumberInvalid")
         .when(extended & (width * height > 4294967295), "ImageTooLarge")
     )
     kind = F.when(lossy, "lossy").when(plain, "lossless").when(extended, "extended")

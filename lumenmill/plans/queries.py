@@ -374,14 +374,18 @@ def _made_headers(spark, sf_dir):
     plain = F.concat(C.sent(F.when(i % 13 == 0, 46).otherwise(47).cast("long"), 1), C.sent(head, 4), F.unhex(F.lit("0000000000")))
     lossy = F.concat(C.sent((i % 7 == 0).cast("long"), 3), F.when(i % 17 == 0, F.unhex(F.lit("9D012B"))).otherwise(F.unhex(F.lit("9D012A"))), C.sent(u * 31 % 65536, 2), C.sent(i * 17 % 65536, 2))
     extended = F.concat(C.sent(i % 64, 4), C.sent(u * 65537 % 16777216, 3), C.sent(i * 8191 % 16777216, 3))
-    kind = F.when(i % 3 == 0, C.riff(C.chunk("VP8L", plain))).when(i % 3 == 1, C.riff(C.chunk("VP8 ", lossy))).otherwise(C.riff(C.chunk("VP8X", extended)))
-    return _ids(spark, sf_dir).select("event_id", F.when(i % 101 == 0, F.unhex(F.lit("52494646"))).otherwise(kind).alias("content"))
+    # Step by step, as each step uses the bytes before it several times.
+    inner = _ids(spark, sf_dir).select("event_id", F.when(i % 3 == 0, plain).when(i % 3 == 1, lossy).otherwise(extended).alias("payload"), F.when(i % 109 == 0, "VP9 ").when(i % 3 == 0, "VP8L").when(i % 3 == 1, "VP8 ").otherwise("VP8X").alias("name"))
+    body = inner.select("event_id", F.concat(F.encode(F.when(i % 103 == 0, "WEBX").otherwise("WEBP"), "UTF-8"), C.chunk(F.col("name"), F.col("payload"))).alias("body"))
+    whole = body.select("event_id", C.chunk(F.when(i % 107 == 0, "RIFX").otherwise("RIFF"), F.col("body")).alias("content"))
+    return whole.select("event_id", F.when(i % 101 == 0, F.substring("content", 1, 4)).otherwise(F.col("content")).alias("content"))
 
 
 def _headers(spark, sf_dir):
-    made = _made_headers(spark, sf_dir)
-    h = C.header(F.col("content"))
-    ok = h["error_code"].isNull()
+    made = _made_headers(spark, sf_dir).select("event_id", C.fields(F.col("content")).alias("f"))
+    h = C.header(F.col("f"))
+    made, ok = made.select("event_id", *[c.alias(k) for k, c in h.items()]), F.col("error_code").isNull()
+    h = {k: F.col(k) for k in h}
     return made.select("event_id", *[F.when(ok, h[c]).otherwise(0).alias(c) for c in ("width", "height", "has_alpha")], F.when(ok, C.buffer_size(h["width"], h["height"], h["has_alpha"])).otherwise(0).alias("bytes"), F.coalesce(h["error_code"], F.lit("")).alias("error_code"))
 
 
@@ -390,7 +394,7 @@ register(
     """WITH t AS (SELECT event_id AS i, user_id AS u, (user_id * 7919 + event_id * 104729) % 536870912 AS head FROM events),
  k AS (SELECT *, i % 3 AS kind, CASE i % 3 WHEN 0 THEN head % 16384 + 1 WHEN 1 THEN u * 31 % 16384 ELSE u * 65537 % 16777216 + 1 END AS w,
   CASE i % 3 WHEN 0 THEN (head >> 14) % 16384 + 1 WHEN 1 THEN i * 17 % 16384 ELSE i * 8191 % 16777216 + 1 END AS h, CASE i % 3 WHEN 0 THEN (head >> 28) % 2 WHEN 2 THEN (i % 64 >> 4) % 2 ELSE 0 END AS al FROM t),
- e AS (SELECT *, CASE WHEN i % 101 = 0 THEN 'IoError' WHEN kind = 1 AND i % 7 = 0 THEN 'UnsupportedFeature' WHEN kind = 1 AND i % 17 = 0 THEN 'Vp8MagicInvalid' WHEN kind = 1 AND (w = 0 OR h = 0) THEN 'InconsistentImageSizes'
+ e AS (SELECT *, CASE WHEN i % 101 = 0 THEN 'IoError' WHEN i % 103 = 0 THEN 'WebpSignatureInvalid' WHEN i % 107 = 0 OR i % 109 = 0 THEN 'ChunkHeaderInvalid' WHEN kind = 1 AND i % 7 = 0 THEN 'UnsupportedFeature' WHEN kind = 1 AND i % 17 = 0 THEN 'Vp8MagicInvalid' WHEN kind = 1 AND (w = 0 OR h = 0) THEN 'InconsistentImageSizes'
   WHEN kind = 0 AND i % 13 = 0 THEN 'LosslessSignatureInvalid' WHEN kind = 0 AND i % 11 = 0 THEN 'VersionNumberInvalid' WHEN kind = 2 AND w * h > 4294967295 THEN 'ImageTooLarge' ELSE '' END AS error_code FROM k)
  FINAL SELECT i AS event_id, CASE WHEN error_code = '' THEN w ELSE 0 END AS width, CASE WHEN error_code = '' THEN h ELSE 0 END AS height, CASE WHEN error_code = '' THEN al ELSE 0 END AS has_alpha, CASE WHEN error_code = '' THEN w * h * CASE WHEN al = 1 THEN 4 ELSE 3 END ELSE 0 END AS bytes, error_code FROM e""",
     "event_id width height has_alpha bytes", "error_code",

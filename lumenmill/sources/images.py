@@ -40,7 +40,24 @@ def stream_images(spark: SparkSession, path: str, pattern: str = "*.webp") -> Da
 
 def with_header(images: DataFrame) -> DataFrame:
     """Adds kind, width, height, has_alpha and error_code, by column expressions."""
-    return images.withColumns(C.header(F.col("content")))
+    read = images.withColumn("_fields", C.fields(F.col("content")))
+    return read.withColumns(C.header(F.col("_fields"))).drop("_fields")
+
+
+PART_ROWS, PART_BYTES = 64, 16 << 20
+
+
+def _parts(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+    """Lists of consecutive rows, of a bounded number and size."""
+    part, size = [], 0
+    for row in rows:
+        part.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes))
+        if len(part) >= PART_ROWS or size >= PART_BYTES:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 def _per_row(images: DataFrame, key: str, schema: str, rows) -> DataFrame:
@@ -55,9 +72,8 @@ def _per_row(images: DataFrame, key: str, schema: str, rows) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                got = list(rows(content.as_py()))
-                for at in range(0, len(got), 64):
-                    part = got[at : at + 64]
+                # A long animation is never held whole: what it gives goes on after PART_ROWS rows or PART_BYTES of pixels.
+                for part in _parts(rows(content.as_py())):
                     yield pa.RecordBatch.from_arrays([pa.array([k] * len(part), arrow.field(0).type), *(pa.array(c, arrow.field(i + 1).type) for i, c in enumerate(zip(*part, strict=True)))], schema=arrow)
 
     return images.select(key, "content").mapInArrow(run, full)
