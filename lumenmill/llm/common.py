@@ -7,6 +7,7 @@ temporaries stay bounded by ``MAX_BYTES`` or by the longest single text.
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one numpy block takes; a longer text makes a block of its own.
-MAX_BYTES = 1 << 20
+MAX_BYTES = 1 << 18
 
 #: Words are maximal runs of anything but these: \x20 and \x09-\x0D.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -159,12 +160,76 @@ def release(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def checkpoint(df):
-    """Cut the lineage with a reliable checkpoint in the folder the session names.
+def shared_folder(spark) -> str:
+    """The folder for what lies between steps: spark.checkpoint.dir, which all machines share. Only one machine may do without."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = "/tmp/checkpoints"
+    return folder.rstrip("/")
 
-    Where none is set (tests, one machine), /tmp/checkpoints is used.
-    """
+
+def checkpoint(df):
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+class Scratch:
+    """Tables of one run in a folder of its own below the shared one: written, read by column, and deleted as soon as they are spent."""
+
+    def __init__(self, spark, name: str):
+        self.spark, self.top, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+
+    def keep(self, df):
+        """``df`` as a written table, so that what made it is neither needed nor run again."""
+        self.n += 1
+        path = f"{self.top}/{self.n}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.kept_at = path
+        return out
+
+    def drop(self, *tables) -> None:
+        for t in tables:
+            self.delete(t.kept_at)
+
+    def delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Rows of at most five numbers that are broadcast: about 50 MB as a hash table. Beyond it, they are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def small(df):
+    """``df`` (a written table of narrow rows), marked for a broadcast if it has at most BROADCAST_ROWS rows; else as it is."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+#: A key with more than this share of all rows is hot, so there are fewer than 1 / HOT_SHARE hot keys.
+HOT_SHARE = 0.001
+
+
+def joined(left, right, keys: list[str], weight: str, total: int, how: str = "inner"):
+    """``left`` joined with ``right`` (a written table with one row for each of ``keys``, and ``weight``: the rows of ``left`` that have them).
+
+    A right side of at most BROADCAST_ROWS is broadcast. Else its hot keys are, fewer than 1 / HOT_SHARE of them, and only
+    rows with other keys are dealt out by key: so no key brings more than that share of all rows to a task.
+    ``how``: inner or left.
+    """
+    from pyspark.sql import functions as F
+
+    if right.count() <= BROADCAST_ROWS:
+        return left.join(F.broadcast(right.drop(weight)), keys, how)
+    hot = right.where(F.col(weight) > HOT_SHARE * total).drop(weight)
+    tagged = left.join(F.broadcast(hot.select(*keys, F.lit(True).alias("is_hot"))), keys, "left")
+    first = tagged.where("is_hot").drop("is_hot").join(F.broadcast(hot), keys, "inner")
+    rest = tagged.where("is_hot is null").drop("is_hot").join(right.where(F.col(weight) <= HOT_SHARE * total).drop(weight), keys, how)
+    return first.unionByName(rest)

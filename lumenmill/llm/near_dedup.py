@@ -1,20 +1,21 @@
 """Near-duplicate groups: SuperMinHash signatures, banding, exact verification, union-find grouping.
 
-1. Every whole text becomes its set of word shingles (64-bit hashes) and a SuperMinHash signature:
-   each element ranks the slots by its own permutation, a slot keeps its lowest rank and draw, and
-   a text stops as soon as no later rank can lower any slot. Texts with equal sets are one node.
-2. Bands of the signature meet in buckets. In some rounds, a bucket's members are compared with one
-   member drawn at random, a star instead of all pairs; only pairs that are not yet connected go on.
-   Then whatever is left unconnected inside a bucket is compared pair by pair, except within its
-   largest component: so a large group of copies costs its size, and no link is lost to a cap.
-3. A pair is a link only if the full sets agree: 100 * intersection >= 80 * union. (Set sizes and a
-   sketch of four bits for each slot rule out hopeless pairs first, those which differ in
-   ``SKETCH_LIMIT`` slots: as rare for a pair at 0.8 as a miss of all bands, also if slots are independent,
-   as they nearly are for sets much larger than the signature.)
-4. Links merge components by alternating large and small stars on a contracted graph.
+1. Every whole text becomes its set of word shingles (64-bit hashes of words and shingles; equal hashes count as equal)
+   and a SuperMinHash signature: each element ranks the slots by its own permutation, a slot keeps
+   its lowest rank and draw, and a text stops as soon as no later rank can lower any slot. Texts
+   with equal sets are one node.
+2. Bands of the signature meet in buckets. An aggregate finds each bucket's smallest id, its centre;
+   every other member becomes a pair with it. All that happens later happens among the members of
+   a centre, so a bucket costs its size, not the pairs in it.
+3. A pair is a link only if the full sets agree: 100 * intersection >= 80 * union. First members are
+   compared with their centre, then those that are still apart with the smallest of them, and at
+   last whatever is still apart under a centre pair by pair (``_rest``), except within its largest
+   component. So a large group of copies costs its size, and no link is lost to a cap.
+4. Links merge components by union-find, or by alternating large and small stars.
 
 A band holds ``ROWS`` of 256 slots, so a pair at 0.8 misses all ``BANDS`` with probability
-(1 - 0.8 ** 6) ** 42, about 3e-6. Nothing of a document reaches the driver, only counts.
+(1 - 0.8 ** 6) ** 42, about 3e-6. Nothing of a document reaches the driver, only counts. What lies
+between the steps is written to the shared folder and deleted once it is spent.
 
 Defined results: a text without words, or null, has an empty set and is linked with nothing; rows
 with one doc_id are one document (linked to themselves); a row without doc_id is not compared and
@@ -30,20 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, U, blocks, checkpoint, mix, release, shingles_of, small_batches, span_hashes, text_column, words_of
+from .common import LOWER, U, Scratch, blocks, joined, mix, shingles_of, small, small_batches, span_hashes, text_column, words_of
 
 SLOTS, BANDS, ROWS = 256, 42, 6
-#: A sketch has 4 bits of each slot. At 0.8, 48 of 256 slots differ on average; in long texts the number is binomial, with a deviation of 6.2.
-SKETCH, SKETCH_LIMIT = 16, 79
-#: The bands of each round of stars; later rounds see pairs that are still apart only, with other members in the middle.
-STARS = (range(0, 6), range(6, BANDS), range(0, BANDS))
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 #: Documents that an element may stand in to be joined directly in the last round.
 RARE = 400
 #: Edges that one task merges at once, about 3 MB.
 AT_ONCE = 200_000
-SKETCHES = [f"s{i}" for i in range(SKETCH)]
-SIG_SCHEMA = f"doc_id long, n int, h1 long, h2 long, {', '.join(f'{c} long' for c in SKETCHES)}, bands array<long>"
+SIG_SCHEMA = "doc_id long, n int, h1 long, h2 long, bands array<long>"
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
@@ -94,29 +90,17 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            n, h1, h2, sketch, bands = [], [], [], [], []
+            at = 0
             for _, _, data, off in blocks(text_column(b), BLOCK_BYTES):
                 sets = shingle_sets(data, off, k)
-                size = np.array([len(s) for s in sets], np.int64)
+                n = np.array([len(s) for s in sets], np.int64)
                 keys = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets])
-                sig = signatures(np.concatenate(sets), size)
-                n.append(size.astype(np.int32))
-                h1.append(keys[:, 0])
-                h2.append(keys[:, 1])
-                four = (mix(sig) & U(15)).astype(np.uint8)
-                sketch.append(np.ascontiguousarray(four[:, ::2] | four[:, 1::2] << 4).view(np.int64))
-                bands.append(banded(sig).view(np.int64))
-            if not n:
-                continue
-            n = np.concatenate(n)
-            rows, bits = np.concatenate(bands), np.concatenate(sketch)
-            width = np.where(n > 0, BANDS, 0)
-            offsets = np.concatenate([[0], np.cumsum(width)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows[n > 0].reshape(-1)))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n), pa.array(np.concatenate(h1)), pa.array(np.concatenate(h2)), *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(SKETCH)), lists],
-                names=["doc_id", "n", "h1", "h2", *SKETCHES, "bands"],
-            )
+                rows = banded(signatures(np.concatenate(sets), n))[n > 0].view(np.int64)
+                offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1)))
+                columns = [b.column(0).slice(at, len(n)), pa.array(n.astype(np.int32)), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "h1", "h2", "bands"])
+                at += len(n)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SIG_SCHEMA)
 
@@ -132,30 +116,28 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sets)), pa.array(sets, pa.binary())], names=["id", "elements"])
                 at += len(sets)
 
-    return docs.select("id", "text").mapInArrow(run, "id long, elements binary")
+    return docs.select("id", "text").mapInArrow(run, "id long, elements binary").withColumn("n", F.expr("cast(length(elements) / 8 as int)"))
 
 
 def linked(pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v, a, b) whose full sets a and b agree: 100 * intersection >= percent * union."""
 
     def run(batches):
-        for b in batches:
+        for batch in batches:
             keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 s, t = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)):
+                    keep.append(False)
+                    continue
                 both = np.sort(np.concatenate([s, t]), kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
                 keep.append(100 * common >= percent * (len(s) + len(t) - common))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def _state(df: DataFrame) -> tuple[int, int]:
-    r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("h")).first()
-    return r["n"], r["h"] or 0
-
-
 def union_find(edges: DataFrame) -> DataFrame:
     """(u, v): within each partition of ``edges`` (u, v), every node that is not the smallest it is connected to, and that smallest."""
 
@@ -178,131 +160,142 @@ def union_find(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").mapInArrow(run, "u long, v long")
 
 
-def components(edges: DataFrame, at_once: int | None = None) -> DataFrame:
-    """(u, root): for every node of ``edges`` (u, v) that is not itself the smallest of its component, the smallest.
+def components(edges: DataFrame, scratch: Scratch, at_once: int | None = None) -> DataFrame:
+    """(u, root): for every node of ``edges`` (u, v) that is not itself the smallest of its component, the smallest. A table of ``scratch``.
 
     Union-find compresses the edges of each partition to a forest. Forests of at most ``at_once``
     edges are merged by one task; larger ones by alternating stars: a large star hands a node's
     larger neighbours to its smallest, a small star its smaller ones. Only minima are aggregated
     there, so a node with very many neighbours is no burden to a task.
     """
-    limit = AT_ONCE if at_once is None else at_once
-    e = checkpoint(union_find(edges.where("u <> v")))
-    before = _state(e)
-    if before[0] <= limit:
-        return checkpoint(union_find(e.coalesce(1))).select("u", F.col("v").alias("root"))
-    while before[0]:
+    e = scratch.keep(union_find(edges.where("u <> v")))
+    n = e.count()
+    if n <= (AT_ONCE if at_once is None else at_once):
+        out = scratch.keep(union_find(e.coalesce(1)).select("u", F.col("v").alias("root")))
+        scratch.drop(e)
+        return out
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        small = large.join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
-        e = checkpoint(small)
-        after = _state(e)
-        if after == before:
-            break
-        before = after
-    return e.select("u", F.col("v").alias("root"))
-
-
-def _near(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and sketches leave the pair a chance."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    far = F.lit(0)
-    for s in SKETCHES:
-        x = F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        far = far + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))  # one bit for each slot that differs
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (far < SKETCH_LIMIT)
+        small_star = large.join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        after = scratch.keep(small_star.unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct())
+        m = after.count()
+        same = m == n and after.join(e, ["u", "v"], "left_anti").isEmpty()  # both are sets of edges
+        scratch.drop(e)
+        if same:
+            out = after.withColumnRenamed("v", "root")
+            out.kept_at = after.kept_at
+            return out
+        e, n = after, m
+
+
+def candidates(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(c, id): every member of a bucket of two or more with its centre, the bucket's smallest id. Each pair once; a table of ``scratch``."""
+    keys = nodes.select("id", F.explode("bands").alias("bucket"))
+    met = keys.groupBy("bucket").agg(F.min("id").alias("c"), F.max("id").alias("hi"), F.count("*").alias("size")).where("c < hi").drop("hi")
+    met = scratch.keep(met)
+    pairs = joined(keys, met, ["bucket"], "size", BANDS * nodes.count()).where("id <> c")
+    out = scratch.keep(pairs.select("c", "id").distinct())
+    scratch.drop(met)
+    return out
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``."""
-    sig = checkpoint(signed(docs, k))
-    equal = sig.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"))
-    nodes = sig.join(equal.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "id"), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("doc_id") == F.col("id")))
-    keys = nodes.select("id", F.posexplode("bands").alias("band", "bucket"))
-    shared = keys.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select(F.col("bucket").alias("b"))
-    pairs_of = checkpoint(keys.join(shared, F.col("bucket") == F.col("b")).select("bucket", "band", "id").distinct())
-    ids = pairs_of.select("id").distinct()
-    facts = checkpoint(nodes.select("id", "n", *SKETCHES, "bands").join(ids, "id").dropDuplicates(["id", "n", "s0"]))
+    scratch = Scratch(docs.sparkSession, "near_dedup")
+    sig = scratch.keep(signed(docs, k))
+    some = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    # Equal sets have equal bands, so any will do; they are merged before they are dealt out.
+    nodes = scratch.keep(sig.where(some).groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
+    near = candidates(nodes, scratch)
+    ids = scratch.keep(near.select("id").unionByName(near.select(F.col("c").alias("id"))).distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    sets = checkpoint(full_sets(texts.join(ids, "id"), k).distinct())
+    sets = scratch.keep(full_sets(texts.join(small(ids), "id").distinct(), k))
     label = ids.select("id", F.col("id").alias("comp"))
-    release(docs.sparkSession)
-    for turn in range(len(STARS) + 1):
-        members = pairs_of.join(label, "id")
-        open_ = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("id", F.xxhash64("id", "bucket", F.lit(turn))).alias("center")).where("lo < hi").select(F.col("bucket").alias("b"), "center")
-        if turn < len(STARS):
-            members = members.where(F.col("band").between(STARS[turn].start, STARS[turn].stop - 1))
-            mid = label.select(F.col("id").alias("c"), F.col("comp").alias("c_comp"))
-            tries = members.join(open_, F.col("bucket") == F.col("b")).select("id", "comp", "center").distinct().join(mid, F.col("center") == F.col("c")).where("comp <> c_comp").select(F.least("id", "center").alias("u"), F.greatest("id", "center").alias("v")).distinct()
-            light = facts.drop("bands")
-            x, y = light.alias("x"), light.alias("y")
-            tries = tries.join(x, F.col("u") == F.col("x.id")).join(y, F.col("v") == F.col("y.id")).where(_near("x", "y", percent)).select("u", "v").distinct()
+    spent = [ids]
+    # The members of each centre, itself included.
+    under = near.unionByName(near.select("c", F.col("c").alias("id")).distinct())
+    for turn in ("centre", "smallest apart", "rest"):
+        if turn == "centre":
+            tries = near.select(F.col("c").alias("u"), F.col("id").alias("v"))
         else:
-            tries = _rest(members, open_, facts, sets, percent)
+            members = under.join(label, "id")
+            apart = members.groupBy("c").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("c")
+            own = label.select(F.col("id").alias("c"), F.col("comp").alias("own")).join(apart, "c")
+            here = scratch.keep(members.join(own, "c"))
+            spent.append(here)
+            if turn == "rest":
+                tries = _rest(here, sets, percent, scratch, spent)
+            else:
+                other = here.where("comp <> own").groupBy("c").agg(F.min("id").alias("second"))
+                second = label.select(F.col("id").alias("second"), F.col("comp").alias("its")).join(other, "second")
+                tries = here.join(second, "c").where("comp <> its and id <> c").select(F.least("id", "second").alias("u"), F.greatest("id", "second").alias("v")).distinct()
         a, b = sets.select(F.col("id").alias("u"), F.col("elements").alias("a")), sets.select(F.col("id").alias("v"), F.col("elements").alias("b"))
-        good = checkpoint(linked(tries.join(a, "u").join(b, "v"), percent))
+        good = linked(tries.join(b, "v").join(a, "u"), percent)
         lu, lv = label.select(F.col("id").alias("u"), F.col("comp").alias("cu")), label.select(F.col("id").alias("v"), F.col("comp").alias("cv"))
-        merged = components(good.join(lu, "u").join(lv, "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
-        label = checkpoint(label.join(merged, F.col("comp") == F.col("u"), "left").select("id", F.coalesce("root", "comp").alias("comp")))
-        tries = good = merged = None
-        release(docs.sparkSession)
-    named = equal.join(label, "id", "left").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.coalesce("comp", "id").alias("comp"))
+        merged = components(good.join(lu, "u").join(lv, "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")), scratch)
+        label = scratch.keep(label.join(merged, F.col("comp") == F.col("u"), "left").select("id", F.coalesce("root", "comp").alias("comp")))
+        scratch.drop(*spent, merged)
+        spent = [label]
+    # Only sets that several documents have, or that are linked, are looked up; every other document is a group of its own.
+    comps = nodes.select("h1", "h2", "id", "copies").join(label, "id", "left").select("h1", "h2", "copies", F.coalesce("comp", "id").alias("comp"), "id")
+    named = scratch.keep(comps.where("copies > 1 or comp <> id").select("h1", "h2", "copies", "comp"))
+    scratch.drop(nodes, near, sets, label)
     rows = sig.select("doc_id", "n", "h1", "h2")
-    hit = (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    return rows.join(named, hit, "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
+    alone = rows.where(~some | F.col("n").isNull()).withColumn("comp", F.lit(None).cast("long"))
+    both = joined(rows.where(some), named, ["h1", "h2"], "copies", rows.count(), "left").unionByName(alone)
+    return both.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
+
 
+def _elements(known: DataFrame) -> DataFrame:
+    """A row (id, comp, s, n, e) for each element of the sets ``known`` (id, comp, s, n, elements)."""
 
-def _elements(sets: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
-            for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for i, x in enumerate(b.column(4)):
                 e = np.frombuffer(x.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(e), i)), pa.array(e)], names=["id", "e"])
+                same = b.slice(i, 1).select([0, 1, 2, 3]).take(pa.array(np.zeros(len(e), np.int32)))
+                yield pa.RecordBatch.from_arrays([*same.columns, pa.array(e)], names=["id", "comp", "s", "n", "e"])
 
-    return sets.select("id", "elements").mapInArrow(run, "id long, e long")
+    return known.select("id", "comp", "s", "n", "elements").mapInArrow(run, "id long, comp long, s long, n int, e long")
 
 
-def _rest(members: DataFrame, open_: DataFrame, facts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs of bucket mates in different components that may still link: whoever is outside a bucket's largest component, with all others.
+def _rest(here: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, spent: list) -> DataFrame:
+    """All pairs (u, v) under one centre, in different components, that may still link: whoever is outside a centre's largest component, with all others.
 
+    ``here``: c, id, comp of all members of the centres that have several components.
     A pair that links shares at least one of the first n - 0.8 n + 1 elements of either, whatever the
     order of all elements. Here those that stand in one component only come first (they are in no
     intersection), then the others by the number of documents they stand in. Pairs that share a
     rare one of the first (in at most RARE documents) are joined by it. All other pairs share no rare
-    element and have as many common ones as a link needs: only such documents are paired by bucket.
+    element and have as many common ones as a link needs: only such documents are paired by centre.
     Heavily edited copies, whose edits are their own, are thereby out at once instead of in pairs
     with all of their group, and no pair that may link is lost.
     """
-    here = members.join(open_, F.col("bucket") == F.col("b")).select("bucket", "band", "id", "comp")
-    count = here.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
-    main = count.groupBy("bucket").agg(F.max_by("comp", F.struct("size", "comp")).alias("main")).select(F.col("bucket").alias("b"), "main")
-    who = here.select("id", "comp").distinct()
-    each = _elements(sets.join(who, "id")).distinct().join(who, "id")
-    stands = each.groupBy("e").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("e").alias("k"), "df")
-    each = checkpoint(each.join(stands, F.col("e") == F.col("k")).select("id", "comp", "e", "df"))
-    per = each.groupBy("id").agg(F.count("*").alias("shared"), F.count_if(F.col("df") > RARE).alias("usable"))
-    known = checkpoint(facts.join(per, "id"))
-    light = known.drop("bands", "shared")
+    count = here.groupBy("c", "comp").agg(F.count("*").alias("size"))
+    main = count.groupBy("c").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"))
+    who = scratch.keep(here.select("id", "comp").distinct())
+    known = sets.join(who, "id").select("id", "comp", F.xxhash64("elements").alias("s"), "n", "elements")  # s tells the sets of one id apart
+    # The elements that stand in several components, with the number of documents they stand in.
+    each = scratch.keep(_elements(known))
+    stands = scratch.keep(each.groupBy("e").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("e", F.col("df").alias("weight"), "df"))
+    found = scratch.keep(joined(each, stands, ["e"], "weight", each.count()))
+    per = scratch.keep(found.groupBy("id", "s", "n").agg(F.count("*").alias("shared"), F.count_if(F.col("df") > RARE).alias("usable")))
+    spent += [who, each, stands, found, per]
     need = F.floor((F.lit(percent) * F.col("n") + 99) / 100)
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "e"))  # a document's own elements
-    rare = each.where(F.col("df") <= RARE).join(known.select("id", "n", "shared"), "id").withColumn("rank", rank).where(F.col("rank") <= F.col("shared") - need + 1)
-    rare = checkpoint(rare.select("id", "comp", "e"))
+    rank = F.row_number().over(Window.partitionBy("id", "s").orderBy("df", "e"))  # a document's own elements
+    rare = found.where(F.col("df") <= RARE).join(per.select("id", "s", "shared"), ["id", "s"]).withColumn("rank", rank).where(F.col("rank") <= F.col("shared") - need + 1)
+    rare = scratch.keep(rare.select("id", "comp", "e", "n"))
+    spent.append(rare)
     a, b = rare.alias("a"), rare.alias("b")
-    sharing = a.join(b, (F.col("a.e") == F.col("b.e")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.comp") != F.col("b.comp"))).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
-    # Bucket mates, each pair in the first of its common buckets only.
-    here = here.join(known.where(100 * F.col("usable") >= percent * F.col("n")).select("id", "n", "usable", "bands"), "id")
-    stray = here.join(main, F.col("bucket") == F.col("b")).where("comp <> main").alias("x")
-    apart = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp"))
-    sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    met = F.arrays_overlap(F.slice("x.bands", F.lit(1), F.col("x.band")), F.slice("y.bands", F.lit(1), F.col("x.band")))
-    mates = stray.join(here.alias("y"), apart & sizes & _room(percent) & ~met).select(F.least("x.id", "y.id").alias("u"), F.greatest("x.id", "y.id").alias("v"))
-    x, y = light.alias("x"), light.alias("y")
-    both = mates.unionByName(sharing).distinct()
-    return both.join(x, F.col("u") == F.col("x.id")).join(y, F.col("v") == F.col("y.id")).where(_near("x", "y", percent)).select("u", "v").distinct()
+    sizes = lambda x, y: 100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")
+    sharing = a.join(b, (F.col("a.e") == F.col("b.e")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.comp") != F.col("b.comp")) & sizes("a", "b")).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
+    able = here.join(per.where(100 * F.col("usable") >= percent * F.col("n")).select("id", "n", "usable"), "id").select("c", "id", "comp", "n", "usable")
+    stray = able.join(main, "c").where("comp <> main").alias("x")
+    mates = stray.join(able.alias("y"), (F.col("x.c") == F.col("y.c")) & (F.col("x.comp") != F.col("y.comp")) & sizes("x", "y") & _room(percent)).select(F.least("x.id", "y.id").alias("u"), F.greatest("x.id", "y.id").alias("v"))
+    return mates.unionByName(sharing).distinct()
 
 
 def _room(percent: int) -> Column:
@@ -312,14 +305,19 @@ def _room(percent: int) -> Column:
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, the smallest doc_id, with all columns of ``docs``; of rows that repeat a doc_id, one stays. Rows without doc_id stay."""
-    found = groups(docs, k, percent).where("doc_id = component_id").select(F.col("doc_id").alias("keep_id")).distinct()
+    """One document of each group, the smallest doc_id, with all columns of ``docs``; of rows that repeat a doc_id, one stays. Rows without doc_id stay.
+
+    Only the ids that lose rows are looked up: those that go, and those that repeat, of which the row with the smallest hash of its text stays.
+    """
+    scratch = Scratch(docs.sparkSession, "near_dedup")
+    per = groups(docs, k, percent).where("doc_id is not null").groupBy(F.col("doc_id").alias("row_id")).agg(F.min("component_id").alias("low"), F.count("*").alias("times"))
+    lost = scratch.keep(per.where("low <> row_id or times > 1").select("row_id", (F.col("low") != F.col("row_id")).alias("goes"), "times"))
     names = docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("row_id"))
-    kept = rows.join(found, F.col("row_id") == F.col("keep_id"))
-    # Repeats of one doc_id are few; the window sorts ids, not groups of copies.
-    kept = kept.withColumn("turn", F.row_number().over(Window.partitionBy("row_id").orderBy(F.xxhash64("row.text")))).where("turn = 1").select("row")
-    return kept.unionByName(rows.where("row_id is null").select("row")).select("row.*")
+    rows = rows.join(small(lost.select("row_id", "goes")), "row_id", "left").where(~F.coalesce("goes", F.lit(False)))
+    # Repeats of one doc_id are few; the window sorts them, not groups of copies.
+    again = rows.where("goes is not null").withColumn("turn", F.row_number().over(Window.partitionBy("row_id").orderBy(F.xxhash64("row.text")))).where("turn = 1")
+    return rows.where("goes is null").select("row.*").unionByName(again.select("row.*"))
 
 
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,11 +1,11 @@
 import collections
-import math
 import random
 
 import numpy as np
 import pytest
 
-from lumenmill.llm import line_dedup, near_dedup
+from lumenmill.llm import common, line_dedup, near_dedup
+from lumenmill.llm.common import Scratch
 from tests.llm.conftest import prose
 
 
@@ -31,8 +31,10 @@ def brute(rows, k):
     return {i: (len(s), find(i)) for i, s in sets}
 
 
-@pytest.mark.parametrize("k", [2, 5])
-def test_groups_match_all_pairs(spark, k):
+@pytest.mark.parametrize("k,limit", [(2, 500_000), (5, 500_000), (2, 0)])
+def test_groups_match_all_pairs(spark, monkeypatch, k, limit):
+    """``limit`` 0: nothing is broadcast for its size, and every key that is no hot one is shuffled."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
     rng = random.Random(k)
     rows, base = [], [prose(rng, 120).split() for _ in range(4)]
     for i in range(160):
@@ -62,8 +64,9 @@ def test_stars_and_union_find_agree(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(400 + i, 401 + i) for i in range(40)]
     df = spark.createDataFrame(edges, "u long, v long").repartition(4)
-    one = {tuple(r) for r in near_dedup.components(df).collect()}
-    assert one == {tuple(r) for r in near_dedup.components(df, at_once=0).collect()}
+    scratch = Scratch(spark, "test")
+    one = {tuple(r) for r in near_dedup.components(df, scratch).collect()}
+    assert one == {tuple(r) for r in near_dedup.components(df, scratch, at_once=0).collect()}
 
 
 def test_signatures_estimate_resemblance():
@@ -77,13 +80,6 @@ def test_signatures_estimate_resemblance():
     assert abs(est.mean() - want) < 0.01 and est.std() < np.sqrt(want * (1 - want) / near_dedup.SLOTS)
 
 
-def test_sketch_drops_no_more_than_the_bands():
-    """In long texts the slots that differ are binomial: a pair at 0.8 reaches the limit no more often than it misses all bands."""
-    p = 0.2 * 15 / 16
-    tail = sum(math.comb(near_dedup.SLOTS, x) * p**x * (1 - p) ** (near_dedup.SLOTS - x) for x in range(near_dedup.SKETCH_LIMIT, near_dedup.SLOTS + 1))
-    assert tail <= (1 - 0.8**near_dedup.ROWS) ** near_dedup.BANDS
-
-
 def lines_brute(rows, least=50):
     seen, gone, windows = {}, collections.defaultdict(set), []
     for i, t in rows:
