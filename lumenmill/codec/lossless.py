@@ -6,6 +6,8 @@ vectorised; recurrences that average or clamp go pixel by pixel.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 
 from ..functions.pixel import distance_map
@@ -101,13 +103,14 @@ def read_image(r: BitReader, width: int, height: int, main: bool) -> np.ndarray:
     sizes = [ALPHABETS[0] + ((1 << cache_bits) if cache_bits else 0), *ALPHABETS[1:]]
     codes = [[read_code(r, n) for n in sizes] for _ in range(groups)]
     total = width * height
-    out: list[tuple[int, int, int, int]] = []
-    cache = [(0, 0, 0, 0)] * (1 << cache_bits) if cache_bits else None
+    out = array("I")  # a pixel is one number, alpha highest and red lowest, so its bytes in memory are RGBA
+    cache = [0] * (1 << cache_bits) if cache_bits else None
     shift = 32 - cache_bits
     group = codes[0]
 
     def remember(px):
-        cache[((px[3] << 24 | px[0] << 16 | px[1] << 8 | px[2]) * 0x1E35A7BD & 0xFFFFFFFF) >> shift] = px
+        argb = px & 0xFF00FF00 | (px & 255) << 16 | px >> 16 & 255
+        cache[(argb * 0x1E35A7BD & 0xFFFFFFFF) >> shift] = px
 
     while len(out) < total:
         at = len(out)
@@ -115,11 +118,11 @@ def read_image(r: BitReader, width: int, height: int, main: bool) -> np.ndarray:
             group = codes[where[(at // width >> block) * wide + (at % width >> block)]]
         green, red, blue, alpha, far = group
         if cache is None and where is None and all(c.single is not None for c in group[:4]) and green.single < 256:
-            out += [(red.single, green.single, blue.single, alpha.single)] * (total - at)
+            out.extend(array("I", [red.single | green.single << 8 | blue.single << 16 | alpha.single << 24]) * (total - at))
             break
         s = green.read(r)
         if s < 256:
-            px = (red.read(r), s, blue.read(r), alpha.read(r))
+            px = red.read(r) | s << 8 | blue.read(r) << 16 | alpha.read(r) << 24
             out.append(px)
             if cache is not None:
                 remember(px)
@@ -133,7 +136,7 @@ def read_image(r: BitReader, width: int, height: int, main: bool) -> np.ndarray:
             else:  # the copy reaches into itself: it repeats with that period
                 period = out[at - back :]
                 new = (period * (n // back + 1))[:n]
-            out += new
+            out.extend(new)
             if cache is not None:
                 for px in new:
                     remember(px)
@@ -143,7 +146,7 @@ def read_image(r: BitReader, width: int, height: int, main: bool) -> np.ndarray:
             px = cache[s - 280]
             out.append(px)
             remember(px)
-    return np.array(out, np.uint8).reshape(-1, 4)
+    return np.array(out, "<u4").view(np.uint8).reshape(-1, 4)
 
 
 def decode_stream(data: bytes, width: int | None = None, height: int | None = None, headless: bool = False) -> tuple[np.ndarray, bool]:

@@ -9,6 +9,8 @@ recurrences that clamp or average (and so are no prefix sums) are in ``codec``.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,9 +114,10 @@ def inverse_color(px: DataFrame, blocks: DataFrame, bits: int) -> DataFrame:
 
 
 def palette_colors(px: DataFrame, palette: DataFrame, index: str) -> DataFrame:
-    """Looks colors up; an index past the palette is transparent black. A palette has 256 rows at most, so it is broadcast."""
-    wide = px.join(F.broadcast(palette.limit(256)), px[index] == palette["idx"], "left")
-    return wide.select("img", "y", "x", *[F.coalesce(palette[c], F.lit(0)).alias(c) for c in CHANNELS])
+    """Looks colors up in each image's own palette (img, idx, r, g, b, a); an index past it is transparent black."""
+    colors = palette.select("img", F.col("idx").alias(index), *CHANNELS)
+    wide = px.select("img", "y", "x", index).join(colors, ["img", index], "left")
+    return wide.select("img", "y", "x", *[F.coalesce(c, F.lit(0)).alias(c) for c in CHANNELS])
 
 
 def unpacked(px: DataFrame, byte: str, bits: int, width: int) -> DataFrame:
@@ -132,6 +135,44 @@ def palette_from_deltas(palette: DataFrame) -> DataFrame:
     return palette.select("pal", "idx", *[P.wrap(F.sum(c).over(w)).alias(c) for c in CHANNELS])
 
 
+def _pixel_rows(images: DataFrame, undo, columns: str) -> DataFrame:
+    """Rows img, y, x and ``columns`` of each image (img, pixels as RGBA, width, height), after ``undo`` of its (height, width, 4) array; one image at a time."""
+    names = columns.split()
+
+    def run(batches):
+        for b in batches:
+            for img, raw, w, h in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                flat = undo(np.frombuffer(raw, np.uint8).reshape(h, w, 4).copy()).reshape(h * w, -1).astype(np.int64)
+                at = np.arange(h * w)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(h * w, img), at // w, at % w, *flat.T)], names=["img", "y", "x", *names])
+
+    return images.select(F.col("img").cast("long").alias("img"), "pixels", "width", "height").mapInArrow(run, ", ".join(f"{c} long" for c in ("img", "y", "x", *names)))
+
+
+def unpredicted(images: DataFrame, mode: int) -> DataFrame:
+    """Undoes one predictor mode (0 to 13) of whole images (img, pixels, width, height): img, y, x, r, g, b, a. For the modes that are no prefix sums."""
+
+    def undo(px):
+        from ..codec.lossless import inverse_predictor as whole
+
+        blocks = np.zeros((-(-px.shape[0] // 512), -(-px.shape[1] // 512), 4), np.uint8)
+        blocks[..., 1] = mode
+        return whole(px, 9, blocks, px.shape[1])
+
+    return _pixel_rows(images, undo, "r g b a")
+
+
+def ungraded(images: DataFrame) -> DataFrame:
+    """Undoes the gradient filter of the alpha samples of whole images: img, y, x, value."""
+
+    def undo(px):
+        from ..codec.animation import unfiltered
+
+        return unfiltered(px[..., 3].copy(), 3)
+
+    return _pixel_rows(images, undo, "value")
+
+
 # --- prefix codes ---------------------------------------------------------------------------
 
 
@@ -218,13 +259,13 @@ def alpha_unfiltered(px: DataFrame, method: str, channel: str = "a") -> DataFram
 
 
 def last_writer(frames: DataFrame) -> DataFrame:
-    """Canvas after each frame where frames are copied, not blended: the latest frame that covers the pixel."""
-    order = Window.partitionBy("y", "x").orderBy("frame")
+    """Canvas of each animation (anim) after each frame where frames are copied, not blended: the latest frame that covers the pixel."""
+    order = Window.partitionBy("anim", "y", "x").orderBy("frame")
     return frames.withColumn("shown", F.last("value", ignorenulls=True).over(order))
 
 
 def blended_canvas(frames: DataFrame) -> DataFrame:
-    """Canvas after all frames, each blended over what is there, as an ordered fold for each pixel.
+    """Canvas of each animation (anim) after all its frames, each blended over what is there, as an ordered fold for each pixel.
 
     A pixel's list is as long as the animation; for long ones ``codec.animation`` folds whole frames.
     """
@@ -235,8 +276,8 @@ def blended_canvas(frames: DataFrame) -> DataFrame:
         out = P.blend({c: top[c] for c in CHANNELS}, {c: canvas[c] for c in CHANNELS})
         return F.struct(*[out[c].cast("long").alias(c) for c in CHANNELS])
 
-    folded = frames.groupBy("y", "x").agg(order.alias("layers"))
-    return folded.select("y", "x", F.aggregate("layers", zero, step).alias("px")).select("y", "x", "px.*")
+    folded = frames.groupBy("anim", "y", "x").agg(order.alias("layers"))
+    return folded.select("anim", "y", "x", F.aggregate("layers", zero, step).alias("px")).select("anim", "y", "x", "px.*")
 
 
 def timeline(frames: DataFrame) -> DataFrame:
@@ -275,6 +316,15 @@ def intra_dc(px: DataFrame, channel: str, n: int = 16) -> DataFrame:
     return squares.join(sums, ["img", "by", "bx"], "left").select("img", "by", "bx", F.coalesce(mean, F.lit(128)).alias("value"))
 
 
+def intra_copied(px: DataFrame, channel: str, mode: str, n: int = 16) -> DataFrame:
+    """img, y, x, value: the line above each square (mode vertical; 127 at the top) or the column on its left (horizontal; 129 at the side)."""
+    above, left = _around(px, channel, n)
+    cell = px.select("img", "y", "x", F.floor(F.col("y") / n).alias("by"), F.floor(F.col("x") / n).alias("bx"))
+    if mode == "vertical":
+        return cell.join(above, ["img", "by", "x"], "left").select("img", "y", "x", F.coalesce("above", F.lit(127)).alias("value"))
+    return cell.join(left, ["img", "y", "bx"], "left").select("img", "y", "x", F.coalesce("left", F.lit(129)).alias("value"))
+
+
 def intra_true_motion(px: DataFrame, channel: str, n: int = 16) -> DataFrame:
     """img, y, x, value: left + above - corner of each square, clamped; beyond the image 129 on the left, 127 above and in the top corners."""
     above, left = _around(px, channel, n)

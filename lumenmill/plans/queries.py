@@ -120,21 +120,46 @@ register(
 
 
 def _palette(spark, sf_dir, n=200):
-    k = F.col("p_partkey")
-    return spark.read.parquet(f"{sf_dir}/part.parquet").where(k < n).select(k.alias("idx"), (k * 7 % 256).alias("r"), (F.col("p_size") * 5 % 256).cast("long").alias("g"), (k * k % 256).alias("b"), (255 - k % 256).alias("a"))
+    """A palette of each image: its first n pixels, with their channels in another order."""
+    g = grid(spark, sf_dir)
+    return g.where(F.col("i") < n).select("img", F.col("i").alias("idx"), F.col("b").alias("r"), F.col("a").alias("g"), F.col("r").alias("b"), (255 - F.col("g")).alias("a"))
 
 
-_pal = "pal AS (SELECT p_partkey AS idx, p_partkey * 7 % 256 AS r, p_size * 5 % 256 AS g, p_partkey * p_partkey % 256 AS b, 255 - p_partkey % 256 AS a FROM part WHERE p_partkey < 200)"
+_pal = "pal AS (SELECT img, i AS idx, b AS r, a AS g, r AS b, 255 - g AS a FROM grid WHERE i < 200)"
 _four = ", ".join(f"coalesce(pal.{c}, 0) AS {c}" for c in "rgba")
-register("palette_lookup", lambda s, d: R.palette_colors(grid(s, d).select("img", "y", "x", F.col("g").alias("v")), _palette(s, d), "v"), W(f", {_pal} FINAL SELECT img, y, x, {_four} FROM grid LEFT JOIN pal ON grid.g = pal.idx"), PX)
+register(
+    "palette_lookup",
+    lambda s, d: R.palette_colors(grid(s, d).select("img", "y", "x", F.col("g").alias("v")), _palette(s, d), "v"),
+    W(f", {_pal} FINAL SELECT grid.img, y, x, {_four} FROM grid LEFT JOIN pal ON grid.img = pal.img AND grid.g = pal.idx"),
+    PX,
+)
 for _bits in (1, 2, 4):
     _per = 8 // _bits
     register(
         f"palette_unpack_{_bits}bit", lambda s, d, bits=_bits: R.unpacked(grid(s, d), "r", bits, 32 * 8 // bits - 3),
         W(f", u AS (SELECT img, y, x, r, unnest(range(0, {_per})) AS k FROM grid) FINAL SELECT img, y, x * {_per} + k AS x, (r >> CAST(k * {_bits} AS INTEGER)) % {1 << _bits} AS idx FROM u WHERE x * {_per} + k < {32 * _per - 3}"), "img y x idx",
     )
-register("palette_packed_lookup", lambda s, d: R.palette_colors(R.unpacked(grid(s, d), "r", 4, 61).withColumnRenamed("idx", "v"), _palette(s, d, 12), "v"), W(f", {_pal.replace('200', '12')}, u AS (SELECT img, y, x * 2 + k AS x, (r >> CAST(k * 4 AS INTEGER)) % 16 AS v FROM (SELECT *, unnest(range(0, 2)) AS k FROM grid)) FINAL SELECT img, y, u.x, {_four} FROM u LEFT JOIN pal ON v = pal.idx WHERE u.x < 61"), PX)
-register("palette_delta", lambda s, d: R.palette_from_deltas(_palette(s, d).withColumn("pal", F.col("idx") % 3)), f"WITH {_pal} FINAL SELECT idx % 3 AS pal, idx, " + ", ".join(m(f"sum({c}) OVER (PARTITION BY idx % 3 ORDER BY idx)") + f" AS {c}" for c in "rgba") + " FROM pal", "pal idx r g b a")
+register(
+    "palette_packed_lookup",
+    lambda s, d: R.palette_colors(R.unpacked(grid(s, d), "r", 4, 61).withColumnRenamed("idx", "v"), _palette(s, d, 12), "v"),
+    W(f", {_pal.replace('200', '12')}, u AS (SELECT img, y, x * 2 + k AS x, (r >> CAST(k * 4 AS INTEGER)) % 16 AS v FROM (SELECT *, unnest(range(0, 2)) AS k FROM grid)) FINAL SELECT u.img, y, u.x, {_four} FROM u LEFT JOIN pal ON u.img = pal.img AND v = pal.idx WHERE u.x < 61"),
+    PX,
+)
+
+
+def _deltas(spark, sf_dir):
+    """Palettes of 256 differences each, from all parts."""
+    k = F.col("p_partkey")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.floor(k / 256).alias("pal"), (k % 256).alias("idx"), (k * 7 % 256).alias("r"), (F.col("p_size") * 5 % 256).cast("long").alias("g"), (k * k % 256).alias("b"), (255 - k % 256).alias("a"))
+
+
+_del = "pal AS (SELECT p_partkey // 256 AS pal, p_partkey % 256 AS idx, p_partkey * 7 % 256 AS r, p_size * 5 % 256 AS g, p_partkey * p_partkey % 256 AS b, 255 - p_partkey % 256 AS a FROM part)"
+register(
+    "palette_delta",
+    lambda s, d: R.palette_from_deltas(_deltas(s, d)),
+    f"WITH {_del} FINAL SELECT pal, idx, " + ", ".join(m(f"sum({c}) OVER (PARTITION BY pal ORDER BY idx)") + f" AS {c}" for c in "rgba") + " FROM pal",
+    "pal idx r g b a",
+)
 
 # --- prefix codes -------------------------------------------------------------------------------
 
@@ -147,7 +172,14 @@ register("length_symbol", lambda s, d: _ids(s, d).select("event_id", (3 + F.col(
          "WITH t AS (SELECT event_id, 3 + event_id % 4094 AS run, length(bin(2 + event_id % 4094)) - 1 AS top FROM events) FINAL SELECT event_id, run, 2 * top + ((run - 1) >> CAST(top - 1 AS INTEGER)) % 2 AS symbol, top - 1 AS extra FROM t", "event_id run symbol extra")
 register("copy_distance", lambda s, d: _ids(s, d).select("event_id", P.prefix_value(F.col("event_id") % 40, F.col("user_id") * 977).alias("value")),
          "WITH t AS (SELECT event_id, event_id % 40 AS c, user_id * 977 AS e, CAST(pow(2, greatest(0, (event_id % 40 - 2) >> 1)) AS BIGINT) AS size FROM events) FINAL SELECT event_id, CASE WHEN c < 4 THEN c + 1 ELSE (2 + c % 2) * size + e % size + 1 END AS value FROM t", "event_id value")
-_map = ", ".join(f"({i + 1}, {x}, {y})" for i, (x, y) in enumerate(P.distance_map()))
+# Fixed values of the format, written out for the SQL: x and y of distance codes 1 to 120.
+_NEAR = """
+0,1 1,0 1,1 -1,1 0,2 2,0 1,2 -1,2 2,1 -2,1 2,2 -2,2 0,3 3,0 1,3 -1,3 3,1 -3,1 2,3 -2,3 3,2 -3,2 0,4 4,0 1,4 -1,4 4,1 -4,1 3,3 -3,3 2,4 -2,4 4,2 -4,2 0,5 3,4 -3,4 4,3 -4,3
+5,0 1,5 -1,5 5,1 -5,1 2,5 -2,5 5,2 -5,2 4,4 -4,4 3,5 -3,5 5,3 -5,3 0,6 6,0 1,6 -1,6 6,1 -6,1 2,6 -2,6 6,2 -6,2 4,5 -4,5 5,4 -5,4 3,6 -3,6 6,3 -6,3 0,7 7,0 1,7 -1,7 5,5
+-5,5 7,1 -7,1 4,6 -4,6 6,4 -6,4 2,7 -2,7 7,2 -7,2 3,7 -3,7 7,3 -7,3 5,6 -5,6 6,5 -6,5 8,0 4,7 -4,7 7,4 -7,4 8,1 8,2 6,6 -6,6 8,3 5,7 -5,7 7,5 -7,5 8,4 6,7 -6,7 7,6 -7,6
+8,5 7,7 -7,7 8,6 8,7
+"""
+_map = ", ".join(f"({i + 1}, {xy})" for i, xy in enumerate(_NEAR.split()))
 register("plane_distance", lambda s, d: R.near_distances(_ids(s, d).select("event_id", (1 + F.col("event_id") % 200).alias("code"), (1 + F.col("user_id") % 64).alias("wide")), F.col("wide")).select("event_id", "code", "distance"),
          f"WITH near(k, dx, dy) AS (VALUES {_map}) FINAL SELECT event_id, 1 + event_id % 200 AS code, CASE WHEN k IS NULL THEN event_id % 200 - 119 ELSE greatest(1, dx + dy * (1 + user_id % 64)) END AS distance FROM events LEFT JOIN near ON k = 1 + event_id % 200", "event_id code distance")
 
@@ -160,8 +192,17 @@ def _lengths(spark, sf_dir):
 
 _len = "lens AS (SELECT p_partkey // 12 AS tree, p_partkey % 12 AS symbol, CASE WHEN p_partkey // 12 % 3 = 0 THEN least(p_partkey % 12 + 1, 11) ELSE p_size % 15 END AS len FROM part)"
 register("huffman_kraft", lambda s, d: R.kraft(_lengths(s, d)), f"WITH {_len} FINAL SELECT tree, count(*) AS symbols, sum(1 << CAST(15 - len AS INTEGER)) AS room, CASE WHEN count(*) = 1 OR sum(1 << CAST(15 - len AS INTEGER)) = 32768 THEN 1 ELSE 0 END AS complete FROM lens WHERE len > 0 GROUP BY tree", "tree symbols room complete")
-register("canonical_codes", lambda s, d: R.canonical_codes(_lengths(s, d).where("tree % 3 = 0")),
-         f"WITH {_len}, b AS (SELECT *, coalesce(sum(1 << CAST(15 - len AS INTEGER)) OVER (PARTITION BY tree ORDER BY len, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lens WHERE len > 0 AND tree % 3 = 0) FINAL SELECT tree, symbol, len, CAST(before AS BIGINT) >> CAST(15 - len AS INTEGER) AS code, reverse(lpad(bin(CAST(before AS BIGINT) >> CAST(15 - len AS INTEGER)), CAST(len AS INTEGER), '0')) AS sent FROM b", "tree symbol len code", "sent")
+
+
+def _complete_lengths(spark, sf_dir):
+    """Code lengths of complete trees of three shapes: 1, 2, .. 11, 11; four of 3 and eight of 4; the same the other way round."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.floor(F.col("p_partkey") / 12).alias("tree"), (F.col("p_partkey") % 12).alias("symbol"))
+    return p.withColumn("len", F.when(F.col("tree") % 3 == 0, F.least(F.col("symbol") + 1, F.lit(11))).when(F.col("tree") % 3 == 1, F.when(F.col("symbol") < 4, 3).otherwise(4)).otherwise(F.when(F.col("symbol") < 8, 4).otherwise(3)))
+
+
+_full = "lens AS (SELECT p_partkey // 12 AS tree, p_partkey % 12 AS symbol, CASE p_partkey // 12 % 3 WHEN 0 THEN least(p_partkey % 12 + 1, 11) WHEN 1 THEN CASE WHEN p_partkey % 12 < 4 THEN 3 ELSE 4 END ELSE CASE WHEN p_partkey % 12 < 8 THEN 4 ELSE 3 END END AS len FROM part)"
+register("canonical_codes", lambda s, d: R.canonical_codes(_complete_lengths(s, d)),
+         f"WITH {_full}, b AS (SELECT *, coalesce(sum(1 << CAST(15 - len AS INTEGER)) OVER (PARTITION BY tree ORDER BY len, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM lens WHERE len > 0) FINAL SELECT tree, symbol, len, CAST(before AS BIGINT) >> CAST(15 - len AS INTEGER) AS code, reverse(lpad(bin(CAST(before AS BIGINT) >> CAST(15 - len AS INTEGER)), CAST(len AS INTEGER), '0')) AS sent FROM b", "tree symbol len code", "sent")
 register("huff_group_lookup", lambda s, d: grid(s, d).withColumns({"by": F.shiftright("y", 3), "bx": F.shiftright("x", 3)}).join(_blocks(grid(s, d)).select("img", "by", "bx", (F.col("g2r") * 256 + F.col("g2b")).alias("grp")), ["img", "by", "bx"]).groupBy("img", "grp").agg(F.count("*").alias("n")),
          W(", bl AS (SELECT img, y // 8 AS ky, x // 8 AS kx, r * 256 + g AS grp FROM grid WHERE y % 8 = 0 AND x % 8 = 0) FINAL SELECT grid.img, grp, count(*) AS n FROM grid JOIN bl ON grid.img = bl.img AND y // 8 = ky AND x // 8 = kx GROUP BY ALL"), "img grp n")
 register("huff_group_count", lambda s, d: _blocks(grid(s, d)).groupBy("img").agg((F.max(F.col("g2r") * 256 + F.col("g2b")) + 1).alias("groups")), W(" FINAL SELECT img, max(r * 256 + g) + 1 AS groups FROM grid WHERE y % 8 = 0 AND x % 8 = 0 GROUP BY img"), "img groups")
@@ -317,11 +358,29 @@ _bl = lambda s, dst, al: f"CASE WHEN {al} = 0 THEN {dst} ELSE (({s} * {al} + {ds
 register("alpha_blend", _blended, W(f", t AS (SELECT *, ((((255 - g) * (255 - a) + 128) >> 8) + (255 - g) * (255 - a) + 128) >> 8 AS under FROM grid) FINAL SELECT img, y, x, {_bl('r', 'g', 'a')} AS r, {_bl('g', 'b', 'a')} AS g, {_bl('b', 'r', 'a')} AS b, CASE WHEN a = 0 THEN 255 - g ELSE a + under END AS a FROM t"), PX)
 _under = "((((c.a * (255 - t.a)) + 128) >> 8) + c.a * (255 - t.a) + 128) >> 8"
 _fold = lambda k: f"CASE WHEN t.a = 0 THEN c.{k} ELSE ((t.{k} * t.a + c.{k} * ({_under})) * (16777216 // greatest(1, t.a + ({_under}))) >> 24) % 256 END"
-register("composite_fold", lambda s, d: R.blended_canvas(grid(s, d).withColumnRenamed("img", "frame")),
-         f"WITH RECURSIVE {GRID}, c AS (SELECT y, x, CAST(-1 AS BIGINT) AS f, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS g, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS a FROM grid WHERE img = 0 UNION ALL SELECT c.y, c.x, t.img, {_fold('r')}, {_fold('g')}, {_fold('b')}, CASE WHEN t.a = 0 THEN c.a ELSE t.a + ({_under}) END FROM c JOIN grid t ON t.y = c.y AND t.x = c.x AND t.img = c.f + 1) FINAL SELECT y, x, r, g, b, a FROM (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY f DESC) AS k FROM c) WHERE k = 1", "y x r g b a")
+
+
+def _animated(spark, sf_dir):
+    """The images as frames: twelve to an animation."""
+    return grid(spark, sf_dir).withColumns({"anim": F.floor(F.col("img") / 12), "frame": F.col("img") % 12})
+
+
+_black = ", ".join(f"CAST(0 AS BIGINT) AS {c}" for c in "rgba")
+register(
+    "composite_fold",
+    lambda s, d: R.blended_canvas(_animated(s, d)),
+    f"""WITH RECURSIVE {GRID}, c AS (SELECT img // 12 AS anim, y, x, img // 12 * 12 - 1 AS f, {_black} FROM grid WHERE img % 12 = 0
+ UNION ALL SELECT c.anim, c.y, c.x, t.img, {_fold('r')}, {_fold('g')}, {_fold('b')}, CASE WHEN t.a = 0 THEN c.a ELSE t.a + ({_under}) END FROM c JOIN grid t ON t.y = c.y AND t.x = c.x AND t.img = c.f + 1 AND t.img // 12 = c.anim)
+ FINAL SELECT anim, y, x, r, g, b, a FROM (SELECT *, row_number() OVER (PARTITION BY anim, y, x ORDER BY f DESC) AS k FROM c) WHERE k = 1""",
+    "anim y x r g b a",
+)
 _cover = "x >= img % 7 AND x < 20 + img % 9 AND y >= img % 5"
-register("composite_last_writer", lambda s, d: R.last_writer(grid(s, d).select(F.col("img").alias("frame"), "y", "x", F.expr(f"case when {_cover} then g end").alias("value"))).select("frame", "y", "x", F.coalesce("shown", F.lit(-1)).alias("shown")),
-         W(f" FINAL SELECT img AS frame, y, x, coalesce(last_value(CASE WHEN {_cover} THEN g END IGNORE NULLS) OVER (PARTITION BY y, x ORDER BY img ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS shown FROM grid"), "frame y x shown")
+register(
+    "composite_last_writer",
+    lambda s, d: R.last_writer(_animated(s, d).select("anim", "frame", "y", "x", F.expr(f"case when {_cover} then g end").alias("value"))).select("anim", "frame", "y", "x", F.coalesce("shown", F.lit(-1)).alias("shown")),
+    W(f" FINAL SELECT img // 12 AS anim, img % 12 AS frame, y, x, coalesce(last_value(CASE WHEN {_cover} THEN g END IGNORE NULLS) OVER (PARTITION BY img // 12, y, x ORDER BY img ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS shown FROM grid"),
+    "anim frame y x shown",
+)
 
 
 def _rects(spark, sf_dir):
@@ -463,17 +522,27 @@ def _frame_sums(spark, sf_dir, blend: bool):
 
 
 register("frames_decode", lambda s, d: _frame_sums(s, d, False),
-         W(f", {_whole} FINAL SELECT img AS frame_no, sum(r) AS r, sum(g) AS g, sum(b) AS b, sum(a) AS a, sum((r + g + b + a) * i) AS mark FROM whole WHERE img < 12 GROUP BY img"), "frame_no r g b a mark")
-register("frames_blend", lambda s, d: _frame_sums(s, d, True),
-         f"WITH RECURSIVE {GRID}, {_whole}, c AS (SELECT y, x, CAST(-1 AS BIGINT) AS f, CAST(0 AS BIGINT) AS r, CAST(0 AS BIGINT) AS g, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS a FROM whole WHERE img = 0 UNION ALL SELECT c.y, c.x, t.img, {_fold('r')}, {_fold('g')}, {_fold('b')}, CASE WHEN t.a = 0 THEN c.a ELSE t.a + ({_under}) END FROM c JOIN whole t ON t.y = c.y AND t.x = c.x AND t.img = c.f + 1 AND t.img < 12) FINAL SELECT f AS frame_no, sum(r) AS r, sum(g) AS g, sum(b) AS b, sum(a) AS a, sum((r + g + b + a) * (y * 32 + x)) AS mark FROM c WHERE f >= 0 GROUP BY f", "frame_no r g b a mark")
+         W(f", {_whole} FINAL SELECT img AS frame_no, sum(r) AS r, sum(g) AS g, sum(b) AS b, sum(a) AS a, sum((r + g + b + a) * i) AS mark FROM whole GROUP BY img"), "frame_no r g b a mark")
+register(
+    "frames_blend",
+    lambda s, d: _frame_sums(s, d, True),
+    f"""WITH RECURSIVE {GRID}, {_whole}, c AS (SELECT img // 12 AS anim, y, x, img // 12 * 12 - 1 AS f, {_black} FROM whole WHERE img % 12 = 0
+ UNION ALL SELECT c.anim, c.y, c.x, t.img, {_fold('r')}, {_fold('g')}, {_fold('b')}, CASE WHEN t.a = 0 THEN c.a ELSE t.a + ({_under}) END FROM c JOIN whole t ON t.y = c.y AND t.x = c.x AND t.img = c.f + 1 AND t.img // 12 = c.anim)
+ FINAL SELECT f AS frame_no, sum(r) AS r, sum(g) AS g, sum(b) AS b, sum(a) AS a, sum((r + g + b + a) * (y * 32 + x)) AS mark FROM c WHERE f >= anim * 12 GROUP BY f""",
+    "frame_no r g b a mark",
+)
 register("image_metadata", lambda s, d: I.metadata(I.encode_images(_rasters(s, d), "img"), "img").select("img", "width", "height", F.col("has_alpha").cast("int").alias("has_alpha"), "buffer_size", "kind"),
          W(f", {_whole} FINAL SELECT DISTINCT img, 32 AS width, 32 AS height, 1 AS has_alpha, 4096 AS buffer_size, 'lossless' AS kind FROM whole"), "img width height has_alpha buffer_size", "kind")
-register("chunk_scan", lambda s, d: I.chunk_table(_animations(s, d, False), "anim").groupBy("fourcc").agg(F.count("*").alias("n"), F.count("parent").alias("nested")),
-         W(f", {_whole}, f AS (SELECT count(DISTINCT img) AS n FROM whole WHERE img < 12) FINAL SELECT * FROM (SELECT 'VP8X' AS fourcc, 1 AS n, 0 AS nested FROM f WHERE n > 0 UNION ALL SELECT 'ANIM', 1, 0 FROM f WHERE n > 0 UNION ALL SELECT 'ANMF', n, 0 FROM f WHERE n > 0 UNION ALL SELECT 'VP8L', n, n FROM f WHERE n > 0) z"), "n nested", "fourcc")
+register(
+    "chunk_scan",
+    lambda s, d: I.chunk_table(_animations(s, d, False), "anim").groupBy("fourcc").agg(F.count("*").alias("n"), F.count("parent").alias("nested")),
+    W(f""", {_whole}, f AS (SELECT count(DISTINCT img) AS frames, count(DISTINCT img // 12) AS anims FROM whole)
+ FINAL SELECT * FROM (SELECT 'VP8X' AS fourcc, anims AS n, 0 AS nested FROM f UNION ALL SELECT 'ANIM', anims, 0 FROM f UNION ALL SELECT 'ANMF', frames, 0 FROM f UNION ALL SELECT 'VP8L', frames, frames FROM f) z WHERE n > 0"""),
+    "n nested",
+    "fourcc",
+)
 
 # --- prediction, quantizers, frame headers --------------------------------------------------------
-from ..codec import lossy  # noqa: E402
-
 register("intra_dc", lambda s, d: R.intra_dc(grid(s, d), "g").select("img", F.col("by").alias("sy"), F.col("bx").alias("sx"), "value"),
          W(""", p AS (SELECT img, y // 16 + 1 AS ky, x // 16 AS kx, g FROM grid WHERE y % 16 = 15 UNION ALL SELECT img, y // 16, x // 16 + 1, g FROM grid WHERE x % 16 = 15), t AS (SELECT img, ky, kx, sum(g) AS total, count(*) AS k FROM p GROUP BY ALL),
  q AS (SELECT DISTINCT img, y // 16 AS ky, x // 16 AS kx FROM grid) FINAL SELECT q.img, q.ky AS sy, q.kx AS sx, coalesce((total + k // 2) // k, 128) AS value FROM q LEFT JOIN t ON q.img = t.img AND q.ky = t.ky AND q.kx = t.kx"""), "img sy sx value")
@@ -481,10 +550,21 @@ register("intra_true_motion", lambda s, d: R.intra_true_motion(grid(s, d), "g"),
          W(f""", t AS (SELECT c.img, c.y, c.x, coalesce(l.g, 129) AS lf, coalesce(a.g, 127) AS ab, CASE WHEN c.y < 16 THEN 127 WHEN c.x < 16 THEN 129 ELSE k.g END AS co FROM grid c
  LEFT JOIN grid l ON l.img = c.img AND l.y = c.y AND l.x = c.x // 16 * 16 - 1 LEFT JOIN grid a ON a.img = c.img AND a.x = c.x AND a.y = c.y // 16 * 16 - 1 LEFT JOIN grid k ON k.img = c.img AND k.y = c.y // 16 * 16 - 1 AND k.x = c.x // 16 * 16 - 1)
  FINAL SELECT img, y, x, {cl('lf + ab - co')} AS value FROM t"""), "img y x value")
-_steps = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(zip(lossy.DC_STEPS, lossy.AC_STEPS, strict=True)))
+# Fixed values of the format, written out for the SQL: steps of quantizer indices 0 to 127.
+_DC = """
+4 5 6 7 8 9 10 10 11 12 13 14 15 16 17 17 18 19 20 20 21 21 22 22 23 23 24 25 25 26 27 28 29 30 31 32 33 34 35 36 37 37 38 39 40 41 42 43 44 45 46 46 47 48 49 50 51 52 53
+54 55 56 57 58 59 60 61 62 63 64 65 66 67 68 69 70 71 72 73 74 75 76 76 77 78 79 80 81 82 83 84 85 86 87 88 89 91 93 95 96 98 100 101 102 104 106 108 110 112 114 116 118
+122 124 126 128 130 132 134 136 138 140 143 145 148 151 154 157
+"""
+_AC = """
+4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 21 22 23 24 25 26 27 28 29 30 31 32 33 34 35 36 37 38 39 40 41 42 43 44 45 46 47 48 49 50 51 52 53 54 55 56 57 58 60 62 64 66
+68 70 72 74 76 78 80 82 84 86 88 90 92 94 96 98 100 102 104 106 108 110 112 114 116 119 122 125 128 131 134 137 140 143 146 149 152 155 158 161 164 167 170 173 177 181
+185 189 193 197 201 205 209 213 217 221 225 229 234 239 245 249 254 259 264 269 274 279 284
+"""
+_steps = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(zip(_DC.split(), _AC.split(), strict=True)))
 register("quantizer_steps", lambda s, d: R.quantizer_steps(_ids(s, d).select("event_id", (F.col("user_id") % 140 - 6).alias("wanted")), "wanted"),
          f"WITH st(q, dc, ac) AS (VALUES {_steps}) FINAL SELECT event_id, dc AS y_dc, ac AS y_ac, 2 * dc AS y2_dc, greatest(8, ac * 155 // 100) AS y2_ac, least(132, dc) AS uv_dc, ac AS uv_ac FROM events JOIN st ON q = {cl('user_id % 140 - 6', 0, 127)}", "event_id y_dc y_ac y2_dc y2_ac uv_dc uv_ac")
-_zig = ", ".join(map(str, lossy.ZIGZAG))
+_zig = "0, 1, 4, 8, 5, 2, 3, 6, 9, 12, 13, 10, 7, 11, 14, 15"
 register("dequantize_zigzag", lambda s, d: R.dequantized(grid(s, d).select("img", F.floor(F.col("i") / 16).alias("blk"), (F.col("i") % 16).alias("k"), (F.col("r") % 41 - 20).alias("level")), F.lit(8), F.lit(11)),
          W(f", t AS (SELECT img, i // 16 AS blk, [{_zig}][i % 16 + 1] AS place, r % 41 - 20 AS level FROM grid) FINAL SELECT img, blk, place, level * CASE WHEN place > 0 THEN 11 ELSE 8 END AS value FROM t"), "img blk place value")
 
@@ -507,3 +587,5 @@ def _feature_flags(spark, sf_dir):
 
 _bit = lambda n: f"((event_id % 256) >> {n}) % 2"
 register("feature_flags", _feature_flags, f"FINAL SELECT event_id, {_bit(5)} AS icc, {_bit(4)} AS alpha, {_bit(3)} AS exif, {_bit(2)} AS xmp, {_bit(1)} AS animation, CASE WHEN event_id % 7 = 0 THEN -1 ELSE event_id % 7 END AS loops FROM events", "event_id icc alpha exif xmp animation loops")
+
+from . import recurrences  # noqa: E402, F401 registers its queries

@@ -130,6 +130,19 @@ def decode_images(images: DataFrame, options: Options = Options(), key: str = "p
     return _per_row(images, key, "width int, height int, bpp int, pixels binary, error_code string, error_detail string", rows)
 
 
+def decode_vp8(frames: DataFrame, options: Options = Options(), key: str = "path") -> DataFrame:
+    """As ``decode_images``, for rows whose content is a bare VP8 keyframe without a container."""
+
+    def rows(content: bytes | None):
+        try:
+            px = lossy.decode_rgb(content or b"", options.tables, options.upsampling)
+            yield px.shape[1], px.shape[0], px.shape[2], np.ascontiguousarray(px).tobytes(), None, None
+        except CodecError as e:
+            yield None, None, None, None, e.code, e.detail
+
+    return _per_row(frames, key, "width int, height int, bpp int, pixels binary, error_code string, error_detail string", rows)
+
+
 def decode_frames(images: DataFrame, options: Options = Options(), key: str = "path") -> DataFrame:
     """key, frame_no (from 0), duration_ms, width, height, bpp, pixels of the composited canvas after each frame; a fault ends an animation with a row that names it."""
 

@@ -127,7 +127,15 @@ def test_predictors_against_definition(mode):
         else:
             left, top, right, corner = at(i - 1), at(i - w), at(i - w + 1), at(i - w - 1)
             floor = lambda a, b: [(u + v) // 2 for u, v in zip(a, b, strict=True)]
-            p = {0: [0, 0, 0, 255], 1: left, 2: top, 3: right, 4: corner, 8: floor(corner, top), 9: floor(top, right)}.get(mode) or lossless.predicted(mode, left, top, right, corner)
+            four = list(zip(left, top, corner, strict=True))
+            clip = lambda v: max(0, min(255, v))
+            near_left = sum(abs(t - c) for _, t, c in four) < sum(abs(v - c) for v, _, c in four)
+            means = floor(left, top)
+            p = {
+                0: [0, 0, 0, 255], 1: left, 2: top, 3: right, 4: corner, 5: floor(floor(left, right), top), 6: floor(left, corner), 7: means, 8: floor(corner, top), 9: floor(top, right),
+                10: floor(floor(left, corner), floor(top, right)), 11: left if near_left else top, 12: [clip(v + t - c) for v, t, c in four],
+                13: [clip(m + int((m - c) / 2)) for m, (_, _, c) in zip(means, four, strict=True)],
+            }[mode]
         flat[i] = [(a + int(b)) % 256 for a, b in zip(p, res[y, x], strict=True)]
     assert got.reshape(-1, 4).tolist() == flat
 
