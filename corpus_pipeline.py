@@ -4,8 +4,8 @@ A stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns is
 and read again as the next one's ``docs``. All but the last return the columns of ``documents``.
 
 * quality_rules: rows that fail the base rules or the isolation forest go.
-* line_dedup: later repeats of runs of lines (50 words or more) are deleted; a document that loses
-  all its words goes.
+* line_dedup: later repeats of runs of 50 words or more, wherever lines break, are deleted; a document
+  that loses all its words goes.
 * near_dedup: of each group of near duplicates (five-word shingles, 0.8) one document stays.
 * source_mix: documents are read as often as the mix takes their blocks, up to twice; a row holds
   the words that are taken on one reading.
@@ -14,12 +14,10 @@ and read again as the next one's ``docs``. All but the last return the columns o
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenmill.llm import byte_bpe, line_dedup, near_dedup, quality_rules, source_mix
-from lumenmill.llm.common import small_batches
+from lumenmill.llm.common import Scratch, small_batches
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,19 +46,25 @@ def _tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(docs, *byte_bpe.public_ranks(), keep_ids=True)
 
 
-STAGES = [("quality_rules", _quality), ("line_dedup", _lines), ("near_dedup", _near), ("source_mix", _mix), ("byte_bpe", _tokens)]
+STAGES = [
+    ("quality_rules", _quality),
+    ("line_dedup", _lines),
+    ("near_dedup", _near),
+    ("source_mix", _mix),
+    ("byte_bpe", _tokens),
+]
 
 #: The forest, the signatures and the merges are beyond SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what is between them lies in the cluster's checkpoint folder."""
-    top = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints').rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs.write.parquet(f"{top}/{i}-{name}")
-            docs = spark.read.parquet(f"{top}/{i}-{name}")
+    """All stages over ``documents``. What a stage returns lies in the cluster's shared folder until the next one is written; the last one stays."""
+    tables = Scratch(spark, "pipeline")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for _, stage in STAGES:
+        docs = tables.keep(stage(spark, docs, sf_dir))
+        if before is not None:
+            tables.drop(before)
+        before = docs
     return docs
