@@ -20,8 +20,9 @@ shortest run of lines with that many words that starts at a line, or that ends a
 fingerprint the smallest line hash, and the windows are compared with the first place of the same
 lines.
 
-Only minima and counts are aggregated for a hash, so a passage in a third of all texts is no burden
-to one task, and no group is collected; a row's ranges are bounded by its own words.
+Only minima and counts are aggregated for a hash, and what is joined by a hash is either broadcast,
+if it is small, or has its hot keys broadcast (``common.joined``); so a passage in a third of all
+texts is no burden to one task, and no group is collected. A row's ranges are bounded by its own words.
 
 Defined results: a null text stays null, an empty one empty; shorter repeats stay; rows with equal
 doc_id and text are one document and come out alike; a null doc_id comes after all others; an
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BASE_INV, BYTE, IS_SPACE, U, blocks, checkpoint, mix, powers, release, small_batches, span_hashes, text_column, words_of
+from .common import BASE, BASE_INV, BROADCAST_ROWS, BYTE, IS_SPACE, U, Scratch, blocks, joined, mix, powers, small_batches, span_hashes, text_column, words_of
 
 MIN_WORDS = 50
 BYTE_2 = mix(BYTE + U(12345))
@@ -143,18 +144,21 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """(id, mark, lo, hi): the line ranges of each document that stand earlier elsewhere."""
-    made = checkpoint(windows(keyed(docs), least).where(F.size("fp") > 0))
+    scratch = Scratch(docs.sparkSession, "line_dedup")
+    made = scratch.keep(windows(keyed(docs), least).where(F.size("fp") > 0))
     # Fingerprints that stand in more than one place.
-    places = made.select(F.explode(F.arrays_zip("mine", "places")).alias("p")).select("p.*")
-    often = checkpoint(places.groupBy("mine").agg(F.sum("places").alias("n")).where("n > 1").select(F.col("mine").alias("f")))
+    places = made.select(F.explode(F.arrays_zip("mine", "places")).alias("p")).select(F.col("p.mine").alias("fp"), "p.places")
+    often = scratch.keep(places.groupBy("fp").agg(F.sum("places").alias("n"), F.sum("places").alias("weight")).where("n > 1").drop("n"))
     each = made.select("id", "mark", F.explode(F.arrays_zip("fp", "w1", "w2", "lo", "hi")).alias("w")).select("id", "mark", "w.*")
-    near = checkpoint(each.join(often, F.col("fp") == F.col("f")).select("id", "mark", "w1", "w2", "lo", "hi"))
+    near = scratch.keep(joined(each, often, ["fp"], "weight", places.agg(F.sum("places")).first()[0] or 0).select("id", "mark", "w1", "w2", "lo", "hi"))
     first = near.groupBy("w1", "w2").agg(F.min(F.struct("id", "mark", "lo", "hi")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = checkpoint(first.select(F.col("w1").alias("f1"), F.col("w2").alias("f2"), "first"))
-    later = near.join(first, (F.col("w1") == F.col("f1")) & (F.col("w2") == F.col("f2"))).where(~((F.col("id") == F.col("first.id")) & (F.col("mark") == F.col("first.mark")) & (F.col("lo") == F.col("first.lo"))))
+    first = scratch.keep(first)
+    later = joined(near, first, ["w1", "w2"], "n", near.count()).where(~((F.col("id") == F.col("first.id")) & (F.col("mark") == F.col("first.mark")) & (F.col("lo") == F.col("first.lo"))))
     own = (F.col("id") == F.col("first.id")) & (F.col("mark") == F.col("first.mark"))
     begin = F.when(own, F.greatest("lo", F.col("first.hi") + 1)).otherwise(F.col("lo"))
-    return later.select("id", "mark", begin.alias("lo"), "hi").where("lo <= hi")
+    out = scratch.keep(later.select("id", "mark", begin.alias("lo"), "hi").where("lo <= hi"))
+    scratch.drop(made, often, near, first)
+    return out
 
 
 def cut(text: str, ranges: list) -> tuple[str, int]:
@@ -249,35 +253,42 @@ def word_windows(docs: DataFrame, least: int) -> DataFrame:
     return docs.select("id", "mark", "text", "spans").mapInArrow(run, "id long, mark long, fp long, w long, lo int")
 
 
+def _lists_of(ranges: DataFrame, name: str) -> DataFrame:
+    """id, mark and the list of ranges (lo, hi) of each document in ``ranges`` (a written table); broadcast if there are few ranges in all.
+
+    A list is bounded by its document's own words.
+    """
+    lists = ranges.groupBy("id", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias(name))
+    return F.broadcast(lists) if ranges.count() <= BROADCAST_ROWS else lists
+
+
 def word_repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """(id, mark, lo, hi): the ranges of words of each document that stand earlier elsewhere."""
+    """(id, mark, lo, hi): the ranges of words of each document that stand earlier elsewhere. A written table."""
+    scratch = Scratch(docs.sparkSession, "line_dedup")
     texts = keyed(docs)
-    made = word_groups(texts, least).where(F.size("fp") > 0)  # made twice rather than kept, for the sake of the disk
-    often = made.select(F.explode(F.arrays_zip("fp", "places")).alias("x")).select(F.col("x.fp").alias("f"), "x.places").groupBy("f").agg(F.sum("places").alias("n")).where("n > 1").select("f")
+    made = scratch.keep(word_groups(texts, least).where(F.size("fp") > 0))
+    places = made.select(F.explode(F.arrays_zip("fp", "places")).alias("x")).select("x.*")
+    often = scratch.keep(places.groupBy("fp").agg(F.sum("places").alias("n"), F.count("*").alias("weight")).where("n > 1").drop("n"))
     each = made.select("id", "mark", F.explode(F.arrays_zip("fp", "g", "lo", "hi", "places")).alias("x")).select("id", "mark", "x.*")
-    near = checkpoint(each.join(often, F.col("fp") == F.col("f")).drop("f"))
-    del made, often, each
-    release(docs.sparkSession)
+    near = scratch.keep(joined(each, often, ["fp"], "weight", places.count()))
+    scratch.drop(made, often)
     place = ["id", "mark", "lo"]
-    first = checkpoint(near.groupBy("fp", "g").agg(F.min(F.struct(*place, "hi")).alias("first"), F.max("places").alias("places"), F.count("*").alias("n")))
+    first = scratch.keep(near.groupBy("fp", "g").agg(F.min(F.struct(*place, "hi")).alias("first"), F.max("places").alias("p"), F.count("*").alias("n")))
     beyond = F.when((F.col("id") == F.col("first.id")) & (F.col("mark") == F.col("first.mark")), F.greatest("lo", F.col("first.lo") + least)).otherwise(F.col("lo"))
 
     def later(rows: DataFrame, firsts: DataFrame, key: str) -> DataFrame:
-        firsts = firsts.where("n > 1").select(F.col("fp").alias("f1"), F.col(key).alias("f2"), "first")
-        both = rows.join(firsts, (F.col("fp") == F.col("f1")) & (F.col(key) == F.col("f2")))
+        """The rows that repeat the first of their kind, as far as they lie beyond it."""
+        both = joined(rows, firsts, ["fp", key], "n", rows.count())
         return both.where(~(F.struct(*place) == F.struct("first.id", "first.mark", "first.lo"))).select("id", "mark", beyond.alias("lo"), "hi").where("lo <= hi")
 
     # Fingerprints with groups of several kinds, or with one that may repeat inside itself: windows of the first of each kind.
-    mixed = first.groupBy("fp").agg(F.count("*").alias("kinds"), F.max("places").alias("p")).where("kinds > 1 or p > 1").select(F.col("fp").alias("f"))
-    spans = first.join(mixed, F.col("fp") == F.col("f")).groupBy(F.col("first.id").alias("i"), F.col("first.mark").alias("m")).agg(F.collect_list(F.struct("first.lo", "first.hi")).alias("spans"))
-    windows = checkpoint(word_windows(texts.join(spans, (F.col("id") == F.col("i")) & (F.col("mark") == F.col("m"))), least))
-    del mixed, spans
-    release(docs.sparkSession)
-    start = checkpoint(windows.groupBy("fp", "w").agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("n")).where("n > 1"))
-    release(docs.sparkSession)
-    found = checkpoint(later(near, first, "g").unionByName(later(windows.withColumn("hi", (F.col("lo") + (least - 1)).cast("int")), start, "w")))
-    del start, windows, near, first
-    release(docs.sparkSession)  # the shuffles before go before the texts are shuffled once more
+    mixed = scratch.keep(first.groupBy("fp").agg(F.count("*").alias("weight"), F.max("p").alias("most")).where("weight > 1 or most > 1").drop("most"))
+    open_ = scratch.keep(joined(first.select("fp", "first"), mixed, ["fp"], "weight", first.count()).select("first.id", "first.mark", "first.lo", "first.hi"))
+    windows = scratch.keep(word_windows(texts.join(_lists_of(open_, "spans"), ["id", "mark"]), least))
+    again = scratch.keep(first.where("n > 1").drop("p"))
+    start = scratch.keep(windows.groupBy("fp", "w").agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    found = scratch.keep(later(near, again, "g").unionByName(later(windows.withColumn("hi", (F.col("lo") + (least - 1)).cast("int")), start, "w")))
+    scratch.drop(near, first, mixed, open_, windows, again, start)
     return found
 
 
@@ -312,11 +323,10 @@ def cut_words(text: str, ranges: list) -> tuple[str, int]:
 def deduplicated(docs: DataFrame, least: int = MIN_WORDS, unit: str = "line") -> DataFrame:
     """``row`` (the columns of ``docs``), new_text, n_lines, n_removed. ``unit``: line or word, what a run is made of."""
     find, cut_out = (word_repeats, cut_words) if unit == "word" else (repeats, cut)
-    ranges = find(docs, least).groupBy("id", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))  # bounded by a row's own units
-    ranges = ranges.select(F.col("id").alias("i"), F.col("mark").alias("m"), "ranges")
+    ranges = _lists_of(find(docs, least), "ranges")
     text = F.col("text").cast("string")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("mark"))
-    both = rows.join(ranges, (F.col("id") == F.col("i")) & (F.col("mark") == F.col("m")), "left")
+    both = rows.join(ranges, ["id", "mark"], "left")
 
     @F.udf("struct<new_text: string, n_removed: long>", useArrow=True)
     def without(text, ranges):  # runs for the rows that lose something, only
