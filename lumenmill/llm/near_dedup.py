@@ -221,17 +221,18 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         if turn == "centre":
             tries = near.select(F.col("c").alias("u"), F.col("id").alias("v"))
         else:
-            members = under.join(label, "id")
-            apart = members.groupBy("c").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("c")
-            own = label.select(F.col("id").alias("c"), F.col("comp").alias("own")).join(apart, "c")
-            here = scratch.keep(members.join(own, "c"))
-            spent.append(here)
+            members = scratch.keep(under.join(label, "id"))
+            apart = members.groupBy("c").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("weight")).where("lo < hi").select("c", "weight")
+            apart = scratch.keep(apart.join(label.select(F.col("id").alias("c"), F.col("comp").alias("own")), "c"))
+            here = scratch.keep(joined(members, apart, ["c"], "weight", members.count()))
+            spent += [members, apart, here]
             if turn == "rest":
                 tries = _rest(here, sets, percent, scratch, spent)
             else:
-                other = here.where("comp <> own").groupBy("c").agg(F.min("id").alias("second"))
-                second = label.select(F.col("id").alias("second"), F.col("comp").alias("its")).join(other, "second")
-                tries = here.join(second, "c").where("comp <> its and id <> c").select(F.least("id", "second").alias("u"), F.greatest("id", "second").alias("v")).distinct()
+                second = here.groupBy("c").agg(F.min(F.when(F.col("comp") != F.col("own"), F.col("id"))).alias("second"), F.count("*").alias("weight"))
+                second = scratch.keep(second.join(label.select(F.col("id").alias("second"), F.col("comp").alias("its")), "second"))
+                spent.append(second)
+                tries = joined(here, second, ["c"], "weight", here.count()).where("comp <> its and id <> c").select(F.least("id", "second").alias("u"), F.greatest("id", "second").alias("v")).distinct()
         a, b = sets.select(F.col("id").alias("u"), F.col("elements").alias("a")), sets.select(F.col("id").alias("v"), F.col("elements").alias("b"))
         good = linked(tries.join(b, "v").join(a, "u"), percent)
         lu, lv = label.select(F.col("id").alias("u"), F.col("comp").alias("cu")), label.select(F.col("id").alias("v"), F.col("comp").alias("cv"))
@@ -275,7 +276,7 @@ def _rest(here: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, spen
     with all of their group, and no pair that may link is lost.
     """
     count = here.groupBy("c", "comp").agg(F.count("*").alias("size"))
-    main = count.groupBy("c").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"))
+    main = scratch.keep(count.groupBy("c").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.sum("size").alias("weight")))
     who = scratch.keep(here.select("id", "comp").distinct())
     known = sets.join(who, "id").select("id", "comp", F.xxhash64("elements").alias("s"), "n", "elements")  # s tells the sets of one id apart
     # The elements that stand in several components, with the number of documents they stand in.
@@ -283,7 +284,7 @@ def _rest(here: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, spen
     stands = scratch.keep(each.groupBy("e").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("e", F.col("df").alias("weight"), "df"))
     found = scratch.keep(joined(each, stands, ["e"], "weight", each.count()))
     per = scratch.keep(found.groupBy("id", "s", "n").agg(F.count("*").alias("shared"), F.count_if(F.col("df") > RARE).alias("usable")))
-    spent += [who, each, stands, found, per]
+    spent += [main, who, each, stands, found, per]
     need = F.floor((F.lit(percent) * F.col("n") + 99) / 100)
     rank = F.row_number().over(Window.partitionBy("id", "s").orderBy("df", "e"))  # a document's own elements
     rare = found.where(F.col("df") <= RARE).join(per.select("id", "s", "shared"), ["id", "s"]).withColumn("rank", rank).where(F.col("rank") <= F.col("shared") - need + 1)
@@ -293,7 +294,7 @@ def _rest(here: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, spen
     sizes = lambda x, y: 100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")
     sharing = a.join(b, (F.col("a.e") == F.col("b.e")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.comp") != F.col("b.comp")) & sizes("a", "b")).select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
     able = here.join(per.where(100 * F.col("usable") >= percent * F.col("n")).select("id", "n", "usable"), "id").select("c", "id", "comp", "n", "usable")
-    stray = able.join(main, "c").where("comp <> main").alias("x")
+    stray = joined(able, main, ["c"], "weight", here.count()).where("comp <> main").drop("main").alias("x")
     mates = stray.join(able.alias("y"), (F.col("x.c") == F.col("y.c")) & (F.col("x.comp") != F.col("y.comp")) & sizes("x", "y") & _room(percent)).select(F.least("x.id", "y.id").alias("u"), F.greatest("x.id", "y.id").alias("v"))
     return mates.unionByName(sharing).distinct()
 
