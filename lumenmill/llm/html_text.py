@@ -12,7 +12,8 @@ is needed and the cost does not depend on its size.
 
 Defined results: null or empty html gives an empty text; broken markup is read as far as it goes
 (unclosed and stray tags, a cut-off end); script, style, title and template contents are never
-text; repeated rows each get a row; very long pages are processed whole.
+text; repeated rows each get a row; very long pages are processed whole, their blocks in strips of
+``BATCH_BLOCKS`` with the network's state carried on; nesting may be of any depth.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,22 +42,61 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 SILENT_TAGS = frozenset("script style title template noscript iframe svg math object textarea".split())
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)?""", re.S)
+#: A quote opens a value only where a value may begin, after an equals sign; anywhere else it is a character like others.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]|=\s*(?:"[^"]*"|'[^']*')?)*)(?:>|\Z)?""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+|[0-9]+")
 
 
+class Open:
+    """An open element: its tag, its tokens (tag, classes, id, role), the one around it, and how many tokens there are up to here."""
+
+    __slots__ = ("depth", "sums", "tag", "tokens", "up")
+
+    def __init__(self, tag: str, tokens: tuple[str, ...], up: Open | None):
+        self.tag, self.tokens, self.up, self.sums = tag, tokens, up, None
+        self.depth = len(tokens) + (up.depth if up else 0)
+
+    def hashed(self) -> np.ndarray:
+        """The hashed tokens of this element and all around it, added up; each element adds its own to those of the one around it."""
+        todo, at = [], self
+        while at is not None and at.sums is None:
+            todo.append(at)
+            at = at.up
+        sums = np.zeros(PATH, np.float32) if at is None else at.sums
+        for e in reversed(todo):
+            sums = sums.copy()
+            for t in e.tokens:
+                k, sign = slot(t, PATH)
+                sums[k] += sign
+            e.sums = sums
+        return sums
+
+
 class Block:
-    __slots__ = ("linked", "path", "tag", "text")
+    __slots__ = ("inside", "linked", "text")
 
-    def __init__(self, path, tag, text, linked):
-        self.path, self.tag, self.text, self.linked = path, tag, text, linked
+    def __init__(self, inside: Open | None, text: str, linked: int):
+        self.inside, self.text, self.linked = inside, text, linked
+
+    @property
+    def tag(self) -> str:
+        return self.inside.tag if self.inside else ""
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        out, at = [], self.inside
+        while at is not None:
+            out.append(at.tokens)
+            at = at.up
+        return tuple(t for tokens in reversed(out) for t in tokens)
 
 
 def blocks_of(page: str) -> list[Block]:
     """The leaf blocks of a page that have text: open elements (as tokens), innermost block element, text, linked characters."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Open] = []
+    still: dict[str, int] = {}  # how many of each tag are open, lest a stray end tag search the whole stack
     parts: list[str] = []
     linked, in_link, at = 0, False, 0
 
@@ -63,11 +104,15 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked, in_link
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            path = tuple(t for _, tokens in stack for t in tokens)
-            out.append(Block(path, stack[-1][0] if stack else "", text, linked))
+            out.append(Block(stack[-1] if stack else None, text, linked))
         parts.clear()
         linked, in_link = 0, False
 
+    def pop() -> str:
+        tag = stack.pop().tag
+        still[tag] -= 1
+        return tag
+
     while at < len(page):
         m = TOKEN.search(page, at)
         if m is None:
@@ -94,23 +139,27 @@ def blocks_of(page: str) -> list[Block]:
             continue
         flush()
         if end:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
+            if still.get(tag):
+                while pop() != tag:
                     pass
             continue
-        if stack and stack[-1][0] == "p":
-            stack.pop()  # a block never stands in a paragraph
+        if stack and stack[-1].tag == "p":
+            pop()  # a block never stands in a paragraph
         if tag in CLOSES:
             names, limits = CLOSES[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in limits:
-                    break
-                if stack[i][0] in names.split():
-                    del stack[i:]
-                    break
+            names = names.split()
+            if any(still.get(n) for n in names):
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i].tag in limits:
+                        break
+                    if stack[i].tag in names:
+                        while len(stack) > i:
+                            pop()
+                        break
         if tag not in VOID_TAGS:
             named = [p.lower() for a in ATTRIBUTE.finditer(m[3] or "") for p in PART.findall(a[2] or a[3] or a[4] or "")]
-            stack.append((tag, (f"<{tag}", *named)))
+            stack.append(Open(tag, (f"<{tag}", *named), stack[-1] if stack else None))
+            still[tag] = still.get(tag, 0) + 1
     flush()
     return out
 
@@ -126,20 +175,13 @@ def slot(word: str, size: int) -> tuple[int, float]:
 MEASURES = 12
 
 
-def vectors(blocks: list[Block]) -> np.ndarray:
-    """One row of PATH + WORDS + MEASURES numbers for each block."""
+def vectors(blocks: list[Block], first: int = 0, total: int | None = None) -> np.ndarray:
+    """One row of PATH + WORDS + MEASURES numbers for each block; the blocks are those from ``first`` on of a page with ``total``."""
+    total = len(blocks) if total is None else total
     out = np.zeros((len(blocks), PATH + WORDS + MEASURES), np.float32)
-    paths: dict[tuple, np.ndarray] = {}
     for i, b in enumerate(blocks):
-        v = paths.get(b.path)
-        if v is None:
-            v = np.zeros(PATH, np.float32)
-            for t in b.path:
-                k, s = slot(t, PATH)
-                v[k] += s
-            v = np.clip(v, -3, 3)
-            paths[b.path] = v
-        out[i, :PATH] = v
+        if b.inside is not None:
+            out[i, :PATH] = np.clip(b.inside.hashed(), -3, 3)
         words = b.text.lower().split()
         n = len(words)
         bag = np.zeros(WORDS, np.float32)
@@ -150,7 +192,7 @@ def vectors(blocks: list[Block]) -> np.ndarray:
         size = len(b.text)
         out[i, PATH + WORDS :] = (
             np.log1p(n) / 3, np.log1p(size) / 5, min(b.linked / size, 1.0), b.text[-1] in ".!?:;…\"", b.tag == "p", b.tag in ("h1", "h2", "h3", "h4", "h5", "h6"),
-            b.tag in ("li", "dd", "dt"), b.tag in ("td", "th"), b.tag == "div", "©" in b.text, i / len(blocks), len(b.path) / 20,
+            b.tag in ("li", "dd", "dt"), b.tag in ("td", "th"), b.tag == "div", "©" in b.text, (first + i) / total, (b.inside.depth if b.inside else 0) / 20,
         )
     return out
 
@@ -173,12 +215,12 @@ class Labeller:
         self.p["u"] = (rng.standard_normal(2 * HIDDEN) / 6).astype(np.float32)
         self.p["d"] = np.zeros(1, np.float32)
 
-    def run(self, x: np.ndarray, mask: np.ndarray, side: str, keep: list | None = None) -> np.ndarray:
-        """x: steps x pages x numbers, in reading order of this side. Padded steps leave the state as it is."""
+    def run(self, x: np.ndarray, mask: np.ndarray, side: str, keep: list | None = None, state: list | None = None) -> np.ndarray:
+        """x: steps x pages x numbers, in reading order of this side. Padded steps leave the state as it is. ``state`` (h, s) is where to start, and then where it ended."""
         steps, n, d = x.shape
         w, c = self.p[f"W{side}"], self.p[f"c{side}"]
         pre = (x.reshape(-1, d) @ w[:d]).reshape(steps, n, -1) + c
-        h, s = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+        h, s = state or (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
         out = np.zeros((steps, n, HIDDEN), np.float32)
         for t in range(steps):
             z = pre[t] + h @ w[d:]
@@ -191,8 +233,23 @@ class Labeller:
                 keep.append((h, s, i, f, o, g, s2))
             h, s = np.where(m, h2, h), np.where(m, s2, s)
             out[t] = h
+        if state is not None:
+            state[:] = h, s
         return out
 
+    def label_long(self, blocks: list[Block], strip: int) -> np.ndarray:
+        """The probabilities for one page in strips of blocks: vectors and states of one strip at a time, one number a block and direction is kept."""
+        total = len(blocks)
+        told = np.zeros(total, np.float32)
+        for side, u in (("f", self.p["u"][:HIDDEN]), ("b", self.p["u"][HIDDEN:])):
+            state = [np.zeros((1, HIDDEN), np.float32), np.zeros((1, HIDDEN), np.float32)]
+            starts = range(0, total, strip)
+            for a in starts if side == "f" else reversed(starts):
+                x = vectors(blocks[a : a + strip], a, total)[:, None]
+                step = 1 if side == "f" else -1
+                told[a : a + strip] += (self.run(x[::step], np.ones(x.shape[:2], bool), side, None, state)[:, 0] @ u)[::step]
+        return _sigmoid(told + self.p["d"][0])
+
     def forward(self, pages: list[np.ndarray], keep=None):
         steps = max(len(v) for v in pages)
         x = np.zeros((steps, len(pages), PATH + WORDS + MEASURES), np.float32)
@@ -389,17 +446,22 @@ def train(pages: int = PAGES, epochs: int = EPOCHS, seed: int = SEED) -> Labelle
 def extract(pages: list[str], net: Labeller) -> list[str]:
     """The main text of each page."""
     cut = [blocks_of(p) for p in pages]
-    labels = net.label([vectors(b) if b else np.zeros((0, 1)) for b in cut])
+    labels = net.label([vectors(b) if 0 < len(b) <= BATCH_BLOCKS else np.zeros((0, 1)) for b in cut])
+    labels = [net.label_long(b, BATCH_BLOCKS) if len(b) > BATCH_BLOCKS else p for b, p in zip(cut, labels, strict=True)]
     return ["\n".join(b.text for b, p in zip(blocks, label, strict=True) if p >= 0.5) for blocks, label in zip(cut, labels, strict=True)]
 
 
-def extract_pages(pages: DataFrame, net: Labeller, step: int = 200) -> DataFrame:
-    """page_id, url, text of every row of ``pages``."""
+def extract_pages(pages: DataFrame, net: Labeller, step: int = 200, most: int = 1 << 20) -> DataFrame:
+    """page_id, url, text of every row of ``pages``; at most ``step`` pages or ``most`` bytes of them at once, or one page."""
 
     def run(batches):
         for b in batches:
-            for a in range(0, b.num_rows, step):
-                part = b.slice(a, step)
+            sizes = np.array([0 if x is None else x for x in pc.binary_length(b.column(2)).to_pylist()])
+            a = 0
+            while a < b.num_rows:
+                n = max(1, min(step, int(np.searchsorted(np.cumsum(sizes[a : a + step]), most, "right"))))
+                part = b.slice(a, n)
+                a += n
                 texts = extract([x or "" for x in part.column(2).to_pylist()], net)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 

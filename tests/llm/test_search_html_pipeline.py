@@ -69,6 +69,24 @@ def test_blocks():
     assert paths == [("<div", "side", "bar", "top", "<p"), ()]
 
 
+def test_quotes_that_open_no_value():
+    texts = lambda page: [b.text for b in html_text.blocks_of(page)]
+    assert texts('<article><p class="a"">Lost words here</p><p>next <a href="x">link</a></p></article>') == ["Lost words here", "next link"]
+    assert texts("""<p title=it's>one</p><p data-x='>">'>two<p "a" b = ">" c>three""") == ["one", "two", "three"]
+    assert texts('<p class="open>one</p><p>two</p>') == ["one", "two"]
+
+
+def test_long_pages_in_strips(net):
+    """Strips with carried state give what one pass gives; deep nesting costs its size."""
+    page = "".join(f'<div class="c{i % 7}"><p>some words {i} here</p>' + "</div>" * (i % 3 == 0) for i in range(900))
+    blocks = html_text.blocks_of(page)
+    whole, strips = net.label([html_text.vectors(blocks)])[0], net.label_long(blocks, 64)
+    assert len(blocks) == 900 and abs(whole - strips).max() < 1e-5
+    deep = html_text.blocks_of("<div>x" * 30_000)
+    assert len(deep) == 30_000 and len(deep[-1].path) == 30_000 and html_text.vectors(deep[-3:], 29_997, 30_000).shape[0] == 3
+    assert len(html_text.extract(["<article>" + "<p>A sentence of the story goes on here.</p>" * 5000 + "</article>"], net)[0].split("\n")) > 4000
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 def test_articles_of_the_table(spark, net):
     rows = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet").collect()
