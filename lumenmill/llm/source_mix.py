@@ -10,8 +10,9 @@ source starts over), and blocks are joined by index. No source is read more than
 
 Positions in a source are prefix sums in two steps: within (source, chunk), where a chunk is a
 hash bucket of rows, and over the chunk sums. So a source with a third of all rows is spread
-over all tasks. Only one small row for each source reaches the driver (checked against
-``MAX_SOURCES``).
+over all tasks. Sources are rows of a table (rank, sizes, targets, quotas), of any number; only
+sums over all of them reach the driver. What is looked up by source is broadcast if there are few
+(``common.BROADCAST_ROWS``), else joined with hot sources apart.
 
 Defined results: a null text has size 0 and takes nothing; a null source is a source, the last
 one; repeated rows are rows of their own; an empty table gives an empty result; only doc_id,
@@ -23,13 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint
+from .common import WORD, Scratch, joined, small
 
 BLOCK, SLOTS, ROUNDS, SEED = 128, 4096, 16, 20_240_601
 MAX_REPEAT, SHARE, WEIGHTS = 2, 1.5, (5, 2, 1)
 #: Rows of (source, chunk) that one window task sorts, about; and chunks at least.
 CHUNK_ROWS, CHUNKS = 4000, 256
-MAX_SOURCES = 100_000
 SLOTS_A_TASK = 50_000
 
 
@@ -44,38 +44,36 @@ def permuted(x: Column, n: Column, *salt: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), x, step)
 
 
-def located(ends: list[int], u: Column) -> Column:
-    """How many of the ascending ``ends`` are <= u: the index of the interval that holds u, by binary search."""
-    array = F.array(*[F.lit(int(e)).cast("long") for e in ends])
-    steps = F.sequence(F.lit(1), F.lit(max(1, len(ends).bit_length())))
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(ends)).alias("hi"))
+def located(points: DataFrame, at: str, ends: DataFrame, n: int) -> DataFrame:
+    """``points`` with the columns of the interval (lo <= at < hi) of ``ends`` that holds ``at``; the intervals are a partition of 0..n-1.
 
-    def step(s, _):
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        open_ = s["lo"] < s["hi"]
-        right = F.get(array, mid) <= u
-        return F.struct(F.when(open_ & right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~right, mid).otherwise(s["hi"]).alias("hi"))
-
-    return F.aggregate(steps, start, step, lambda s: s["lo"])
+    The range is cut into equal bins, two for each interval, so a point meets the few intervals of its bin only.
+    """
+    width = max(1, -(-n // (2 * max(ends.count(), 1))))
+    bins = ends.where("lo < hi").withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
+    bins = small(bins)
+    placed = points.withColumn("bin", F.floor(F.col(at) / width)).join(bins, "bin")
+    return placed.where((F.col("lo") <= F.col(at)) & (F.col(at) < F.col("hi"))).drop("bin")
 
 
-def targets(sizes: list[tuple], share: float = SHARE, weights: tuple = WEIGHTS, most: int = MAX_REPEAT) -> list[float]:
-    """Each source's target, for [(source, size)] in code point order with null last.
+def with_targets(sources: DataFrame, share: float = SHARE, weights: tuple = WEIGHTS, most: int = MAX_REPEAT) -> DataFrame:
+    """Adds src (rank in code point order, null last), weight and target to rows (source, size).
 
     Sources share ``share`` of all sizes by weight; a target stops at ``most`` times its size and
-    the excess is shared again, until none is above.
+    the excess is shared again, until none is above. Each round is one small aggregate.
     """
-    w = [weights[i % len(weights)] for i in range(len(sizes))]
-    cap = [most * s for _, s in sizes]
-    full: set[int] = set()
+    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # one row a source
+    made = sources.withColumn("src", rank.cast("int"))
+    made = made.withColumn("weight", F.get(F.array(*[F.lit(w) for w in weights]), F.col("src") % len(weights))).withColumn("cap", F.col("size") * most)
+    whole = made.agg(F.sum("size").alias("s"), F.sum("weight").alias("w")).first()
+    rest, total, full = share * (whole["s"] or 0), whole["w"] or 0, 0
     while True:
-        rest = share * sum(s for _, s in sizes) - sum(cap[i] for i in full)
-        total = sum(w[i] for i in range(len(w)) if i not in full)
-        goal = [float(cap[i]) if i in full else rest * w[i] / total for i in range(len(w))]
-        over = {i for i in range(len(w)) if i not in full and goal[i] > cap[i]}
-        if not over:
-            return goal
-        full |= over
+        goal = F.lit(rest) * F.col("weight") / F.lit(max(total, 1))
+        over = (goal > F.col("cap")) if total else F.lit(True)
+        now = made.agg(F.count_if(over).alias("n"), F.sum(F.when(over, F.col("cap"))).alias("cap"), F.sum(F.when(~over, F.col("weight"))).alias("w")).first()
+        if now["n"] == full or not total:
+            return made.withColumn("target", F.when(over, F.col("cap").cast("double")).otherwise(goal)).drop("cap")
+        full, rest, total = now["n"], share * whole["s"] - (now["cap"] or 0), now["w"] or 0
 
 
 class Mix:
@@ -83,28 +81,25 @@ class Mix:
 
     def __init__(self, docs: DataFrame, block: int = BLOCK, slots: int = SLOTS):
         self.spark, self.block = docs.sparkSession, block
-        base = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("mark"))
-        self.sized = checkpoint(base)  # a few numbers for each row; the texts are read once
-        per = self.sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
-        if (found := per.limit(MAX_SOURCES + 1).count()) > MAX_SOURCES:
-            raise ValueError(f"more than {MAX_SOURCES} sources: {found}")
-        rows = sorted(per.collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-        self.sources = [(r["source"], int(r["size"])) for r in rows]
-        self.goal = targets(self.sources)
-        self.blocks = [-(-s // block) for _, s in self.sources]
-        self.quota = [min(MAX_REPEAT * b, round(t * b / s)) if s else 0 for (_, s), t, b in zip(self.sources, self.goal, self.blocks, strict=True)]
-        n = sum(self.quota)
-        self.slots = max(slots, -(-n // 50_000))
-        self.n_rows = sum(int(r["n"]) for r in rows)
-        data = [(i, s, size, float(t), b) for i, ((s, size), t, b) in enumerate(zip(self.sources, self.goal, self.blocks, strict=True))]
-        kind = dict(self.sized.dtypes)["source"]
-        self.table = F.broadcast(self.spark.createDataFrame(data, f"src int, source {kind}, source_size long, target double, blocks long"))  # one row a source, at most MAX_SOURCES
+        self.scratch = Scratch(self.spark, "source_mix")
+        base = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("mark"))
+        self.sized = self.scratch.keep(base)  # a few numbers for each row; the texts are read once
+        per = self.scratch.keep(self.sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")))
+        made = with_targets(per).withColumn("blocks", F.ceil(F.col("size") / block))
+        quota = F.least(MAX_REPEAT * F.col("blocks"), F.bround(F.col("target") * F.col("blocks") / F.col("size")).cast("long"))
+        made = made.withColumn("quota", F.when(F.col("size") > 0, quota).otherwise(0).cast("long"))
+        before = Window.orderBy("src").rowsBetween(Window.unboundedPreceding, 0)
+        self.table = self.scratch.keep(made.withColumn("hi", F.sum("quota").over(before)).withColumn("lo", F.col("hi") - F.col("quota")))
+        whole = self.table.agg(F.sum("quota").alias("quota"), F.sum("n").alias("n")).first()
+        self.n, self.n_rows = whole["quota"] or 0, whole["n"] or 0
+        self.slots = max(slots, -(-self.n // 50_000))
 
     def positions(self) -> DataFrame:
         """Each row with its source's figures and ``at``: the words before it in its source."""
         chunks = max(CHUNKS, -(-self.n_rows // CHUNK_ROWS))
-        t = self.table
-        rows = self.sized.join(t, self.sized["source"].eqNullSafe(t["source"])).select("doc_id", "mark", "size", "src", self.sized["source"], "source_size", "target", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(chunks)).alias("chunk"))
+        key = {"name": F.coalesce("source", F.lit("")), "unnamed": F.col("source").isNull()}
+        figures = self.scratch.keep(self.table.select(*[c.alias(k) for k, c in key.items()], "src", F.col("size").alias("source_size"), "target", "n"))
+        rows = joined(self.sized.withColumns(key), figures, list(key), "n", self.n_rows).select("doc_id", "mark", "size", "src", "source", "source_size", "target", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(chunks)).alias("chunk"))
         order = Window.partitionBy("src", "chunk").orderBy("doc_id", "mark", "size")
         inner = rows.withColumn("inner", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)))
         sums = rows.groupBy("src", "chunk").agg(F.sum("size").alias("words"))
@@ -113,29 +108,29 @@ class Mix:
 
     def drawn(self) -> DataFrame:
         """The slots: shard, src, rank among the source's slots, and the block that it takes."""
-        n, quota = sum(self.quota), self.quota
-        ends = [sum(quota[: i + 1]) for i in range(len(quota))]
+        n = self.n
         if n == 0:
             return self.spark.createDataFrame([], "shard long, src int, rank long, block long")
-        slot = self.spark.range(n).select((F.col("id") / self.slots).cast("long").alias("shard"), located(ends, F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(n))).alias("src"))
-        counts = slot.groupBy("shard", "src").agg(F.count("*").alias("n"))
-        counts = checkpoint(counts)  # shards x sources; read three times
-        have = {r["src"]: r["n"] for r in counts.groupBy("src").agg(F.sum("n").alias("n")).collect()}
-        quotas = F.broadcast(self.spark.createDataFrame([(i, q, b) for i, (q, b) in enumerate(zip(quota, self.blocks, strict=True))], "src int, quota long, blocks long"))
-        before = F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranked = counts.withColumn("before", before).join(quotas, "src").withColumn("kept", F.greatest(F.lit(0), F.least(F.col("n"), F.col("quota") - F.col("before"))))
+        slot = self.spark.range(n).select((F.col("id") / self.slots).cast("long").alias("shard"), F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(n)).alias("u"))
+        counts = located(slot, "u", self.table.select("src", "lo", "hi"), n).groupBy("shard", "src").agg(F.count("*").alias("n"))
+        counts = self.scratch.keep(counts)  # shards x sources; read twice
+        # For each source: what it has drawn, and where what it has too much or too little stands among that of all sources.
+        have = self.table.select("src", "quota", "blocks").join(counts.groupBy("src").agg(F.sum("n").alias("have")), "src", "left").withColumn("have", F.coalesce("have", F.lit(0)))
+        upto = Window.orderBy("src").rowsBetween(Window.unboundedPreceding, 0)
+        gap = {"extra": F.greatest(F.lit(0), F.col("have") - F.col("quota")), "lack": F.greatest(F.lit(0), F.col("quota") - F.col("have"))}
+        have = have.withColumns(gap).withColumns({"first_extra": F.sum("extra").over(upto) - F.col("extra"), "hi": F.sum("lack").over(upto)}).withColumn("lo", F.col("hi") - F.col("lack"))
+        have = self.scratch.keep(have)
+        total = have.agg(F.sum("lack")).first()[0]
+        order = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+        ranked = counts.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).join(small(have.select("src", "quota", "blocks", "first_extra")), "src").withColumn("kept", F.greatest(F.lit(0), F.least(F.col("n"), F.col("quota") - F.col("before"))))
         # Each row becomes up to SLOTS rows, so the few rows are dealt out first.
         tasks = max(8, -(-n // SLOTS_A_TASK))
         inside = ranked.where("kept > 0").repartition(tasks, "shard", "src").select("shard", "src", F.explode(F.sequence("before", F.col("before") + F.col("kept") - 1)).alias("rank"))
-        # Draws beyond a quota: about the square root of all draws, in the last shards of a few sources.
-        over = ranked.where("kept < n").select("shard", F.col("n") - F.col("kept"), "src").toDF("shard", "extra", "from_src")
-        start = F.coalesce(F.sum("extra").over(Window.orderBy("from_src", "shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        spare = over.withColumn("start", start).select("shard", F.explode(F.sequence("start", F.col("start") + F.col("extra") - 1)).alias("g"))
-        lack = [max(0, q - have.get(i, 0)) for i, q in enumerate(quota)]
-        lack_ends = [sum(lack[: i + 1]) for i in range(len(lack))]
-        offset = F.array(*[F.lit(int(have.get(i, 0) - (lack_ends[i] - lack[i]))).cast("long") for i in range(len(lack))])
-        moved = spare.withColumn("src", located(lack_ends, F.col("g"))).select("shard", "src", (F.col("g") + F.get(offset, F.col("src"))).alias("rank"))
-        out = inside.unionByName(moved).join(quotas, "src")
+        # Draws beyond a quota (about the square root of all draws) are numbered through all sources and handed to those that lack some.
+        start = F.col("first_extra") + F.greatest(F.lit(0), F.col("before") - F.col("quota"))
+        spare = ranked.where("kept < n").select("shard", F.explode(F.sequence(start, start + F.col("n") - F.col("kept") - 1)).alias("g"))
+        moved = located(spare, "g", have.select("src", "have", "lo", "hi"), max(total, 1)).select("shard", "src", (F.col("have") + F.col("g") - F.col("lo")).alias("rank"))
+        out = inside.unionByName(moved).join(small(have.select("src", "blocks")), "src")
         return out.select("shard", "src", "rank", permuted(F.col("rank") % F.col("blocks"), F.col("blocks"), F.col("src"), (F.col("rank") / F.col("blocks")).cast("long")).alias("block"))
 
     def pieces(self) -> DataFrame:

@@ -1,3 +1,4 @@
+import collections
 import hashlib
 import random
 import re
@@ -6,16 +7,39 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenmill.llm import byte_bpe, license_scan, secret_scan, source_mix
+from lumenmill.llm import byte_bpe, common, license_scan, secret_scan, source_mix
 from tests.llm.conftest import prose
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def test_targets():
-    assert source_mix.targets([("a", 100), ("b", 100), ("c", 100)]) == [200.0, 166.66666666666666, 83.33333333333333]
-    assert source_mix.targets([("a", 0), ("b", 10)]) == [0.0, 15.0]
-    assert source_mix.targets([]) == []
+def targets(sizes, share=1.5, weights=(5, 2, 1), most=2):
+    """Shares by weight, with what is beyond twice a size shared again, as a plain loop."""
+    w, cap, full = [weights[i % 3] for i in range(len(sizes))], [most * s for s in sizes], set()
+    while True:
+        rest, total = share * sum(sizes) - sum(cap[i] for i in full), sum(w[i] for i in range(len(w)) if i not in full)
+        goal = [float(cap[i]) if i in full else rest * w[i] / total for i in range(len(w))]
+        over = {i for i in range(len(w)) if i not in full and goal[i] > cap[i]}
+        if not over:
+            return goal
+        full |= over
+
+
+def test_targets(spark):
+    rng = random.Random(7)
+    for sizes in ([100, 100, 100], [0, 10], [1], [5, 5, 5, 5], [0, 0], [rng.randrange(1000) ** 2 for _ in range(40)], []):
+        names = [f"s{i:03}" for i in range(len(sizes))]
+        if len(sizes) > 3:
+            names[-1] = None  # the last one
+        got = source_mix.with_targets(spark.createDataFrame(list(zip(names, sizes, strict=True)), "source string, size long")).orderBy("src").collect()
+        assert [r.source for r in got] == names and [r.target for r in got] == pytest.approx(targets(sizes) if sizes else [])
+
+
+def test_located(spark):
+    cuts = [0, 0, 3, 4, 4, 90, 91, 100]
+    ends = spark.createDataFrame([(i, a, z) for i, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False))], "src int, lo long, hi long")
+    got = {r.u: r.src for r in source_mix.located(spark.range(100).withColumnRenamed("id", "u"), "u", ends, 100).collect()}
+    assert got == {u: next(i for i, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)) if a <= u < z) for u in range(100)}
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 100, 1000])
@@ -24,25 +48,35 @@ def test_permutation(spark, n):
     assert sorted(got) == list(range(n)) and (n < 100 or got != list(range(n)))
 
 
-def test_mix_sums(spark):
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_mix_sums(spark, monkeypatch, limit):
+    """Quotas are met, nothing is read too often, the texts hold the words that are counted, and reruns agree."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
     rng = random.Random(2)
     rows = [(i, prose(rng, rng.randrange(0, 900)), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(150)] + [(500, prose(rng, 9000), "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = source_mix.Mix(docs, slots=64).taken().collect()
     assert len(got) == len(rows)
-    for s in {r.source for r in got}:
+    text = {i: t for i, t, _ in rows}
+    sizes = {s: sum(len(WORD.findall(t)) for _, t, x in rows if x == s) for s in ("a", "b", "c", None)}
+    assert {r.source: (r.source_size, round(r.target, 6)) for r in got} == {s: (n, round(t, 6)) for (s, n), t in zip(sizes.items(), targets(list(sizes.values())), strict=True)}
+    for s in sizes:
         mine = [r for r in got if r.source == s]
-        size = sum(r["size"] for r in mine)
-        assert mine[0].source_size == size and abs(sum(r.taken for r in mine) - mine[0].target) <= source_mix.BLOCK
-    assert all(r.taken <= 2 * r["size"] and r["size"] == len(WORD.findall(dict((i, t) for i, t, _ in rows)[r.doc_id])) for r in got)
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= source_mix.BLOCK
+    assert all(r.taken <= 2 * r["size"] and r["size"] == len(WORD.findall(text[r.doc_id])) for r in got)
+    if not limit:
+        return
     again = source_mix.Mix(docs.repartition(5), slots=64).taken().collect()
     assert {(r.doc_id, r.taken) for r in got} == {(r.doc_id, r.taken) for r in again}
-    text = {i: t for i, t, _ in rows}
-    taken = {}
-    for r in source_mix.mixed_documents(docs).collect():
-        assert r.text in text[r.doc_id]or len(WORD.findall(r.text)) <= len(WORD.findall(text[r.doc_id]))
-        taken[r.doc_id] = taken.get(r.doc_id, 0) + len(WORD.findall(r.text))
-    assert set(taken) <= set(text)
+    taken = collections.Counter()
+    mixed = source_mix.mixed_documents(docs).collect()
+    for r in mixed:
+        words, own = iter(WORD.findall(text[r.doc_id])), WORD.findall(r.text)
+        assert own and all(w in words for w in own)  # words of the text, in their order
+        assert r.n_chars == len(r.text) if "n_chars" in r else True
+        taken[r.doc_id] += len(own)
+    assert max(collections.Counter(r.doc_id for r in mixed).values()) <= 2
+    assert taken == {r.doc_id: r.taken for r in source_mix.Mix(docs).taken().collect() if r.taken}
 
 
 def test_mix_odd_rows(spark, odd, empty):
