@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import BASE, BASE_INV, BROADCAST_ROWS, BYTE, IS_SPACE, U, Scratch, blocks, joined, mix, powers, small_batches, span_hashes, text_column, words_of
 
@@ -328,16 +329,18 @@ def deduplicated(docs: DataFrame, least: int = MIN_WORDS, unit: str = "line") ->
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("mark"))
     both = rows.join(ranges, ["id", "mark"], "left")
 
-    @F.udf("struct<new_text: string, n_removed: long>", useArrow=True)
-    def without(text, ranges):  # runs for the rows that lose something, only
-        new, n = cut_out(text, [(r["lo"], r["hi"]) for r in ranges])
-        return new, n
-
-    hit = both.where("ranges is not null").withColumn("x", without(F.col("row.text").cast("string"), "ranges"))
-    lines = F.size(F.split(F.col("row.text").cast("string"), "\n", -1)).cast("long")
-    return both.where("ranges is null").select("row", F.col("row.text").cast("string").alias("new_text"), F.when(F.col("row.text").isNull(), 0).otherwise(lines).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed")).unionByName(
-        hit.select("row", "x.new_text", lines.alias("n_lines"), "x.n_removed")
-    )
+    def without(batches):  # runs for the rows that lose something, only; in the same workers as all else here
+        for b in batches:
+            done = [cut_out(t, [(r["lo"], r["hi"]) for r in gone]) for t, gone in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], names=["row", "new_text", "n_removed"])
+
+    own = F.col("row.text").cast("string")
+    # A line more than there are line feeds.
+    lines = (F.length(own) - F.length(F.replace(own, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    schema = StructType([rows.schema["row"], StructField("new_text", StringType()), StructField("n_removed", LongType())])
+    hit = both.where("ranges is not null").select("row", own.alias("text"), "ranges").mapInArrow(without, schema)
+    kept = both.where("ranges is null").select("row", own.alias("new_text"), F.lit(0).cast("long").alias("n_removed"))
+    return kept.unionByName(hit).select("row", "new_text", F.coalesce(lines, F.lit(0)).alias("n_lines"), "n_removed")
 
 
 def filter_documents(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
