@@ -133,6 +133,24 @@ def test_ledger_scans_only_what_is_new(spark):
     assert got == {1: ["assign"], 2: ["assign"], 3: ["hex"]}
 
 
+def test_query_scans_each_pair_once(spark, tmp_path):
+    """The query's two runs over one ledger give what one scan gives; the second finds nothing to scan twice. Long lists of matches are whole."""
+    rows = [(i, SECRETS[i % len(SECRETS)] + f" {i % 31}") for i in range(120)] + [(None, SECRETS[3]), (500, None), (501, "secret=abcdef " * 1500)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = secret_scan.op8_secret_scan(spark, str(tmp_path)).collect()
+    want = {i: spans(t or "") for i, t in rows}
+    assert len(got) == len(rows)
+    for r in got:
+        base = want[r.doc_id]
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s.startswith(f"{k}:") for s in base.split(",")) for k in ("assign", "access", "hex"))
+    versions = spark.createDataFrame(rows, "path long, text string")
+    first = secret_scan.scan_history(versions.where("path % 3 = 0"))[1].collect()
+    second = secret_scan.scan_history(versions, spark.createDataFrame(first, secret_scan.LEDGER_SCHEMA))[1].collect()
+    pairs = collections.Counter((e.blob, e.rule) for e in [*first, *second])
+    assert first and second and set(pairs.values()) == {1} and len(pairs) == len({t or "" for _, t in rows}) * len(secret_scan.RULES)
+
+
 def test_secrets_odd_rows(spark, odd, empty):
     view = lambda d: d.select(F.col("doc_id").alias("path"), "text", "key", "id")
     assert secret_scan.scan_history(view(odd))[0].count() == odd.count()
