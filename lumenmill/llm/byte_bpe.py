@@ -26,13 +26,30 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 #: Finished pieces and pairs that a worker keeps at most; a full table is emptied, and results stay the same.
-PIECES, PAIRS, LONGEST_KEPT = 150_000, 150_000, 48
+PIECES, PAIRS, LONGEST_KEPT = 250_000, 150_000, 48
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line.strip())}
 
 
+class Pieces(dict):
+    """Finished pieces by their text, as little-endian 32-bit ids; what is missing is encoded, and kept if it is short."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.encode(text.encode("utf-8"))
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(text) <= LONGEST_KEPT:
+            if len(self) >= PIECES:
+                self.clear()
+            self[text] = out
+        return out
+
+
 class ByteBPE:
     """An encoder and decoder for a table of ranks."""
 
@@ -56,7 +73,7 @@ class ByteBPE:
                     break
         self.halves: dict[int, tuple[int, int]] = {}
         self.pairs: dict[int, bool] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Pieces(self.encode_piece)
 
     def split(self, t: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes t; None for a single byte."""
@@ -130,20 +147,8 @@ class ByteBPE:
                 self._lengths[r] = len(t)
         return self._lengths
 
-    def piece(self, text: str) -> bytes:
-        """A piece's ids as little-endian 32-bit integers."""
-        if (known := self.pieces.get(text)) is not None:
-            return known
-        ids = self.encode_piece(text.encode("utf-8"))
-        out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(text) <= LONGEST_KEPT:
-            if len(self.pieces) >= PIECES:
-                self.pieces.clear()
-            self.pieces[text] = out
-        return out
-
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.piece, self.pattern.findall(text)))
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(text)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))

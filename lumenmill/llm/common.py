@@ -202,8 +202,8 @@ class Scratch:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-#: Rows of at most six numbers that are broadcast: about 25 MB as a hash table. Beyond it, they are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Rows of at most six numbers that are broadcast: about 3 MB as a hash table. Beyond it, they are joined by a shuffle.
+BROADCAST_ROWS = 20_000
 
 
 def small(df):

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import BASE, BASE_INV, BROADCAST_ROWS, BYTE, IS_SPACE, U, Scratch, blocks, joined, mix, powers, small_batches, span_hashes, text_column, words_of
+from .common import BASE, BASE_INV, BYTE, IS_SPACE, U, Scratch, blocks, joined, mix, powers, small_batches, span_hashes, text_column, words_of
 
 MIN_WORDS = 50
 BYTE_2 = mix(BYTE + U(12345))
@@ -255,12 +255,8 @@ def word_windows(docs: DataFrame, least: int) -> DataFrame:
 
 
 def _lists_of(ranges: DataFrame, name: str) -> DataFrame:
-    """id, mark and the list of ranges (lo, hi) of each document in ``ranges`` (a written table); broadcast if there are few ranges in all.
-
-    A list is bounded by its document's own words.
-    """
-    lists = ranges.groupBy("id", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias(name))
-    return F.broadcast(lists) if ranges.count() <= BROADCAST_ROWS else lists
+    """id, mark and the list of ranges (lo, hi) of each document in ``ranges``. A list is bounded by its document's own words."""
+    return ranges.groupBy("id", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias(name))
 
 
 def word_repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:

@@ -212,7 +212,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     near = candidates(nodes, scratch)
     ids = scratch.keep(near.select("id").unionByName(near.select(F.col("c").alias("id"))).distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    sets = scratch.keep(full_sets(texts.join(small(ids), "id").distinct(), k))
+    sets = scratch.keep(full_sets(texts.join(ids, "id").distinct(), k))
     label = ids.select("id", F.col("id").alias("comp"))
     spent = [ids]
     # The members of each centre, itself included.

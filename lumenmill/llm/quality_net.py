@@ -2,17 +2,18 @@
 
 A text is cut into chunks of 512 bytes that overlap by half, from the first byte to the last.
 Learned filters slide over the embedded bytes of a chunk (16 bytes wide, 8 apart; a byte that
-repeats what stands a few bytes earlier has an embedding of its own) and are max-pooled in it; a hidden layer reads each chunk, its units are max-pooled over all chunks of
-the text and combined into one probability. So both a telling passage and a chunk that lacks
-what prose has count, wherever they are. Chunks are processed in segments of bounded size: per
-512 bytes only the pooled values stay.
+repeats what stands a few bytes earlier has an embedding of its own) and are max-pooled in it; a
+hidden layer reads each chunk, its units are max-pooled over all chunks of the text and combined
+into one probability. So both a telling passage and a chunk that lacks what prose has count,
+wherever they are. Chunks are processed in segments of bounded size: per 512 bytes only the pooled
+values stay.
 
 The network is fitted on the driver, on at most ``ROWS`` labelled texts (whole ones, chosen by
 hash of doc_id among rows whose crc32 mod 3 is not 1). Labels, language, source and ids are
 never inputs.
 
 Defined results: a null or empty text is one chunk of padding alone and gets that score; repeated rows
-each get a row; without labelled rows of both kinds every score is the share of good rows (0.5
+each get a row (a labelled doc_id with several texts is learnt from the smallest); without labelled rows of both kinds every score is the share of good rows (0.5
 without any).
 """
 
@@ -181,7 +182,8 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
     lab = lab.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     pick = [lab.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2) for q in (0, 1)]
     some = F.broadcast(pick[0].unionByName(pick[1]))  # at most ``rows`` small rows
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(some, "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(some, "doc_id")
+    return texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # one text for each label, however often its row is repeated
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> Net:

@@ -31,7 +31,7 @@ def brute(rows, k):
     return {i: (len(s), find(i)) for i, s in sets}
 
 
-@pytest.mark.parametrize("k,limit", [(2, 500_000), (5, 500_000), (2, 0)])
+@pytest.mark.parametrize("k,limit", [(2, 20_000), (5, 20_000), (2, 0)])
 def test_groups_match_all_pairs(spark, monkeypatch, k, limit):
     """``limit`` 0: nothing is broadcast for its size, and every key that is no hot one is shuffled."""
     monkeypatch.setattr(common, "BROADCAST_ROWS", limit)

@@ -81,6 +81,52 @@ def test_net_gradients():
         net.p[k][i] = old
 
 
+def plain_score(net, raw):
+    """The network by its definition, one window at a time."""
+    ids = []
+    for i, x in enumerate(raw):
+        echo = any(i - 3 - d >= 0 and raw[i - 3 : i + 1] == raw[i - 3 - d : i + 1 - d] for d in range(1, quality_net.LAGS + 1))
+        ids.append(x + int(quality_net.PAD_NEXT) * echo)
+    step, p = quality_net.STEP, net.p
+    rows = max(-(-len(raw) // step), 1) + 1
+    ids += [quality_net.PAD] * (rows * step - len(ids))
+    windows = [p["E"][ids[i * step : (i + 2) * step]].reshape(-1) @ p["W"] for i in range(rows - 1)]
+    halves = [np.max(windows[k : k + quality_net.HALF], axis=0) for k in range(0, rows, quality_net.HALF) if windows[k : k + quality_net.HALF]]
+    chunks = [np.maximum(a, b) for a, b in zip(halves, halves[1:], strict=False)] or halves
+    top = np.max([np.tanh(np.maximum(c + p["b"], 0) @ p["V"] + p["c"]) for c in chunks], axis=0)
+    return 1 / (1 + np.exp(-(top @ p["u"] + p["d"][0])))
+
+
+def test_net_by_its_definition():
+    net, rng = quality_net.Net(5), np.random.default_rng(2)
+    texts = [b"", b"x", b"abcabcabcabc" * 9, b"The quick brown fox. " * 70, *(bytes(rng.integers(32, 127, n, dtype=np.uint8)) for n in (7, 8, 9, 254, 256, 257, 511, 513, 3000))]
+    data, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    assert net.score(data, off) == pytest.approx([plain_score(net, t) for t in texts], abs=1e-5)
+
+
+def plain_depth(forest, x, root):
+    at = root
+    while forest.feature[at] >= 0:
+        at = forest.left[at] + (x[forest.feature[at]] >= forest.split[at])
+    return forest.depth[at]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_verdicts_by_definition(spark):
+    """The query's counts, base verdicts and forest verdicts, one document and one tree at a time."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    forest = quality_rules.train(docs, labels)
+    got = {r.doc_id: r for r in quality_rules.op4_quality_rules(spark, SF).collect()}
+    for r in docs.collect():
+        c, g = counted(r.text or ""), got[r.doc_id]
+        assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) == c
+        assert g.base_failed == (c[0] < 50 or 100 * c[4] > 50 * c[0])
+        raw = quality_rules.text_counts(pa.array([r.text or ""]))
+        x = quality_rules.features(raw, forest.prior)[0]
+        score = 2 ** (-np.mean([plain_depth(forest, x, root) for root in forest.roots]) / forest.norm)
+        assert g.score == pytest.approx(score, abs=1e-8) and g.kept == (not g.base_failed and score <= forest.threshold)
+
+
 def test_net_does_not_depend_on_neighbours(spark, odd, labels, empty):
     net = quality_net.train(odd, labels)
     a = {(r.doc_id, r.score) for r in quality_net.score_documents(odd, net).collect()}

@@ -1,4 +1,5 @@
 import collections
+import hashlib
 import html
 import math
 import os
@@ -8,8 +9,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lumenmill.llm import bm25_search, html_text
+from lumenmill.llm import bm25_search, html_text, quality_rules, source_mix
 from tests.llm.conftest import SF, prose
+from tests.llm.test_dedup import brute as groups_brute
+from tests.llm.test_dedup import words_brute
+from tests.llm.test_mix_scan_bpe import targets
 
 
 def test_search_equals_brute_force(spark, monkeypatch):
@@ -108,19 +112,51 @@ def test_pages_odd_rows(spark, net):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
-def test_pipeline(spark):
+def test_pipeline_by_brute_force(spark):
+    """Each stage on the real rows against plain Python; mixing, which draws, by what its rows may hold; the last by decoding."""
     import corpus_pipeline as P
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    ids, text = None, {}
+    assert [n for n, _ in P.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "source_mix", "byte_bpe"]
+    made, words = [], lambda t: t.encode().split()
     for i, (_, stage) in enumerate(P.STAGES):
         out = stage(spark, docs, SF).cache()
-        if i < len(P.STAGES) - 1:
-            assert out.columns == docs.columns
-        now = {r.doc_id for r in out.select("doc_id").collect()}
-        assert ids is None or now <= ids
-        ids, docs = now, out
-        if i == 3:
-            text = [len((r.text or "").encode()) for r in out.collect()]
-    assert docs.count() == len(text) and ids
-    assert P.run(spark, SF).count() == len(text)
+        made.append(out.collect())
+        assert i == 4 or out.columns == docs.columns
+        docs = out
+    first = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    verdict = {r.doc_id: r.kept for r in quality_rules.op4_quality_rules(spark, SF).collect()}
+    assert {r.doc_id: r.text for r in made[0]} == {i: t for i, t in first.items() if verdict[i]}
+    left = words_brute(sorted((r.doc_id, r.text) for r in made[0]))
+    assert {r.doc_id: [words(x) for x in r.text.split("\n") if words(x)] for r in made[1]} == {i: x for i, x in left.items() if x}
+    assert all(r.n_chars == len(r.text) for r in made[1])
+    alone = {i for i, (_, root) in groups_brute([(r.doc_id, r.text) for r in made[1]], 5).items() if i == root}
+    assert {r.doc_id: r.text for r in made[2]} == {r.doc_id: r.text for r in made[1] if r.doc_id in alone}
+    whole, size, source, taken = {r.doc_id: r.text for r in made[2]}, collections.Counter(), {r.doc_id: r.source for r in made[2]}, collections.Counter()
+    for i, t in whole.items():
+        size[source[i]] += len(words(t))
+    for r in made[3]:
+        own, rest = words(r.text), iter(words(whole[r.doc_id]))
+        assert own and all(w in rest for w in own) and r.n_chars == len(r.text)
+        taken[r.source] += len(own)
+    names = sorted(size, key=lambda x: (x is None, x))
+    goal = dict(zip(names, targets([size[n] for n in names]), strict=True))
+    assert all(abs(taken[n] - goal[n]) <= source_mix.BLOCK for n in names)
+    assert max(collections.Counter(r.doc_id for r in made[3]).values()) <= 2
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert sorted((r.doc_id, r.decoded_sha256) for r in made[4]) == sorted((r.doc_id, sha(r.text.encode())) for r in made[3])
+    assert all(r.ids_sha256 == sha(bytes(r.ids)) and len(r.ids) == 4 * r.n_tokens for r in made[4])
+    again = P.run(spark, SF).collect()
+    assert sorted((r.doc_id, r.ids_sha256) for r in again) == sorted((r.doc_id, r.ids_sha256) for r in made[4])
+
+
+def test_pipeline_odd_rows(spark, odd, tmp_path):
+    """Nulls, repeats, empty and very long texts, and columns with clashing names go through all stages; so does an empty table."""
+    import corpus_pipeline as P
+
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    for name, docs in (("odd", odd), ("none", odd.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        got = P.run(spark, f"{tmp_path}/{name}").collect()
+        assert bool(got) == (name == "odd") and all(r.n_tokens > 0 for r in got)
