@@ -203,7 +203,7 @@ def test_licenses_by_plain_containment(spark, odd, empty, tmp_path):
             sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} or {tuple(w)} for w in (words(x) for n, x in license_scan.TEMPLATES if n == name)]
             assert any(len(grams & s) >= 0.8 * len(s) for s in sets)
     assert license_scan.scan_documents(odd).count() == odd.count() and license_scan.scan_documents(empty).count() == 0
-    twice = license_scan.scan_documents(spark.createDataFrame([(1, license_scan.TEMPLATES[0][1] * 40)] * 2, "doc_id long, text string")).collect()
+    twice = license_scan.scan_documents(spark.createDataFrame([(1, (license_scan.TEMPLATES[0][1] + " ") * 40)] * 2, "doc_id long, text string")).collect()
     assert twice[0] == twice[1] and twice[0].matches
 
 

@@ -91,7 +91,8 @@ def plain_score(net, raw):
     rows = max(-(-len(raw) // step), 1) + 1
     ids += [quality_net.PAD] * (rows * step - len(ids))
     windows = [p["E"][ids[i * step : (i + 2) * step]].reshape(-1) @ p["W"] for i in range(rows - 1)]
-    halves = [np.max(windows[k : k + quality_net.HALF], axis=0) for k in range(0, rows, quality_net.HALF) if windows[k : k + quality_net.HALF]]
+    nothing = np.full(quality_net.FILTERS, -np.inf, np.float32)  # a last half of padding alone
+    halves = [np.max([nothing, *windows[k : k + quality_net.HALF]], axis=0) for k in range(0, rows, quality_net.HALF)]
     chunks = [np.maximum(a, b) for a, b in zip(halves, halves[1:], strict=False)] or halves
     top = np.max([np.tanh(np.maximum(c + p["b"], 0) @ p["V"] + p["c"]) for c in chunks], axis=0)
     return 1 / (1 + np.exp(-(top @ p["u"] + p["d"][0])))
