@@ -33,11 +33,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import BASE, BASE_INV, BYTE, IS_SPACE, U, Scratch, blocks, joined, mix, powers, small_batches, span_hashes, text_column, words_of
+from .common import BASE, BASE_INV, BYTE, HOT_SHARE, IS_SPACE, U, Scratch, blocks, joined, mix, powers, small_batches, span_hashes, text_column, words_of
 
 MIN_WORDS = 50
 BYTE_2 = mix(BYTE + U(12345))
@@ -273,19 +273,22 @@ def word_repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     first = scratch.keep(near.groupBy("fp", "g").agg(F.min(F.struct(*place, "hi")).alias("first"), F.max("places").alias("p"), F.count("*").alias("n")))
     beyond = F.when((F.col("id") == F.col("first.id")) & (F.col("mark") == F.col("first.mark")), F.greatest("lo", F.col("first.lo") + least)).otherwise(F.col("lo"))
 
-    def later(rows: DataFrame, firsts: DataFrame, key: str) -> DataFrame:
-        """The rows that repeat the first of their kind, as far as they lie beyond it."""
-        both = joined(rows, firsts, ["fp", key], "n", rows.count())
+    def later(both: DataFrame) -> DataFrame:
+        """The rows that repeat the ``first`` of their kind, as far as they lie beyond it."""
         return both.where(~(F.struct(*place) == F.struct("first.id", "first.mark", "first.lo"))).select("id", "mark", beyond.alias("lo"), "hi").where("lo <= hi")
 
     # Fingerprints with groups of several kinds, or with one that may repeat inside itself: windows of the first of each kind.
     mixed = scratch.keep(first.groupBy("fp").agg(F.count("*").alias("weight"), F.max("p").alias("most")).where("weight > 1 or most > 1").drop("most"))
     open_ = scratch.keep(joined(first.select("fp", "first"), mixed, ["fp"], "weight", first.count()).select("first.id", "first.mark", "first.lo", "first.hi"))
-    windows = scratch.keep(word_windows(texts.join(_lists_of(open_, "spans"), ["id", "mark"]), least))
+    windows = made_windows = scratch.keep(word_windows(texts.join(_lists_of(open_, "spans"), ["id", "mark"]), least))
     again = scratch.keep(first.where("n > 1").drop("p"))
-    start = scratch.keep(windows.groupBy("fp", "w").agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("n")).where("n > 1"))
-    found = scratch.keep(later(near, again, "g").unionByName(later(windows.withColumn("hi", (F.col("lo") + (least - 1)).cast("int")), start, "w")))
-    scratch.drop(near, first, mixed, open_, windows, again, start)
+    windows = windows.withColumn("hi", (F.col("lo") + (least - 1)).cast("int"))
+    # A window has one of many hashes: hot ones, of which there are few, are told their first place, the others find it among themselves.
+    hot = windows.groupBy("fp", "w").agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("n")).where(F.col("n") > F.greatest(F.lit(1), F.lit(int(HOT_SHARE * made_windows.count())))).drop("n")
+    told = windows.join(F.broadcast(hot), ["fp", "w"], "left")
+    alone = told.where("first is null").withColumn("first", F.min(F.struct(*place)).over(Window.partitionBy("fp", "w")))
+    found = scratch.keep(later(joined(near, again, ["fp", "g"], "n", near.count())).unionByName(later(told.where("first is not null"))).unionByName(later(alone)))
+    scratch.drop(near, first, mixed, open_, made_windows, again)
     return found
 
 
