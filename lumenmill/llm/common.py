@@ -6,7 +6,6 @@ temporaries stay bounded by ``MAX_BYTES`` or by the longest single text.
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 
@@ -151,15 +150,6 @@ def small_batches(spark) -> None:
         spark.conf.set(ARROW_KEY, ARROW_BYTES)
 
 
-def release(spark) -> None:
-    """Let Spark remove the shuffle files and checkpoints that nothing refers to any more.
-
-    It does so when the driver's JVM collects its garbage, which a loop of small jobs may not cause for long.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def shared_folder(spark) -> str:
     """The folder for what lies between steps: spark.checkpoint.dir, which all machines share. Only one machine may do without."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -170,14 +160,6 @@ def shared_folder(spark) -> str:
     return folder.rstrip("/")
 
 
-def checkpoint(df):
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 class Scratch:
     """Tables of one run in a folder of its own below the shared one: written, read by column, and deleted as soon as they are spent."""
 
