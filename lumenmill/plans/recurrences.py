@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import pixel as P
 from ..operators import raster as R
 from ..sources import images as I
-from .queries import GRID, W, _rasters, _sums, _whole, cl, grid, m, register
+from .queries import GRID, W, _rasters, _whole, cl, grid, m, register
 
 SIDE = 16
 GRID_16 = GRID.replace("1024", "256").replace("// 32", "// 16").replace("% 32", "% 16")

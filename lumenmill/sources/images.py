@@ -17,7 +17,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 from ..codec import lossless, lossy
 from ..codec.animation import Options, decode, frames
-from ..codec.container import Image, build, parse, payload, scan
+from ..codec.container import build, parse, payload, scan
 from ..codec.errors import CodecError
 from ..functions import container as C
 
