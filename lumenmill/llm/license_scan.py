@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .common import LOWER, U, blocks, mix, shingles_of, small_batches, span_hashes, text_column
+from .common import LOWER, U, blocks, shingles_of, small_batches, span_hashes, text_column
 
 K, BANDS, PERCENT = 5, 64, 80
 MISS = 3e-6
