@@ -234,7 +234,9 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
                 spent.append(second)
                 tries = joined(here, second, ["c"], "weight", here.count()).where("comp <> its and id <> c").select(F.least("id", "second").alias("u"), F.greatest("id", "second").alias("v")).distinct()
         a, b = sets.select(F.col("id").alias("u"), F.col("elements").alias("a")), sets.select(F.col("id").alias("v"), F.col("elements").alias("b"))
-        good = linked(tries.join(b, "v").join(a, "u"), percent)
+        # Written first: checked and merged in one stage, each task would hold two Python workers.
+        good = scratch.keep(linked(tries.join(b, "v").join(a, "u"), percent))
+        spent.append(good)
         lu, lv = label.select(F.col("id").alias("u"), F.col("comp").alias("cu")), label.select(F.col("id").alias("v"), F.col("comp").alias("cv"))
         merged = components(good.join(lu, "u").join(lv, "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")), scratch)
         label = scratch.keep(label.join(merged, F.col("comp") == F.col("u"), "left").select("id", F.coalesce("root", "comp").alias("comp")))
