@@ -285,9 +285,10 @@ def word_repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     windows = windows.withColumn("hi", (F.col("lo") + (least - 1)).cast("int"))
     # A window has one of many hashes: hot ones, of which there are few, are told their first place, the others find it among themselves.
     hot = windows.groupBy("fp", "w").agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("n")).where(F.col("n") > F.greatest(F.lit(1), F.lit(int(HOT_SHARE * made_windows.count())))).drop("n")
-    told = windows.join(F.broadcast(hot), ["fp", "w"], "left")
-    alone = told.where("first is null").withColumn("first", F.min(F.struct(*place)).over(Window.partitionBy("fp", "w")))
-    found = scratch.keep(later(joined(near, again, ["fp", "g"], "n", near.count())).unionByName(later(told.where("first is not null"))).unionByName(later(alone)))
+    told = windows.join(F.broadcast(hot), ["fp", "w"], "left").withColumn("part", F.when(F.col("first").isNotNull(), F.pmod(F.xxhash64(*place), F.lit(1009))).otherwise(-1))
+    among = F.min(F.struct(*place)).over(Window.partitionBy("fp", "w", "part"))  # rows that were told are only spread out
+    placed = told.withColumn("first", F.coalesce("first", among)).drop("part")
+    found = scratch.keep(later(joined(near, again, ["fp", "g"], "n", near.count())).unionByName(later(placed)))
     scratch.drop(near, first, mixed, open_, made_windows, again)
     return found
 
