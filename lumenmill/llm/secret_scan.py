@@ -100,17 +100,19 @@ def scan_history(versions: DataFrame, ledger: DataFrame | None = None, rules: tu
     # One path of each blob stands for its text. The text itself is shuffled once, by path, rather than carried through an aggregate.
     # A blob that only rows without a path hold is taken from those; they are rare, and repeated ones are one again below.
     stand_in = keyed.groupBy("blob").agg(F.min("path").alias("path"))
-    named = rows.where("path is not null").withColumn("blob", F.sha2("text", 256)).join(stand_in.where("path is not null"), ["path", "blob"]).select("blob", "text")
-    nameless = rows.where("path is null").select(F.sha2("text", 256).alias("blob"), "text").dropDuplicates(["blob"])
-    texts = named.unionByName(nameless.join(stand_in.where("path is null").select("blob"), "blob", "left_semi"))
     names = [r.kind for r in rules]
     if ledger is None:
-        todo = texts.withColumn("seen", F.lit(None).cast("array<string>"))
+        stand_in = stand_in.withColumn("seen", F.lit(None).cast("array<string>"))
         old = None
     else:
         current = F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.version))])
         old = ledger.where(F.col("rule").isin(names) & (F.col("version") == F.try_element_at(current, F.col("rule")))).dropDuplicates(["blob", "rule"])
-        todo = texts.join(old.groupBy("blob").agg(F.collect_set("rule").alias("seen")), "blob", "left")  # at most one entry for each rule
+        seen = old.groupBy("blob").agg(F.collect_set("rule").alias("seen"))  # at most one entry for each rule
+        # Known before any text is shuffled: the text of a blob that all rules have seen is not needed.
+        stand_in = stand_in.join(seen, "blob", "left").where(F.coalesce(F.size("seen"), F.lit(0)) < len(names))
+    named = rows.where("path is not null").withColumn("blob", F.sha2("text", 256)).join(stand_in.where("path is not null"), ["path", "blob"]).select("blob", "text", "seen")
+    nameless = rows.where("path is null").select(F.sha2("text", 256).alias("blob"), "text").dropDuplicates(["blob"])
+    todo = named.unionByName(nameless.join(stand_in.where("path is null").select("blob", "seen"), "blob").select("blob", "text", "seen"))
     none = F.array().cast("array<struct<start: int, stop: int>>")
     done = lambda r: F.coalesce(F.array_contains("seen", r.kind), F.lit(False))
     # Repeated (path, text) rows bring a blob's text more than once; its entries are the same, so one is enough.
@@ -119,7 +121,7 @@ def scan_history(versions: DataFrame, ledger: DataFrame | None = None, rules: tu
     entries = fresh.select("blob", F.explode(F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), F.col(r.kind).alias("spans")) for r in rules])).alias("e")).select("blob", "e.*").where("spans is not null")
     if old is not None:
         known = old.groupBy("blob").agg(*[F.first(F.when(F.col("rule") == r.kind, F.col("spans")), ignorenulls=True).alias(r.kind) for r in rules])
-        fresh = fresh.select("blob", *[F.col(r.kind).alias(f"new_{r.kind}") for r in rules]).join(known, "blob", "left").select("blob", *[F.coalesce(f"new_{r.kind}", r.kind).alias(r.kind) for r in rules])
+        fresh = fresh.select("blob", *[F.col(r.kind).alias(f"new_{r.kind}") for r in rules]).join(known, "blob", "full").select("blob", *[F.coalesce(f"new_{r.kind}", r.kind).alias(r.kind) for r in rules])
     ranked = [_ranked(F.coalesce(F.col(r.kind), none), i, r) for i, r in enumerate(rules)]
     found = fresh.select("blob", F.array_sort(F.concat(*ranked)).alias("found")).where(F.size("found") > 0)
     empty = F.array().cast("array<struct<start: int, rank: int, kind: string, stop: int, base: boolean>>")
