@@ -5,7 +5,9 @@ import math
 import os
 import random
 import re
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,3 +162,25 @@ def test_pipeline_odd_rows(spark, odd, tmp_path):
         labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
         got = P.run(spark, f"{tmp_path}/{name}").collect()
         assert bool(got) == (name == "odd") and all(r.n_tokens > 0 for r in got)
+
+
+def test_a_shard_is_built_in_little_memory():
+    """Bytes at the peak for each posting, of the index and of a shard that answers: 38 and 30, before 67 and 69."""
+    rng = np.random.default_rng(3)
+    builder = bm25_search.ShardBuilder()
+    for _ in range(40):
+        text = [" ".join(f"w{x}" for x in np.minimum(rng.zipf(1.2, 400), 40_000)).encode() for _ in range(50)]
+        builder.add(np.arange(50), np.frombuffer(b"".join(text), np.uint8), np.cumsum([0] + [len(t) for t in text]))
+    postings = sum(len(x) for x in builder.terms)
+    tracemalloc.start()
+    try:
+        raw = builder.done()[2]
+        made = tracemalloc.get_traced_memory()[1] / postings
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        terms = bm25_search.unpack(raw)[2]
+        bm25_search.Shard([raw], 400.0, terms, np.ones(len(terms)))
+        answers = (tracemalloc.get_traced_memory()[1] - before) / postings
+    finally:
+        tracemalloc.stop()
+    assert made < 50 and answers < 50, (made, answers)
