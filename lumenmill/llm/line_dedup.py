@@ -40,6 +40,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from .common import BASE, BASE_INV, BYTE, HOT_SHARE, IS_SPACE, U, Scratch, blocks, joined, mix, powers, small_batches, span_hashes, text_column, words_of
 
 MIN_WORDS = 50
+#: Buckets of windows by hash, in the search for hot ones: about eight times as many as there can be hot ones.
+WINDOW_BUCKETS = 8192
 BYTE_2 = mix(BYTE + U(12345))
 LAST = (1 << 63) - 1
 
@@ -259,6 +261,19 @@ def _lists_of(ranges: DataFrame, name: str) -> DataFrame:
     return ranges.groupBy("id", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias(name))
 
 
+def _hot_windows(windows: DataFrame, place: list[str]) -> DataFrame:
+    """fp, w and the first place of the windows that stand in more than HOT_SHARE of all rows (and in two).
+
+    A hot key lies in a bucket with no fewer rows, so only rows of such buckets are counted by key: the sizes of buckets are
+    few numbers, and most windows, which have a hash of their own, are not shuffled for this.
+    """
+    bucket = F.pmod(F.hash("fp", "w"), F.lit(WINDOW_BUCKETS))
+    sizes = windows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).collect()
+    least = max(1, int(HOT_SHARE * sum(r.n for r in sizes)))
+    rows = windows.where(bucket.isin([r.bucket for r in sizes if r.n > least]))  # fewer than 2 / HOT_SHARE buckets
+    return rows.groupBy("fp", "w").agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("n")).where(F.col("n") > least).drop("n")
+
+
 def word_repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """(id, mark, lo, hi): the ranges of words of each document that stand earlier elsewhere. A written table."""
     scratch = Scratch(docs.sparkSession, "line_dedup")
@@ -284,7 +299,7 @@ def word_repeats(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     again = scratch.keep(first.where("n > 1").drop("p"))
     windows = windows.withColumn("hi", (F.col("lo") + (least - 1)).cast("int"))
     # A window has one of many hashes: hot ones, of which there are few, are told their first place, the others find it among themselves.
-    hot = windows.groupBy("fp", "w").agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("n")).where(F.col("n") > F.greatest(F.lit(1), F.lit(int(HOT_SHARE * made_windows.count())))).drop("n")
+    hot = _hot_windows(made_windows, place)
     told = windows.join(F.broadcast(hot), ["fp", "w"], "left").withColumn("part", F.when(F.col("first").isNotNull(), F.pmod(F.xxhash64(*place), F.lit(1009))).otherwise(-1))
     among = F.min(F.struct(*place)).over(Window.partitionBy("fp", "w", "part"))  # rows that were told are only spread out
     placed = told.withColumn("first", F.coalesce("first", among)).drop("part")

@@ -167,3 +167,19 @@ def test_lines_odd_rows(spark, odd, empty):
     assert out.columns == odd.columns and any(r.text is None for r in got) and any(r.text == "" for r in got)
     assert 15 not in {r.doc_id for r in got} and sum(r.doc_id == 3 for r in got) == 2
     assert line_dedup.filter_documents(empty).count() == 0
+
+
+def test_hot_windows_without_shuffling_the_others(spark, tmp_path):
+    """Only rows of buckets that are full enough to hold a hot window are shuffled; before, all 50 000 windows were."""
+    from lumenmill.llm import line_dedup
+    from lumenmill.llm.common import Scratch
+
+    rows = spark.range(50_000).selectExpr("id", "id * 3 mark", "if(id % 400 = 7, 5, xxhash64(id, 1)) fp", "if(id % 400 = 7, 6, xxhash64(id, 2)) w", "cast(id % 11 as int) lo")
+    windows = Scratch(spark, "hot").keep(rows)
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    written = lambda: sum(x.shuffleWriteRecords() for x in (lambda s: [s.apply(i) for i in range(s.size())])(stages()))
+    before = written()
+    hot = line_dedup._hot_windows(windows, ["id", "mark", "lo"]).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert [(r.fp, r.w, tuple(r["first"])) for r in hot] == [(5, 6, (7, 21, 7))]
+    assert written() - before < 40_000
