@@ -2,9 +2,10 @@
 
 Each document is reduced to counts (one Arrow pass, numpy inside). Ratios of these counts go to
 an isolation forest: random axis-parallel splits, where few splits isolate a point that lies
-apart. The trees are grown on labelled rows that are marked good (at most ``SAMPLE`` of them),
-so a short path means "unlike good text"; the threshold is calibrated on labelled rows of both
-kinds, then every document is scored.
+apart. The trees are grown on labelled rows that are marked good, so a short path means "unlike
+good text"; each tree draws its ``LEAF_SAMPLE`` rows from all of them, as the method has it. Means,
+ranges and the threshold are those of all labelled rows that may be learnt from, and are found in
+Spark; then every document is scored.
 
 Defined results: null text counts as empty; without words all counts are 0 and ``base_failed``
 is true; repeated rows each get their own row; nulls in other columns pass through; with no
@@ -18,18 +19,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BYTE, U, blocks, mix, shingles_of, small_batches, span_hashes, text_column, words_of
+from .common import BYTE, U, Scratch, blocks, mix, shingles_of, small_batches, span_hashes, text_column, words_of
 
-#: At most so many labelled rows (by hash of doc_id) fit the forest and its threshold.
-SAMPLE = 6000
 TREES, LEAF_SAMPLE, DEPTH = 100, 256, 12
 #: Words of average good text that each text is counted with, and the share of repeated words that is no anomaly.
 SHRINK, TOLERATED = 200.0, 0.25
 #: At most this share of the labelled good rows may lie beyond the threshold.
 MAX_LOST = 0.001
+#: Rows that are numbered in one bucket, on average, and bins of scores in the search for a quantile.
+NUMBERED, BINS = 5000, 4096
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -172,21 +173,26 @@ def _unsplit(n: int) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def grow(x: np.ndarray, seed: int = 7) -> Forest:
-    """Isolation trees on random subsamples of x. Splits are drawn a little beyond the range seen, so points outside it are isolated early."""
+def draws(n: int, seed: int = 7) -> list[np.ndarray]:
+    """The rows, of n, that each tree is grown on."""
+    rng = np.random.default_rng((seed, 1))
+    return [rng.choice(n, min(LEAF_SAMPLE, n), replace=False) for _ in range(TREES)]
+
+
+def grow(picks: list[np.ndarray], low: np.ndarray, high: np.ndarray, seed: int = 7) -> Forest:
+    """An isolation tree on each of ``picks``. Splits are drawn a little beyond the range seen, so points outside it are isolated early. ``low``, ``high``: the range of all rows."""
     rng = np.random.default_rng(seed)
     feature, split, left, depth, roots = [], [], [], [], []
-    size = min(LEAF_SAMPLE, len(x))
-    span = np.maximum(x.max(0) - x.min(0), 1e-3)
-    for _ in range(TREES):
-        pick = x[rng.choice(len(x), size, replace=False)]
+    size = len(picks[0])
+    span = np.maximum(high - low, 1e-3)
+    for pick in picks:
         roots.append(len(feature))
         todo = [(pick, 0, len(feature))]
         for a in (feature, split, left, depth):
             a.append(0)
         while todo:
             pts, d, at = todo.pop()
-            f = int(rng.integers(x.shape[1]))
+            f = int(rng.integers(len(span)))
             if d >= DEPTH or len(pts) <= 1:
                 feature[at], split[at], left[at], depth[at] = -1, 0.0, 0, d + _unsplit(len(pts))
                 continue
@@ -208,55 +214,136 @@ def fit(x: np.ndarray, good: np.ndarray) -> Forest | None:
     """
     if not good.any():
         return None
-    forest = grow(x[good])
+    own = x[good]
+    forest = grow([own[p] for p in draws(len(own))], own.min(0), own.max(0))
     s = forest.score(x)
-    ok, bad = np.sort(s[good]), np.sort(s[~good])
-    floor = float(np.quantile(ok, 1 - MAX_LOST, method="higher"))
-    if not len(bad):
-        forest.threshold = floor + 0.02
-        return forest
-    cuts = np.unique(np.concatenate([ok[ok >= floor], bad[bad >= floor], [floor]]))
-    caught = len(bad) - np.searchsorted(bad, cuts, "right")
-    kept = np.searchsorted(ok, cuts, "right")
-    value = caught / len(bad) + kept / len(ok)
-    best = int(np.argmax(value))
-    above = bad[bad > cuts[best]]
-    forest.threshold = float(cuts[best] if not len(above) else cuts[best] + 0.5 * (above[0] - cuts[best]))
+    forest.threshold = threshold(s[good], s[~good])
     return forest
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
-    """Labelled rows that may be learnt from (crc32 of doc_id mod 3 is not 1), at most ``rows`` of them by hash."""
-    lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
-    lab = lab.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(lab), "doc_id")  # at most ``rows`` small rows
-    return texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # one text for each label, however often its row is repeated
+def threshold(ok: np.ndarray, bad: np.ndarray) -> float:
+    """The threshold for these scores of good and bad rows."""
+    ok, bad = np.sort(ok), np.sort(bad)
+    floor = ok[_rank(len(ok))]
+    cuts = np.unique(ok[ok >= floor])
+    at = np.searchsorted(bad, cuts, "right")
+    return _best_cut(cuts, np.searchsorted(ok, cuts, "right"), len(ok), len(bad) - at, len(bad), np.append(bad, np.inf)[at])
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Forest | None:
-    sample = labelled_sample(docs, labels, rows)
-    pdf = _counted(sample).toPandas().sort_values("doc_id", kind="stable")
-    if not len(pdf):
-        return None
-    c = {k: pdf[k].to_numpy() for k in COUNTS}
-    good = (pdf["quality"].to_numpy() == 1) & (c["n_words"] >= 50) & (100 * c["n_repeat_words"] <= 50 * c["n_words"])
-    use = good | (pdf["quality"].to_numpy() == 0)
-    if not good.any():
-        return None
-    c = {k: v[use] for k, v in c.items()}
-    prior = tuple(float(v) for v in features(c)[good[use]].mean(0))
-    forest = fit(features(c, prior), good[use])
-    forest.prior = prior
-    return forest
+def _rank(n: int) -> int:
+    """The place, of n ascending scores of good rows, below which the threshold must not lie."""
+    return math.ceil((n - 1) * (1 - MAX_LOST))
+
+
+def _best_cut(cuts: np.ndarray, kept: np.ndarray, n_ok: int, caught: np.ndarray, n_bad: int, above: np.ndarray) -> float:
+    """Of the scores of good rows ``cuts``: the good rows not above each, the bad ones above it, and the least score of these.
+
+    No other cut is better: between two scores of good rows, the lower one catches the most.
+    """
+    if not n_bad:
+        return float(cuts[0]) + 0.02
+    best = int(np.argmax(caught / n_bad + kept / n_ok))
+    return float(cuts[best] if not caught[best] else cuts[best] + 0.5 * (above[best] - cuts[best]))
+
 
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, good and COUNTS of all labelled rows that may be learnt from (crc32 of doc_id mod 3 is not 1); good ones that fail the base rules are left out.
+
+    Texts are counted where they lie; only the counts are shuffled. One text counts for each label, however often its row is repeated.
+    """
+    free = F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(free & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
 
-def _counted(sample: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             got = text_counts(text_column(b))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(got[c]) for c in COUNTS)], names=["doc_id", "quality", *COUNTS])  # numbers only
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(got[c]) for c in COUNTS)], names=["doc_id", "mark", *COUNTS])  # numbers only
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark")).where(free)
+    counted = rows.mapInArrow(run, f"doc_id long, mark long, {COUNT_SCHEMA}").groupBy("doc_id").agg(F.min(F.struct("mark", *COUNTS)).alias("c"))
+    fails = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return counted.join(lab, "doc_id").select("doc_id", (F.col("quality") == 1).alias("good"), "c.*").drop("mark").where(~(F.col("good") & fails))
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Forest | None:
+    """The forest and its threshold from all labelled rows that may be learnt from; None without good rows."""
+    scratch = Scratch(docs.sparkSession, "quality_rules")
+    rows = scratch.keep(labelled(docs, labels))
+    words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
+    ratios = (F.col("n_symbols") / words, F.greatest(F.col("n_repeat_words") / words - TOLERATED, F.lit(0.0)), F.col("n_upper") / chars, F.col("n_punct") / words)
+    # Decimals: their sum does not depend on the order of rows.
+    total = rows.where("good").agg(F.count("*").alias("n"), *[F.sum(r.cast("decimal(30,15)")).alias(f"r{i}") for i, r in enumerate(ratios)]).first()
+    if not total["n"]:
+        scratch.drop(rows)
+        return None
+    prior = tuple(float(total[f"r{i}"]) / total["n"] for i in range(len(ratios)))
+    names = [f"f{i}" for i in range(len(ratios))]
+
+    def measured(batches):
+        for b in batches:
+            x = features({c: b.column(b.schema.get_field_index(c)).to_numpy() for c in COUNTS}, prior)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x[:, i]) for i in range(len(names)))], names=["doc_id", "good", *names])
+
+    x = scratch.keep(rows.mapInArrow(measured, "doc_id long, good boolean, " + ", ".join(f"{f} double" for f in names)))
+    own = x.where("good").drop("good")
+    span = own.agg(*[F.min(f) for f in names], *[F.max(f) for f in names]).first()
+    picks = draws(total["n"])
+    wanted, at = np.unique(np.concatenate(picks), return_inverse=True)
+    drawn = _rows_at(own, total["n"], wanted, names)
+    sizes = np.cumsum([len(p) for p in picks])[:-1]
+    forest = grow([drawn[p] for p in np.split(at, sizes)], np.array(span[: len(names)]), np.array(span[len(names) :]))
+    forest.prior = prior
+
+    def scored(batches):
+        for b in batches:
+            value = forest.score(np.stack([b.column(2 + i).to_numpy() for i in range(len(names))], 1))
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(value)], names=["good", "score"])
+
+    scores = scratch.keep(x.mapInArrow(scored, "good boolean, score double"))
+    forest.threshold = _threshold(scores, total["n"])
+    scratch.drop(rows, x, scores)
+    return forest
+
 
-    return sample.select("doc_id", "text", "quality").mapInArrow(run, f"doc_id long, quality int, {COUNT_SCHEMA}")
+def _rows_at(own: DataFrame, n: int, wanted: np.ndarray, names: list[str]) -> np.ndarray:
+    """The rows with these numbers (ascending; at most TREES x LEAF_SAMPLE), where all n rows are numbered by buckets of doc_id's hash."""
+    dealt = own.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(-(-n // NUMBERED))))
+    sizes = sorted((r.bucket, r.n) for r in dealt.groupBy("bucket").agg(F.count("*").alias("n")).collect())
+    first = np.cumsum([0] + [k for _, k in sizes])
+    spark = own.sparkSession
+    where = np.searchsorted(first, wanted, "right") - 1
+    places = spark.createDataFrame([(int(sizes[b][0]), int(w - first[b] + 1), int(w)) for b, w in zip(where, wanted, strict=True)], "bucket long, k int, number long")
+    numbered = dealt.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id")))
+    got = numbered.join(F.broadcast(places), ["bucket", "k"]).select("number", *names).toPandas().sort_values("number")
+    return got[names].to_numpy()
+
+
+def _threshold(scores: DataFrame, n_ok: int) -> float:
+    """``threshold`` of a table (good, score): only the thousandth of good scores from the floor on, and their bin, come to the driver."""
+    ok, bad = scores.where("good"), scores.where("not good")
+    edge = F.floor(F.col("score") * BINS)
+    bins = sorted((r.bin, r.n) for r in ok.groupBy(edge.alias("bin")).agg(F.count("*").alias("n")).collect())
+    ends = np.cumsum([k for _, k in bins])
+    b = int(np.searchsorted(ends, _rank(n_ok), "right"))
+    below = int(ends[b] - bins[b][1])
+    top = sorted((r.score, r.n) for r in ok.where(edge >= bins[b][0]).groupBy("score").agg(F.count("*").alias("n")).collect())
+    cuts, kept = np.array([c for c, _ in top]), below + np.cumsum([k for _, k in top])
+    some = kept > _rank(n_ok)
+    cuts, kept = cuts[some], kept[some]
+
+    def place(batches):
+        for batch in batches:
+            score = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, score, "left")), batch.column(0)], names=["at", "score"])
+
+    # Bad rows by how many cuts lie below them: those above cut i have more than i.
+    count, least = np.zeros(len(cuts) + 1, np.int64), np.full(len(cuts) + 1, np.inf)
+    for r in bad.select("score").mapInArrow(place, "at long, score double").groupBy("at").agg(F.count("*").alias("n"), F.min("score").alias("least")).collect():
+        count[r["at"]], least[r["at"]] = r["n"], r["least"]
+    caught = np.cumsum(count[::-1])[::-1][1:]
+    above = np.minimum.accumulate(least[::-1])[::-1][1:]
+    return _best_cut(cuts, kept, n_ok, caught, int(count.sum()), above)
 
 
 def judge(docs: DataFrame, forest: Forest | None) -> DataFrame:

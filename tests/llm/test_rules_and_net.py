@@ -1,5 +1,6 @@
 import collections
 import os
+import random
 import re
 import zlib
 
@@ -135,3 +136,37 @@ def test_net_does_not_depend_on_neighbours(spark, odd, labels, empty):
     assert a == b and all(0 <= s <= 1 for _, s in a)
     assert quality_net.score_documents(empty, net).count() == 0
     assert quality_net.train(empty, labels).constant == 0.5
+
+
+def test_forest_learns_from_all_labelled_rows(spark):
+    """Means and threshold are those of all labelled rows; before, of 6000 at most."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["shore", "Wind,", "river", "a", "the", "quiet."]) + ("!" if rng.random() < (0.02 if i % 7 else 0.4) else "") for _ in range(rng.randrange(40, 90))) for i in range(11_000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(3, texts[3])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 7 > 0)) for i in range(11_000)], "doc_id long, quality int")
+    forest = quality_rules.train(docs, labels)
+    free = np.array([zlib.crc32(str(i).encode()) % 3 != 1 for i in range(11_000)])
+    c = quality_rules.text_counts(pa.array(texts))
+    good = np.arange(11_000) % 7 > 0
+    use = free & ~(good & ((c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])))
+    c = {k: v[use] for k, v in c.items()}
+    assert use.sum() > 1000 and free.sum() > 6000
+    assert forest.prior == pytest.approx(quality_rules.features(c)[good[use]].mean(0), abs=1e-12)
+    s = forest.scores(c)
+    assert forest.threshold == quality_rules.threshold(s[good[use]], s[~good[use]])
+    again = quality_rules.train(docs.repartition(5), labels)
+    assert all((getattr(again, k) == getattr(forest, k)).all() for k in ("feature", "split", "depth")) and (again.threshold, again.prior) == (forest.threshold, forest.prior)
+
+
+def test_threshold_is_the_best_cut():
+    """Against all cuts, tried one by one."""
+    rng = np.random.default_rng(8)
+    for n_bad in (0, 1, 300):
+        ok, bad = np.round(rng.normal(0.4, 0.05, 3000), 3), np.round(rng.normal(0.55, 0.05, n_bad), 3)
+        got = quality_rules.threshold(ok, bad)
+        floor = np.quantile(ok, 1 - quality_rules.MAX_LOST, method="higher")
+        if not n_bad:
+            assert got == floor + 0.02
+            continue
+        value = lambda cut: (bad > cut).mean() + (ok <= cut).mean()  # noqa: E731, B023
+        assert got >= floor and value(got) == pytest.approx(max(value(x) for x in np.unique(np.append(ok, bad)) if x >= floor))
