@@ -5,9 +5,11 @@ import math
 import os
 import random
 import re
+import sys
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,3 +186,62 @@ def test_a_shard_is_built_in_little_memory():
     finally:
         tracemalloc.stop()
     assert made < 50 and answers < 50, (made, answers)
+
+
+class Here:
+    """In place of a table of shards: gives what an executor would run on it."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        return run
+
+
+def test_parts_of_a_shard(monkeypatch):
+    """Texts of three languages and of mixed ones, in parts of few documents: all that brute force finds, with few calls for each query (15; before 185)."""
+    monkeypatch.setattr(bm25_search, "PART", 128, raising=False)
+    rng = random.Random(6)
+    draw = lambda t, n: [f"{t}{int(500 * rng.random() ** 3)}" for _ in range(n)]
+    texts = [draw(rng.choice("xyz"), rng.randrange(1, 120)) + draw(rng.choice("xyz"), rng.choice([0, 0, 0, 9])) for _ in range(900)]
+    texts[7:10], texts[20] = [texts[7]] * 3, []
+    builders = [bm25_search.ShardBuilder(), bm25_search.ShardBuilder()]
+    for b, some in zip(builders, (range(500), range(500, 900)), strict=True):
+        raw = [" ".join(texts[i]).encode() for i in some]
+        b.add(np.array(some), np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(x) for x in raw]))
+    made = [b.done() for b in builders]
+    mean, df = sum(m[1] for m in made) / 900, collections.Counter(w for t in texts for w in set(t))
+    # Queries as search() deals them: all terms by rank, and their weights.
+    data = sorted(df)
+    raw = [w.encode() for w in data]
+    rows, hashes, _, _ = bm25_search.term_counts(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(x) for x in raw]))
+    of = {data[r]: h for r, h in zip(rows, hashes, strict=True)}
+    kinds = np.sort(hashes)
+    idf = {w: math.log(1 + (900 - df[w] + 0.5) / (df[w] + 0.5)) for w in data}
+    weights = np.zeros(len(kinds))
+    for w in data:
+        weights[np.searchsorted(kinds, of[w])] = idf[w]
+    asked = [sorted(set(t)) for t in texts[:400] if t]
+    place = np.searchsorted(kinds, np.array([of[w] for q in asked for w in q])).astype(np.uint32)
+    n = len(asked)
+    block = bm25_search.pack(np.arange(n), np.arange(n), np.array([len(q) for q in asked], np.int32), kinds, weights, place)
+    run = bm25_search._answers(Here(), type("Shared", (), {"value": block}), mean, 10)
+    table = pa.RecordBatch.from_arrays([pa.array([m[0] for m in made]), pa.array([m[2] for m in made], pa.binary())], names=["n", "shard"])
+    calls = collections.Counter()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        got = list(run([table]))
+    finally:
+        sys.setprofile(None)
+    found = collections.defaultdict(list)
+    for b in got:
+        for q, _, d, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            found[q].append((-s, d))
+    tf = [collections.Counter(t) for t in texts]
+    norm = [1.2 * (0.25 + 0.75 * len(t) / mean) for t in texts]
+    for q, words in enumerate(asked):
+        scores = [(-round(sum(idf[w] * c[w] * 2.2 / (c[w] + norm[d]) for w in words if w in c), 6), d) for d, c in enumerate(tf)]
+        want = sorted(x for x in scores if x[0] < 0)[:10]
+        assert [d for _, d in sorted(found[q])] == [d for _, d in want]
+        assert all(abs(a[0] - b[0]) < 2e-6 for a, b in zip(sorted(found[q]), want, strict=True))
+    assert (calls["call"] + calls["c_call"]) / n < 40, calls
