@@ -45,6 +45,21 @@ def test_search_equals_brute_force(spark, monkeypatch):
         assert all(abs(a[2] - b[1]) < 2e-6 for a, b in zip(sorted(got[q]), want, strict=True))
 
 
+def test_search_makes_shards_ready_once_for_several_blocks(spark, monkeypatch):
+    """Same answers, in a fourth of the jobs, each of which unpacks all shards."""
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, prose(rng, rng.randrange(1, 90)) + f" Rare{i % 7}") for i in range(120)], "doc_id long, text string").repartition(2)
+    queries = docs.where("doc_id % 4 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    want = sorted(tuple(r) for r in bm25_search.search(docs, queries, 5).collect())
+    jobs, answers = [], bm25_search._answers
+    monkeypatch.setattr(bm25_search, "_answers", lambda *a: jobs.append(1) or answers(*a))
+    monkeypatch.setattr(bm25_search, "QUERY_BYTES", 600)
+    assert sorted(tuple(r) for r in bm25_search.search(docs, queries, 5).collect()) == want
+    terms = bm25_search.query_terms(queries).selectExpr("sum(size(terms))").first()[0]
+    blocks = -(-12 * terms // 600)
+    assert blocks > 4 and len(jobs) <= -(-blocks // 4)
+
+
 def test_search_odd_rows(spark, odd, empty):
     ask = lambda d: d.select(F.col("doc_id").alias("query_id"), "text")
     got = bm25_search.search(odd, ask(odd), 3).collect()
